@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Memory
+
 #: Entries of each memory that an encoder keeps (states, pairs, matches, chunks).
 MEMORY = 300_000
 #: Longest chunk of text whose result is remembered.
@@ -204,25 +206,6 @@ class Utf8Machine:
         return out
 
 
-class _Memory(dict):
-    """Remembers the results of a function in two generations of at most MEMORY entries."""
-
-    def __init__(self, function):
-        super().__init__()
-        self.function, self.older = function, {}
-
-    def __missing__(self, key: str):
-        value = self.older.get(key, self)
-        if value is self:
-            value = self.function(key)
-        if len(key) <= REMEMBERED:
-            if len(self) >= MEMORY:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Tokenizer:
     """Text to ids and back, for a rank file and a split pattern."""
 
@@ -231,8 +214,8 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self.of_match = _Memory(lambda m: ",".join(map(str, self.transducer.encode(m.encode("utf-8", "surrogatepass")))))
-        self.of_chunk = _Memory(self._chunk)
+        self.of_match = Memory(lambda m: ",".join(map(str, self.transducer.encode(m.encode("utf-8", "surrogatepass")))), MEMORY, REMEMBERED)
+        self.of_chunk = Memory(self._chunk, MEMORY, REMEMBERED)
         self.bytes_of = {str(v): k for k, v in ranks.items()}
 
     def _matches(self, text: str) -> str:

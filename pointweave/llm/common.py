@@ -49,3 +49,22 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read from there afterwards."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Memory(dict):
+    """Remembers the results of a function of strings, in two generations of at most ``entries``."""
+
+    def __init__(self, function: Callable, entries: int, longest: int = 48):
+        super().__init__()
+        self.function, self.entries, self.longest, self.older = function, entries, longest, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key, self)
+        if value is self:
+            value = self.function(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.entries:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, sharding
+from . import bpe, chat, ordinal, packing, quality_rules, sharding, url_filter
 from .common import table
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 16 << 20
 #: Words in a packed sequence.
 SEQUENCE_WORDS = 2048
+#: Verdict, host and path of the URL rules of op5.
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: The conversation of control strings that op3 formats besides the table's.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -35,12 +37,32 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ordinal.grade(docs, ordinal_model(spark, sf_dir)).drop("text")
+
+
+def ordinal_model(spark: SparkSession, sf_dir: str) -> ordinal.OrdinalModel:
+    """The classifier fitted on the labelled documents of a folder."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", ordinal.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    return ordinal.train(table(spark, sf_dir, "documents"), labels)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), SEQUENCE_WORDS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_extendible_sharding, op3_chat_formatting, op4_byte_bpe, op8_best_fit_packing]
+    named = [op1_extendible_sharding, op2_quality_rules, op3_chat_formatting, op4_byte_bpe, op5_url_filter, op6_quality_classifier, op8_best_fit_packing]
     return {f.__name__: f for f in named}
 
 
@@ -62,6 +84,21 @@ leaf AS (SELECT doc_id, n_bytes, shard, local_depth, shard_bytes, shard_rows,
     row_number() OVER (PARTITION BY doc_id ORDER BY local_depth) AS r
     FROM d JOIN tree ON substr(bits, 1, local_depth) = shard WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1)
 SELECT doc_id, n_bytes, shard, local_depth::INTEGER AS local_depth, shard_bytes, shard_rows, shard_bytes > {SHARD_BYTES} AS oversize FROM leaf WHERE r = 1""",
+    "op2_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS g FROM d, range(1, len(w) - 3) AS r(i)),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win),
+rep AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM twice, range(0, 5) AS o(k) WHERE c > 1 GROUP BY doc_id),
+lines AS (SELECT doc_id, (count(*) - count(DISTINCT l))::BIGINT AS n
+    FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
+    FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars > 25 * n_words OR word_chars < 2 * n_words
+        OR 2 * n_upper > word_chars OR 4 * n_dup_lines > n_words) AS kept FROM b""",
     "op3_chat_formatting": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL VALUES (-7, 0, 'user', '{PROBE}'), (-7, 1, 'assistant', '{PROBE}'))
