@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,3 +69,28 @@ class Memory(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """``df`` written as compressed Parquet beside the checkpoints, in the shared folder, and read from there."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: Bits of the filter that goes before a join, and so eight times the bytes that are broadcast.
+FILTER_BITS = 1 << 26
+
+
+def bitmap_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key may be in ``wanted``: a one-hash filter of fixed size, broadcast.
+
+    It only saves shuffling rows that a following join drops anyway; with more keys than bits it passes more.
+    """
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))
+    bits = wanted.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("__bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("__bits"))
+    placed = df.withColumn("__p", place).withColumn("__bucket", F.expr("bitmap_bucket_number(__p)"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__p) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(__p) % 8 as int))")) != 0
+    return placed.join(F.broadcast(bits), "__bucket").where(hit).select(*df.columns)
