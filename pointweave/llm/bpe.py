@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Memory
 
 #: Entries of each memory that an encoder keeps (states, pairs, matches, chunks).
-MEMORY = 300_000
+MEMORY = 600_000
 #: Longest chunk of text whose result is remembered.
 REMEMBERED = 48
 
@@ -131,13 +131,17 @@ class Transducer:
                 follows = pairs.get(last << 32 | token)
                 if self._may_follow(last, token) if follows is None else follows:
                     live[token, first] = (*pending, token)
-        outputs, n = list(live.values()), 0
-        if outputs:
-            shortest = min(outputs, key=len)
-            while n < len(shortest) and all(o[n] == shortest[n] for o in outputs):
+        if len(live) == 1:  # one hypothesis: all its tokens are certain
+            ((last, node), emitted), = live.items()
+            after = ((last, node, ()),)
+        else:
+            n = 0
+            for column in zip(*live.values(), strict=False):
+                if len(set(column)) > 1:
+                    break
                 n += 1
-        emitted = outputs[0][:n] if n else ()
-        after = tuple(sorted([(k[0], k[1], out[n:]) for k, out in live.items()]))
+            emitted = next(iter(live.values()), ())[:n]
+            after = tuple(sorted([(last, node, out[n:]) for (last, node), out in live.items()]))
         number = self.number.get(after)
         if number is None:
             number = self.number[after] = len(self.states)
@@ -214,7 +218,7 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self.of_match = Memory(lambda m: ",".join(map(str, self.transducer.encode(m.encode("utf-8", "surrogatepass")))), MEMORY, REMEMBERED)
+        self.of_match = Memory(self._ids, MEMORY, REMEMBERED)
         self.of_chunk = Memory(self._chunk, MEMORY, REMEMBERED)
         self.bytes_of = {str(v): k for k, v in ranks.items()}
 
@@ -223,7 +227,15 @@ class Tokenizer:
 
     def _chunk(self, chunk: str) -> str | None:
         """Ids of a space and a chunk; None where the space may belong to a longer run of white space."""
-        return self._matches(" " + chunk) if chunk and chunk == chunk.strip() else None
+        if not chunk or chunk != chunk.strip():
+            return None
+        found = self.pattern.findall(" " + chunk)
+        if len(found) == 1:  # the chunk's own entry remembers it
+            return self.of_match.get(found[0]) or self._ids(found[0])
+        return ",".join(map(self.of_match.__getitem__, found))
+
+    def _ids(self, match: str) -> str:
+        return ",".join(map(str, self.transducer.encode(match.encode("utf-8", "surrogatepass"))))
 
     def encode(self, text: str) -> str:
         """Decimal ids joined by commas.

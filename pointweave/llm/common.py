@@ -83,14 +83,16 @@ def cut_table(df: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 26
 
 
-def bitmap_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose key may be in ``wanted``: a one-hash filter of fixed size, broadcast.
+def bitmap_split(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose key may be in ``wanted``, and those whose key surely is not.
 
-    It only saves shuffling rows that a following join drops anyway; with more keys than bits it passes more.
+    The filter has one hash and a fixed size, and is broadcast.  It only spares a following join the
+    shuffle of rows that have no partner; with more keys than bits it lets more rows through.
     """
     place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))
     bits = wanted.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("__bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("__bits"))
     placed = df.withColumn("__p", place).withColumn("__bucket", F.expr("bitmap_bucket_number(__p)"))
     byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__p) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(__p) % 8 as int))")) != 0
-    return placed.join(F.broadcast(bits), "__bucket").where(hit).select(*df.columns)
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(__p) % 8 as int))")) != 0, F.lit(False))
+    flagged = placed.join(F.broadcast(bits), "__bucket", "left").withColumn("__hit", hit)
+    return flagged.where("__hit").select(*df.columns), flagged.where("not __hit").select(*df.columns)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, bitmap_filter, cut, cut_table
+from .common import Memory, bitmap_split, cut, cut_table
 from .components import components
 
 #: Texts that one task's key compares with one central text.
@@ -132,7 +132,7 @@ def candidates(docs: DataFrame, left: DataFrame, frequent: np.ndarray, k: int, p
                 second.append(_signed(own[np.argsort(order_b(own), kind="stable")[:size]]).tolist())
             yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), b.column(1), pa.array(first, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int64())), b.column(2)], names=["doc_id", "n", "private", "a", "b", "text"])
 
-    few = bitmap_filter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", left)
+    few, _ = bitmap_split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", left)
     return few.join(left.select("doc_id", "private"), "doc_id").select("doc_id", "private", "text").mapInArrow(run, "doc_id long, n long, private long, a array<long>, b array<long>, text string")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, ordinal, packing, quality_rules, sharding, url_filter
+from . import bpe, chat, jaccard, ordinal, packing, quality_rules, sharding, substring, url_filter
 from .common import table
 
 #: Bytes of text in a shard.
@@ -57,6 +57,10 @@ def ordinal_model(spark: SparkSession, sf_dir: str) -> ordinal.OrdinalModel:
     return ordinal.train(table(spark, sf_dir, "documents"), labels)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), SEQUENCE_WORDS)
 
@@ -66,7 +70,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_extendible_sharding, op2_quality_rules, op3_chat_formatting, op4_byte_bpe, op5_url_filter, op6_quality_classifier, op8_best_fit_packing, op10_ngram_jaccard_join]
+    named = [op1_extendible_sharding, op2_quality_rules, op3_chat_formatting, op4_byte_bpe, op5_url_filter, op6_quality_classifier, op7_substring_dedup, op8_best_fit_packing, op10_ngram_jaccard_join]
     return {f.__name__: f for f in named}
 
 
