@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, ordinal, packing, quality_rules, sharding, substring, url_filter
+from . import bpe, chat, jaccard, lattice, ordinal, packing, quality_rules, sharding, substring, url_filter
 from .common import table
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 16 << 20
 #: Words in a packed sequence.
 SEQUENCE_WORDS = 2048
+#: Components of an embedding.
+EMBEDDING_DIM = 64
 #: Verdict, host and path of the URL rules of op5.
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: The conversation of control strings that op3 formats besides the table's.
@@ -65,12 +67,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), SEQUENCE_WORDS)
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), dim=EMBEDDING_DIM)
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_extendible_sharding, op2_quality_rules, op3_chat_formatting, op4_byte_bpe, op5_url_filter, op6_quality_classifier, op7_substring_dedup, op8_best_fit_packing, op10_ngram_jaccard_join]
+    named = [op1_extendible_sharding, op2_quality_rules, op3_chat_formatting, op4_byte_bpe, op5_url_filter, op6_quality_classifier, op7_substring_dedup, op8_best_fit_packing, op9_embedding_near_dedup, op10_ngram_jaccard_join]
     return {f.__name__: f for f in named}
 
 
