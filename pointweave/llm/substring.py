@@ -210,12 +210,13 @@ def cut_text(text: str, spans: list[dict], length: int) -> str:
 def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """The documents with all columns, their texts cut; a text of which no word stays goes, a clean one is unchanged."""
     rows = _with_spans(docs, repeats(docs, length, seed), "doc_id")
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [cut_text(t, s, length) for t, s in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True)]
-            columns = [pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in docs.columns]
-            yield pa.record_batch(columns, names=docs.columns)
+            columns = [pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names]
+            yield pa.record_batch(columns, names=names)
 
     changed = rows.where(F.col("__spans").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, docs.schema)
     changed = changed.where(F.regexp_like("text", F.lit("[^ \\t-\\r]")))
