@@ -137,7 +137,7 @@ def region_stats(spark, sf_dir):
 
 
 def elevation_profile(spark, sf_dir):
-    return rounded(G.elevation_profile(points(spark, sf_dir), PATH, 6.0, 2.5), 4)
+    return rounded(G.elevation_profile(points(spark, sf_dir), PATH, 6.0, 2.5), 7)
 
 
 def grid_volume(spark, sf_dir):
@@ -212,7 +212,7 @@ SELECT region_id, count(*) AS n FROM p JOIN b ON x BETWEEN a AND a + 6 AND y BET
 q AS (SELECT DISTINCT x, y FROM p), d AS (SELECT x, y, k, least(len, greatest(0, (x - ax) * ux + (y - ay) * uy)) AS al, * EXCLUDE (x, y, k) FROM q, l),
 m AS (SELECT x, y, first({{'d': (x - ax - al * ux)**2 + (y - ay - al * uy)**2, 's': al + s0}} ORDER BY (x - ax - al * ux)**2 + (y - ay - al * uy)**2, k) AS near FROM d GROUP BY ALL),
 c AS (SELECT cloud_id, least(27, floor(near.s / 2.5)::INT) AS bin, count(*) AS n, min(z) AS a, avg(z) AS b, median(z) AS c, max(z) AS d FROM p JOIN m USING (x, y) WHERE near.d <= 9 GROUP BY ALL)
-SELECT cloud_id, k::INT AS bin, k * 2.5::DOUBLE AS start, least(69, (k + 1) * 2.5)::DOUBLE AS end, coalesce(n, 0) AS n, round(a, 4) AS min_z, round(b, 4) AS mean_z, round(c, 4) AS median_z, round(d, 4) AS max_z
+SELECT cloud_id, k::INT AS bin, k * 2.5::DOUBLE AS start, least(69, (k + 1) * 2.5)::DOUBLE AS end, coalesce(n, 0) AS n, round(a, 7) AS min_z, round(b, 7) AS mean_z, round(c, 7) AS median_z, round(d, 7) AS max_z
 FROM (SELECT DISTINCT cloud_id FROM p), range(28) r(k) LEFT JOIN c USING (cloud_id) WHERE c.bin = k OR c.bin IS NULL""".replace("LEFT JOIN c USING (cloud_id) WHERE c.bin = k OR c.bin IS NULL", "LEFT JOIN (SELECT cloud_id AS ci, * EXCLUDE (cloud_id) FROM c) ON ci = cloud_id AND bin = k"),
     "grid_volume": f"""WITH {POINTS}, {_EDGES}, {_CELLS}, {_USED}, c AS (SELECT cloud_id, i, j, count(*) AS n, (avg(z) - 50) * 4 AS v FROM u GROUP BY ALL)
 SELECT cloud_id, count(*) AS occupied_cells, sum(n)::BIGINT AS n, round(sum(greatest(v, 0)), 2) AS above, round(sum(greatest(-v, 0)), 2) AS below, round(sum(greatest(v, 0)) - sum(greatest(-v, 0)), 2) AS net,
