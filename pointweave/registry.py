@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("timing", "points", "neighbors", "telemetry", "sequences")
+MODULES: tuple[str, ...] = ("timing", "points", "neighbors", "telemetry", "sequences", "streams")
 
 
 def _loaded():
