@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body names it.
 
@@ -90,9 +98,10 @@ def bitmap_split(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame,
     shuffle of rows that have no partner; with more keys than bits it lets more rows through.
     """
     place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))
-    bits = wanted.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("__bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("__bits"))
-    placed = df.withColumn("__p", place).withColumn("__bucket", F.expr("bitmap_bucket_number(__p)"))
-    byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__p) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(__p) % 8 as int))")) != 0, F.lit(False))
-    flagged = placed.join(F.broadcast(bits), "__bucket", "left").withColumn("__hit", hit)
-    return flagged.where("__hit").select(*df.columns), flagged.where("not __hit").select(*df.columns)
+    bucket, bit, bits, hit = (fresh(df, c) for c in ("__bucket", "__bit", "__bits", "__hit"))
+    made = wanted.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias(bucket)).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias(bits))
+    placed = df.withColumn(bit, place).withColumn(bucket, F.expr(f"bitmap_bucket_number({bit})"))
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast(bitmap_bit_position({bit}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    on = F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position({bit}) % 8 as int))")) != 0, F.lit(False))
+    flagged = placed.join(F.broadcast(made), bucket, "left").withColumn(hit, on)
+    return flagged.where(F.col(hit)).select(*df.columns), flagged.where(~F.col(hit)).select(*df.columns)

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, bind, word_count, words
+from .common import SEPARATORS, bind, fresh, word_count, words
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -85,8 +85,9 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper and base_failed."""
     text = F.col(text_col)
     both = bind(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
-    out = docs.withColumn("__m", both)
-    out = out.withColumns({"n_words": F.col("__m.n"), "word_chars": word_chars(text), "n_symbols": symbol_count(text), "n_dup_lines": duplicate_lines(text), "n_repeat_words": F.col("__m.r"), "n_upper": upper_count(text)}).drop("__m")
+    m = fresh(docs, "__m")
+    out = docs.withColumn(m, both)
+    out = out.withColumns({"n_words": F.col(f"{m}.n"), "word_chars": word_chars(text), "n_symbols": symbol_count(text), "n_dup_lines": duplicate_lines(text), "n_repeat_words": F.col(f"{m}.r"), "n_upper": upper_count(text)}).drop(m)
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 

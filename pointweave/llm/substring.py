@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, bitmap_split, cut, cut_table
+from .common import Memory, bitmap_split, cut, cut_table, fresh
 
 #: Words of a window, and of a seed.
 LENGTH, SEED = 50, 8
@@ -159,19 +159,19 @@ def covered(spans: list[dict] | None, n: int, length: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _with_spans(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """Documents with their spans (null for none); only documents that may have some are shuffled."""
-    found = found.select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"))
-    maybe, never = bitmap_split(docs, key, found.withColumnRenamed("__doc", key))
-    hit = maybe.join(found, maybe[key] == found["__doc"], "left").drop("__doc")
-    kind = found.schema["__spans"].dataType
-    return hit.unionByName(never.withColumn("__spans", F.lit(None).cast(kind)))
+def _with_spans(docs: DataFrame, found: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """Documents with their spans (null for none), and that column's name; only documents that may have some are shuffled."""
+    doc, spans = fresh(docs, "__doc"), fresh(docs, "__spans")
+    found = found.select(F.col("doc").alias(doc), F.col("spans").alias(spans))
+    maybe, never = bitmap_split(docs, key, found.withColumnRenamed(doc, key))
+    hit = maybe.join(found, maybe[key] == found[doc], "left").drop(doc)
+    return hit.unionByName(never.withColumn(spans, F.lit(None).cast(found.schema[spans].dataType))), spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256``; the digest is of the kept words joined by one space."""
     found = repeats(docs, length, seed)
-    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), found, "doc_id")
+    rows, spans_col = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), found, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,7 +190,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
                 digests.append(hashlib.sha256(b" ".join(words_kept)).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "text", spans_col).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_text(text: str, spans: list[dict], length: int) -> str:
@@ -209,18 +209,18 @@ def cut_text(text: str, spans: list[dict], length: int) -> str:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """The documents with all columns, their texts cut; a text of which no word stays goes, a clean one is unchanged."""
-    rows = _with_spans(docs, repeats(docs, length, seed), "doc_id")
+    rows, spans_col = _with_spans(docs, repeats(docs, length, seed), "doc_id")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [cut_text(t, s, length) for t, s in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True)]
+            texts = [cut_text(t, s, length) for t, s in zip(b.column("text").to_pylist(), b.column(spans_col).to_pylist(), strict=True)]
             columns = [pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names]
             yield pa.record_batch(columns, names=names)
 
-    changed = rows.where(F.col("__spans").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, docs.schema)
+    changed = rows.where(F.col(spans_col).isNotNull() & F.col("text").isNotNull()).mapInArrow(run, docs.schema)
     changed = changed.where(F.regexp_like("text", F.lit("[^ \\t-\\r]")))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    same = rows.where(F.col("__spans").isNull() | F.col("text").isNull()).select(*docs.columns)
+    same = rows.where(F.col(spans_col).isNull() | F.col("text").isNull()).select(*docs.columns)
     return same.unionByName(changed)
