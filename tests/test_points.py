@@ -25,7 +25,7 @@ def test_polygon_boundary_is_inside_and_faults(spark):
     square = O.Polygon(((0, 0), (2, 0), (2, 2), (0, 2)))
     p = cloud(spark, [(0, 0, 0), (1, 0, 0), (1, 1, 0), (3, 1, 0), (2, 2, 0)])
     assert sorted(r.ordinal for r in O.select_polygon(p, square).collect()) == [0, 1, 2, 4]
-    assert O.polygon_fault(((0, 0), (2, 2), (2, 0), (0, 2))) == "edges cross"
+    assert O.polygon_fault(((0, 0), (2, 2), (2, 0), (0, 3))) == "edges cross"
     with pytest.raises(ValueError):
         O.Polygon(((0, 0), (1, 1)))
 
