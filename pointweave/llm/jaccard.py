@@ -9,13 +9,13 @@ tokens of either, so under any global order of tokens their prefixes must meet.
    tokens, without pairs.
 3. What is left gets prefixes under order A with tokens that step 2 found frequent moved to the end, and under
    an independent order B.
-4. Star rounds: in every token's group each document is held against one central member of another component,
-   the one that leads most of its tokens.  Groups of copies collapse here with one comparison a document.
-5. Documents of one group that are still in different components are paired, if their sizes agree and they
-   share a token under order A and under order B as well; these pairs are verified too.  No other pair can
-   link two components, so components are exact, and no pair within a component is made.
-
-Verification streams texts past a central text, sorted by it, at most ``FAN`` of them in a row of tasks' keys.
+4. A star round: in every token's group each document is held against one central member, the one that leads
+   most of its tokens.  Groups of copies collapse here with one comparison a document.
+5. What is still in different components goes to blocks.  Documents with the same center form pods, pods are cut
+   into chunks of about ``CHUNK`` documents, and two chunks meet if they share a token of order A in a group that holds
+   several components.  In a block, pairs of different components that fit in size and share prefix tokens
+   under order A and under order B are verified by exact counts.  No pair is emitted but the links found, and
+   no other pair can link two components, so components are exact.
 
 Defined results
     * null, empty or blank text: no shingles, linked with nothing, its own component.
@@ -36,14 +36,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, bitmap_split, cut, cut_table
+from .common import Memory, bitmap_split, cut_table
 from .components import components
 
 #: Texts that one task's key compares with one central text.
 FAN = 512
 #: Frequent tokens that are moved to the end of order A, at most.
 FREQUENT = 100_000
-STAR_ROUNDS = 3
+#: Documents in a chunk of a pod.
+CHUNK = 1536
+#: Steps from a document's center to the center's own.
+PULLS = 2
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -115,25 +118,24 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
 
 
-def candidates(docs: DataFrame, left: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
-    """``doc_id, n, private, a, b, text`` of the documents that are left; a and b are prefixes under both orders."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT tokens
+def two_prefixes(own: np.ndarray, late: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The long prefix of a set under order A, with the late tokens last, and its prefix under order B."""
+    miss = _may_miss(len(own), percent)
+    is_late = late[np.searchsorted(late, own).clip(0, len(late) - 1)] == own if len(late) else np.zeros(len(own), bool)
+    return np.concatenate([own[~is_late], own[is_late]])[: miss + max(1, miss // 2)], own[np.argsort(order_b(own), kind="stable")[: miss + 1]]
+
+
+def candidates(docs: DataFrame, left: DataFrame, late, k: int, percent: int) -> DataFrame:
+    """``doc_id, n, private, a, text`` of the documents that are left; a is the long prefix under order A."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = shared.value
         for b in batches:
-            sizes, first, second = [], [], []
-            for t in b.column(2):
-                own = shingle_set(t.as_py(), k)
-                size = _may_miss(len(own), percent) + 1
-                is_late = late[np.searchsorted(late, own).clip(0, max(0, len(late) - 1))] == own if len(late) else np.zeros(len(own), bool)
-                sizes.append(len(own))
-                first.append(_signed(np.concatenate([own[~is_late], own[is_late]])[:size]).tolist())
-                second.append(_signed(own[np.argsort(order_b(own), kind="stable")[:size]]).tolist())
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), b.column(1), pa.array(first, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int64())), b.column(2)], names=["doc_id", "n", "private", "a", "b", "text"])
+            sets = [shingle_set(t.as_py(), k) for t in b.column(2)]
+            first = [_signed(two_prefixes(own, late.value, percent)[0]).tolist() for own in sets]
+            yield pa.record_batch([b.column(0), pa.array([len(x) for x in sets], pa.int64()), b.column(1), pa.array(first, pa.list_(pa.int64())), b.column(2)], names=["doc_id", "n", "private", "a", "text"])
 
     few, _ = bitmap_split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", left)
-    return few.join(left.select("doc_id", "private"), "doc_id").select("doc_id", "private", "text").mapInArrow(run, "doc_id long, n long, private long, a array<long>, b array<long>, text string")
+    return few.join(left.select("doc_id", "private"), "doc_id").select("doc_id", "private", "text").mapInArrow(run, "doc_id long, n long, private long, a array<long>, text string")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -166,73 +168,131 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return dealt.mapInArrow(run, "doc long, center long")
 
 
-def _joined(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Members with the component they are in by the links so far."""
-    if links is None:
-        return members.withColumn("comp", F.col("doc"))
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """For each document the member that leads most of the tokens they share, if those are enough."""
+    first = members.groupBy("token").agg(F.min(F.struct("private", "doc")).alias("first"))
+    leads = members.join(first, "token").select("doc", F.col("first.doc").alias("center"), _needed(F.col("n"), percent).alias("need")).where("doc != center")
+    votes = leads.groupBy("doc", "center").agg(F.count("*").alias("votes"), F.min("need").alias("need")).where("votes >= need")
+    return votes.groupBy("doc").agg(F.max(F.struct("votes", (-F.col("center")).alias("minus"))).alias("best")).select("doc", (-F.col("best.minus")).alias("center"))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """The sizes of all intersections of two lists of sets, by products of 0/1 matrices of bounded width."""
+    sizes_l, sizes_r = [len(x) for x in left], [len(x) for x in right]
+    flat = np.concatenate([*left, *right]) if left or right else np.zeros(0, np.uint64)
+    kinds, where, count = np.unique(flat, return_inverse=True, return_counts=True)
+    useful = np.flatnonzero(count > 1)
+    rank = np.full(len(kinds), -1)
+    rank[useful] = np.arange(len(useful))
+    column = rank[where]
+    row = np.repeat(np.arange(len(left) + len(right)), sizes_l + sizes_r)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(useful), width):
+        own = (column >= at) & (column < at + width)
+        m = np.zeros((len(left) + len(right), min(width, len(useful) - at)), np.float32)
+        m[row[own], column[own] - at] = 1.0
+        out += m[: len(left)] @ m[len(left) :].T
+    return out.astype(np.int64)
+
+
+def block_links(docs: list[tuple[int, int, str]], left: np.ndarray, right: np.ndarray, late: np.ndarray, k: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the left and the right documents (id, component, text) of a block that lie in different components."""
+    sets = [shingle_set(text, k) for _, _, text in docs]
+    two = [two_prefixes(x, late, percent) for x in sets]
+    n = np.array([len(x) for x in sets])
+    comp = np.array([c for _, c, _ in docs])
+    x, y = np.flatnonzero(left), np.flatnonzero(right)
+    maybe = (comp[x][:, None] != comp[y][None, :]) & (n[x][:, None] * 100 >= n[y][None, :] * percent) & (n[y][None, :] * 100 >= n[x][:, None] * percent)
+    for order in (0, 1):
+        rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+        if not len(rows):
+            return []
+        x, y, maybe = x[rows], y[cols], maybe[np.ix_(rows, cols)]
+        maybe &= overlaps([two[i][order] for i in x], [two[i][order] for i in y]) > 0
+    rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+    if not len(rows):
+        return []
+    x, y, maybe = x[rows], y[cols], maybe[np.ix_(rows, cols)]
+    both = overlaps([sets[i] for i in x], [sets[i] for i in y])
+    hit = maybe & (100 * both >= percent * (n[x][:, None] + n[y][None, :] - both))
+    return [(docs[x[i]][0], docs[y[j]][0]) for i, j in zip(*np.nonzero(hit), strict=True)]
+
+
+def _blocks(members: DataFrame, pods: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """``p, q, doc, comp, left, right``: for each pair of chunks the documents of both that may have partners there."""
     known = components(links, "doc", "center")
-    return members.join(known, members["doc"] == known["id"], "left").select("token", "doc", "n", "private", F.coalesce("component_id", "doc").alias("comp"))
+    for _ in range(PULLS):  # a center has fewer tokens of its own, so centers lead to the middle of their group
+        up = pods.select(F.col("doc").alias("center"), F.col("center").alias("upper"))
+        pods = pods.join(up, "center", "left").select("doc", F.coalesce("upper", "center").alias("center"))
+    own = pods.groupBy("center").agg(F.lit(1)).select(F.col("center").alias("doc"), "center")
+    pods = pods.unionByName(own.join(pods, "doc", "left_anti"))
+    docs = members.groupBy("doc").agg(F.min(_needed(F.col("n"), percent)).alias("need")).join(pods, "doc", "left").withColumn("pod", F.coalesce("center", "doc"))
+    docs = docs.join(known, F.col("doc") == F.col("id"), "left").select("doc", "pod", "need", F.coalesce("component_id", "doc").alias("comp"))
+    chunks = docs.groupBy("pod").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    docs = cut_table(docs.join(chunks, "pod").withColumn("chunk", F.xxhash64("pod", F.pmod(F.xxhash64("doc"), "chunks"))).select("doc", "comp", "chunk", "need"))
+    own = members.select("token", "doc").join(docs, "doc")
+    at = own.groupBy("token", "chunk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    mixed = at.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l != h").select("token")
+    at = cut_table(at.join(mixed, "token").select("token", F.col("chunk").alias("other"), "low", "high"))
+    met = own.join(at, "token").where("comp != low or comp != high").groupBy("doc", "comp", "chunk", "other").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    met = cut_table(met.where("n >= need").select("doc", "comp", "chunk", "other"))  # a partner shares that many tokens, so its chunk does
+    first, both = F.col("chunk") <= F.col("other"), F.col("chunk") == F.col("other")
+    placed = met.select(F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "doc", "comp", first.alias("left"), (~first | both).alias("right"))
+    two = placed.groupBy("p", "q").agg(F.max("left").alias("l"), F.max("right").alias("r")).where("l and r").select("p", "q")
+    return placed.join(two, ["p", "q"])
+
+
+def _linked(blocks: DataFrame, texts: DataFrame, late, k: int, percent: int) -> DataFrame:
+    """The links that blocks hold."""
+    dealt = blocks.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("p", "q", "doc", "comp", "left", "right", "text").repartition("p", "q").sortWithinPartitions("p", "q")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, left, right = None, [], [], []
 
-def _stars(members: DataFrame) -> DataFrame:
-    """For each document the member of another component that leads most of the tokens they share."""
-    rank = F.struct("private", "doc", "comp")
-    first = members.groupBy("token").agg(F.min(rank).alias("first"))
-    with_first = members.join(first, "token")
-    second = with_first.where(F.col("comp") != F.col("first.comp")).groupBy("token").agg(F.min(rank).alias("second"))
-    leads = with_first.join(second, "token").select("doc", F.when(F.col("comp") != F.col("first.comp"), F.col("first.doc")).otherwise(F.col("second.doc")).alias("center"))
-    votes = leads.groupBy("doc", "center").agg(F.count("*").alias("votes"))
-    return votes.groupBy("doc").agg(F.max(F.struct("votes", (-F.col("center")).alias("minus"))).alias("best")).select("doc", (-F.col("best.minus")).alias("center"))
+        def found() -> pa.RecordBatch:
+            links = block_links(own, np.array(left), np.array(right), late.value, k, percent) if own else []
+            return pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["doc", "center"])
 
+        for b in batches:
+            for p, q, doc, comp, is_left, is_right, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if at != (p, q):
+                    yield found()
+                    at, own, left, right = (p, q), [], [], []
+                own.append((doc, comp, text))
+                left.append(is_left)
+                right.append(is_right)
+        yield found()
 
-def _cross_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share prefix tokens under both orders and fit in size."""
-    x, y = members.alias("x"), members.alias("y")
-    fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    pairs = x.join(y, "token").where((F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & fits)
-    pairs = pairs.select(F.col("y.doc").alias("doc"), F.col("x.doc").alias("center")).distinct()
-    order = sets.select("doc_id", "b")
-    both = pairs.join(order.select(F.col("doc_id").alias("doc"), F.col("b").alias("bx")), "doc").join(order.select(F.col("doc_id").alias("center"), F.col("b").alias("by")), "center")
-    return both.where(F.arrays_overlap("bx", "by")).select("doc", "center")
+    return dealt.mapInArrow(run, "doc long, center long")
 
 
-def similar_components(docs: DataFrame, k: int, percent: int, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: similarity is at least ``percent`` hundredths."""
-    base = cut(prefixes(docs, k, percent))
+    base = cut_table(prefixes(docs, k, percent))
     some = base.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = cut(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
+    classes = cut_table(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
     tokens = some.select("doc_id", "n", F.explode("prefix").alias("token"))
-    counted = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > 1)
-    counted = cut(counted)
+    counted = cut_table(tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > 1))
     most = max(64, (counted.agg(F.sum("df")).first()[0] or 0) // FREQUENT)
     frequent = counted.where(F.col("df") > most).select("token").toArrow().column(0).to_numpy()  # fewer than FREQUENT rows
-    frequent = np.sort(frequent.astype(np.int64).view(np.uint64))
+    late = docs.sparkSession.sparkContext.broadcast(np.sort(frequent.astype(np.int64).view(np.uint64)))
     held = tokens.join(counted.select("token"), "token").groupBy("doc_id", "n").agg(F.count("*").alias("held"))
     held = held.where(F.col("held") >= _needed(F.col("n"), percent))
     miss = F.col("n") - F.ceil(F.col("n") * percent / 100)
     left = held.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    left = cut(left.groupBy("doc_id").agg(F.min(miss + F.greatest(F.lit(1), F.floor(miss / 2)) - F.col("held")).cast("long").alias("private")))
-    sets = cut_table(candidates(docs, left, frequent, k, percent))
+    left = cut_table(left.groupBy("doc_id").agg(F.min(miss + F.greatest(F.lit(1), F.floor(miss / 2)) - F.col("held")).cast("long").alias("private")))
+    sets = cut_table(candidates(docs, left, late, k, percent))
     texts = sets.select("doc_id", "text")
-    members = sets.select(F.explode("a").alias("token"), F.col("doc_id").alias("doc"), "n", "private").distinct()
-    alone = members.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("token")
-    members = cut(members.join(alone, "token"))
-    links = None
-    for _ in range(star_rounds):
-        pairs = cut(_stars(_joined(members, links)))
-        if pairs.isEmpty():
-            break
-        new = cut(verified(pairs, texts, k, percent))
-        if new.isEmpty():
-            break
-        links = new if links is None else links.unionByName(new)
-    pairs = cut(_cross_pairs(cut(_joined(members, links)), sets, percent))
-    if not pairs.isEmpty():
-        new = cut(verified(pairs, texts, k, percent))
-        links = new if links is None else links.unionByName(new)
+    members = sets.select(F.explode("a").alias("token"), F.col("doc_id").alias("doc"), "private", "n").distinct()
+    several = members.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("token")
+    members = cut_table(members.join(several, "token"))
+    enough = members.groupBy("doc", "n").agg(F.count("*").alias("c")).where(F.col("c") >= _needed(F.col("n"), percent)).select("doc").distinct()
+    members = cut_table(members.join(enough, "doc"))
+    pods = cut_table(_stars(members, percent))
+    stars = cut_table(verified(pods, texts, k, percent))
+    links = stars.unionByName(cut_table(_linked(_blocks(members, pods, stars, percent), texts, late, k, percent)))
     copies = base.join(classes, ["s1", "s2"]).where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("doc"), F.col("rep").alias("center"))
-    all_links = copies if links is None else copies.unionByName(links)
-    known = components(all_links, "doc", "center")
+    known = components(copies.unionByName(links), "doc", "center")
     return base.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
