@@ -152,19 +152,20 @@ def scan_ply(listing: DataFrame) -> DataFrame:
     return _scan(listing, POINTS, lambda path, content: _point_batches(path, decode_ply(content)))
 
 
-_HEAD = struct.Struct("<IdI")
+#: A header: id, seconds, count or size.
+_HEAD, _HEAD_SIZE = "<IdI", 16
 
 
 def frame_index(content: bytes) -> tuple[int, list[tuple[int, float, int, int]]]:
     """The record size (15 or 16 bytes) and id, time, count and payload offset of each frame; the size is the one that fits."""
     for size in (15, 16):
         at, out = 0, []
-        while at + _HEAD.size <= len(content):
-            frame, seconds, count = _HEAD.unpack_from(content, at)
-            end = at + _HEAD.size + count * size
+        while at + _HEAD_SIZE <= len(content):
+            frame, seconds, count = struct.unpack_from(_HEAD, content, at)
+            end = at + _HEAD_SIZE + count * size
             if end > len(content):
                 break
-            out.append((frame, seconds, count, at + _HEAD.size))
+            out.append((frame, seconds, count, at + _HEAD_SIZE))
             at = end
         if at == len(content) and out:
             return size, out
@@ -204,12 +205,12 @@ def scan_images(listing: DataFrame) -> DataFrame:
 
     def decode(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
         at, rows = 0, []
-        while at + _HEAD.size <= len(content):
-            frame, seconds, size = _HEAD.unpack_from(content, at)
-            if size == 0 or at + _HEAD.size + size > len(content):
+        while at + _HEAD_SIZE <= len(content):
+            frame, seconds, size = struct.unpack_from(_HEAD, content, at)
+            if size == 0 or at + _HEAD_SIZE + size > len(content):
                 break
-            rows.append((path, len(rows), frame, seconds, at + _HEAD.size, size))
-            at += _HEAD.size + size
+            rows.append((path, len(rows), frame, seconds, at + _HEAD_SIZE, size))
+            at += _HEAD_SIZE + size
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[f.split()[0] for f in IMAGES.split(", ")])
 
