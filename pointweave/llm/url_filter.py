@@ -3,10 +3,12 @@
 Rules decide what they fit.  The URLs that a rule allows train one smoothed variable-order Markov model, those
 that a rule blocks another: counts of all four-grams over all such URLs, interpolated from order 3 down to
 0 with Witten-Bell weights.  Any other URL gets the mean difference of its log-likelihoods a character, held against a
-threshold that is calibrated on ruled URLs kept out of training.  Each distinct URL is scored once.
+threshold that is calibrated on ruled URLs kept out of training.  Each distinct URL is scored once.  The models read
+the URL as it stands, every character of it: scheme, query and fragment too, and no character is folded into another.
 
 Defined results
-    * null URL, or none with ``://``: host and path empty, no rule, judged by the models as an empty text.
+    * no ``://`` in the URL: host and path empty for the rules; the models read the URL.
+    * null URL: as an empty one.
     * several rules fit: the longest host and path together wins.
     * no ruled URL of either kind in training: threshold and score 0, verdict ``allow``.
     * repeated rows and rows with equal URLs: equal verdicts.  Empty input: no rows.
@@ -20,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bind, cut
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
@@ -28,6 +30,10 @@ Rule = tuple[str, str, str]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Context characters of the models' highest order.
 ORDER = 3
+#: Marks before and after a text: control characters, which no valid URL has.
+START, END = "\x02", "\x03"
+#: A gram that is more than one in so many of all grams is common; so there are fewer common ones than this.
+COMMON = 4096
 #: Scores are summed as whole millionths, so that sums do not depend on their order.
 UNIT = 1_000_000
 #: One part in so many of the ruled URLs calibrates the threshold and does not train.
@@ -51,21 +57,15 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return name, verdict
 
 
-def spelled(host: Column, path: Column) -> Column:
-    """The text that the models read: 26 letters, 0 for digits, some marks, ``~`` for all else."""
-    plain = F.translate(F.translate(F.concat(host, path), UPPER, LOWER), "123456789", "000000000")
-    return F.regexp_replace(plain, "[^a-z0/.\\-_%=+]", "~")
-
-
 def grams(text: Column) -> Column:
-    """All four-grams of a text with three marks before and one after: one for each character."""
-    padded = F.concat(F.lit("^" * ORDER), text, F.lit("$"))
-    return F.transform(F.sequence(F.lit(1), F.length(padded) - ORDER), lambda i: F.substring(padded, i, ORDER + 1))
+    """All four-grams of a text with three marks before and one after: one for each character and one for the end."""
+    padded = F.concat(F.lit(START * ORDER), text, F.lit(END))
+    return bind(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - ORDER), lambda i: F.substring(p, i, ORDER + 1)))
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
     """``gram, yes, no`` to ``gram, ratio``: the difference of the models' smoothed log-probabilities."""
-    alphabet = 26 + 1 + 9 + 1
+    alphabet = max(1, counts.select(F.substring("gram", ORDER + 1, 1)).distinct().count())
     lower = None
     for k in range(ORDER + 1):
         own = counts.groupBy(F.substring("gram", ORDER + 1 - k, k + 1).alias("g")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
@@ -77,10 +77,16 @@ def log_ratios(counts: DataFrame) -> DataFrame:
     return lower.select(F.col("tail").alias("gram"), F.round((F.log("p_yes") - F.log("p_no")) * UNIT).cast("long").alias("ratio"))
 
 
-def scores(texts: DataFrame, ratios: DataFrame) -> DataFrame:
-    """``s`` to ``s, score``: mean log-ratio a character in units of ``UNIT``."""
-    each = texts.select("s", F.explode(grams(F.col("s"))).alias("gram"))
-    return each.join(ratios, "gram").groupBy("s").agg(F.floor(F.sum("ratio") / F.count("*")).cast("long").alias("score"))
+def scores(texts: DataFrame, ratios: DataFrame, common: DataFrame) -> DataFrame:
+    """``id, s`` to ``id, score``: mean log-ratio a character in units of ``UNIT``.
+
+    Grams that occur in most texts are joined without a shuffle, as each is one key with a row for every text.
+    """
+    each = texts.select("id", (F.length("s") + 1).alias("n"), F.explode(grams(F.col("s"))).alias("gram"))
+    few = F.broadcast(ratios.join(F.broadcast(common), "gram", "left_semi"))
+    rest = each.join(F.broadcast(common), "gram", "left_anti").join(ratios, "gram")
+    both = each.join(few, "gram").unionByName(rest)
+    return both.groupBy("id").agg(F.floor(F.sum("ratio") / F.max("n")).cast("long").alias("score"))
 
 
 def threshold(scored: DataFrame, step: int = UNIT // 100, most: int = 2000) -> int:
@@ -103,17 +109,20 @@ def threshold(scored: DataFrame, step: int = UNIT // 100, most: int = 2000) -> i
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, score``; the score is null where a rule decides."""
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.coalesce(F.col(url_col), F.lit("")).alias("s"))
     name, kind = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": name, "kind": kind, "s": spelled(F.col("host"), F.col("path"))})
-    texts = rows.groupBy("s").agg(F.max("kind").alias("kind"), F.count_if(F.col("kind").isNull()).alias("open"))
-    texts = texts.withColumn("fold", F.pmod(F.xxhash64("s"), F.lit(FOLDS)))
+    rows = rows.withColumns({"rule": name, "kind": kind})
+    texts = rows.groupBy("s").agg(F.max("kind").alias("kind"))  # equal URLs have equal kinds
+    texts = cut(texts.withColumns({"id": F.monotonically_increasing_id(), "fold": F.pmod(F.xxhash64("s"), F.lit(FOLDS))}))
     trains = (F.col("fold") > 0) & F.col("kind").isNotNull()
-    counts = texts.select(F.explode(grams(F.col("s"))).alias("gram"), (trains & (F.col("kind") == "allow")).cast("long").alias("yes"), (trains & (F.col("kind") == "block")).cast("long").alias("no")).groupBy("gram").agg(F.sum(F.coalesce("yes", F.lit(0))).alias("yes"), F.sum(F.coalesce("no", F.lit(0))).alias("no"))
-    ratios = cut(log_ratios(cut(counts)))
+    each = texts.select(F.explode(grams(F.col("s"))).alias("gram"), (trains & (F.col("kind") == "allow")).cast("long").alias("yes"), (trains & (F.col("kind") == "block")).cast("long").alias("no"))
+    counts = cut(each.groupBy("gram").agg(F.sum(F.coalesce("yes", F.lit(0))).alias("yes"), F.sum(F.coalesce("no", F.lit(0))).alias("no"), F.count("*").alias("n")))
+    common = counts.join(counts.agg(F.sum("n").alias("all")), F.col("n") * COMMON > F.col("all")).select("gram")
+    ratios = cut(log_ratios(counts))
     held_out = texts.where((F.col("fold") == 0) & F.col("kind").isNotNull())
-    limit = threshold(scores(held_out.select("s"), ratios).join(held_out.select("s", "kind"), "s"))
-    scored = scores(texts.where(F.col("open") > 0).select("s"), ratios)
+    limit = threshold(scores(held_out, ratios, common).join(held_out.select("id", "kind"), "id"))
+    open_texts = texts.where(F.col("kind").isNull())
+    scored = scores(open_texts, ratios, common).join(open_texts.select("id", "s"), "id").select("s", "score")
     judged = rows.join(scored, "s", "left")
     return judged.select(
         "page_id", "host", "path", "rule",

@@ -204,6 +204,19 @@ def test_url_rules_and_models(spark):
     assert (rows[407].verdict, rows[408].verdict) == ("allow", "block")
 
 
+def test_url_models_read_the_whole_url(spark):
+    rules = (("allow", "com", "/"), ("block", "net", "/"))
+    urls = [f"http://h{i}.com/p?ref=friends#top{i}" for i in range(60)] + [f"ftp://h{i}.net/p?ref=casino#é{i}" for i in range(60)]
+    pairs = [("http://h.org/p?ref=friends", "http://h.org/p?ref=casino"), ("http://h.org/#top", "http://h.org/#é"), ("http://h.org/", "ftp://h.org/"), ("http://h.org/1", "http://h.org/2"), ("http://h.org/é", "http://h.org/ü"), ("ref=friends", "ref=casino")]
+    n = len(urls)
+    urls += [u for pair in pairs for u in pair] + [None, ""]
+    rows = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    scores = [rows[i].score for i in range(n, len(urls))]
+    assert len(rows) == len(urls) and all(scores[k] != scores[k + 1] for k in range(0, 2 * len(pairs), 2))
+    assert scores[0] > scores[1] and (rows[n + 10].verdict, rows[n + 11].verdict) == ("allow", "block")
+    assert scores[-1] == scores[-2] is not None and rows[n + 10].host == ""
+
+
 def test_classifier_held_out(spark):
     docs, labels = (common.table(spark, SF.replace("0.001", "0.01"), t) for t in ("documents", "labels"))
     graded = labels.select("doc_id", ordinal.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
