@@ -1,17 +1,18 @@
 """URL filter: host and path rules, and two character language models for the rest, in built-in functions.
 
 Rules decide what they fit.  The URLs that a rule allows train one smoothed variable-order Markov model, those
-that a rule blocks another: counts of all four-grams over all such URLs, interpolated from order 3 down to
+that a rule blocks another: counts of all eight-grams over all such rows, interpolated from order 7 down to
 0 with Witten-Bell weights.  Any other URL gets the mean difference of its log-likelihoods a character, held against a
-threshold that is calibrated on ruled URLs kept out of training.  Each distinct URL is scored once.  The models read
+threshold.  A first fit that leaves out one distinct URL in five, with all its rows, calibrates the threshold on the
+rows left out; the scores come from a second fit on all ruled rows.  Each distinct URL is scored once.  The models read
 the URL as it stands, every character of it: scheme, query and fragment too, and no character is folded into another.
 
 Defined results
     * no ``://`` in the URL: host and path empty for the rules; the models read the URL.
     * null URL: as an empty one.
     * several rules fit: the longest host and path together wins.
-    * no ruled URL of either kind in training: threshold and score 0, verdict ``allow``.
-    * repeated rows and rows with equal URLs: equal verdicts.  Empty input: no rows.
+    * no ruled URL of either kind: threshold and score 0, verdict ``allow``.
+    * repeated rows and rows with equal URLs: equal verdicts; each row counts in the models and the threshold.  Empty input: no rows.
     * extra columns are not read.
 """
 
@@ -29,14 +30,14 @@ Rule = tuple[str, str, str]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Context characters of the models' highest order.
-ORDER = 3
+ORDER = 7
 #: Marks before and after a text: control characters, which no valid URL has.
 START, END = "\x02", "\x03"
 #: A gram that is more than one in so many of all grams is common; so there are fewer common ones than this.
 COMMON = 4096
 #: Scores are summed as whole millionths, so that sums do not depend on their order.
 UNIT = 1_000_000
-#: One part in so many of the ruled URLs calibrates the threshold and does not train.
+#: One part in so many of the ruled URLs calibrates the threshold and is not in the first fit.
 FOLDS = 5
 
 
@@ -58,7 +59,7 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
 
 
 def grams(text: Column) -> Column:
-    """All four-grams of a text with three marks before and one after: one for each character and one for the end."""
+    """All eight-grams of a text with seven marks before and one after: one for each character and one for the end."""
     padded = F.concat(F.lit(START * ORDER), text, F.lit(END))
     return bind(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - ORDER), lambda i: F.substring(p, i, ORDER + 1)))
 
@@ -90,9 +91,9 @@ def scores(texts: DataFrame, ratios: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def threshold(scored: DataFrame, step: int = UNIT // 100, most: int = 2000) -> int:
-    """The score from which on URLs are allowed: least sum of both error rates over ``score, kind``."""
+    """The score from which on URLs are allowed: least sum of both error rates over ``score, kind, rows``."""
     steps = F.greatest(F.lit(-most), F.least(F.lit(most), F.floor(F.col("score") / step)))
-    counted = scored.groupBy(steps.cast("int").alias("at")).agg(F.count_if(F.col("kind") == "allow").alias("yes"), F.count_if(F.col("kind") == "block").alias("no"))
+    counted = scored.groupBy(steps.cast("int").alias("at")).agg(*[F.sum(F.when(F.col("kind") == kind, F.col("rows")).otherwise(0)).alias(c) for c, kind in (("yes", "allow"), ("no", "block"))])
     rows = sorted(tuple(r) for r in counted.collect())  # at most 2 * most + 1 rows, whatever the input
     all_yes, all_no = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not all_yes or not all_no:
@@ -112,15 +113,17 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.coalesce(F.col(url_col), F.lit("")).alias("s"))
     name, kind = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "kind": kind})
-    texts = rows.groupBy("s").agg(F.max("kind").alias("kind"))  # equal URLs have equal kinds
+    texts = rows.groupBy("s").agg(F.max("kind").alias("kind"), F.count("*").alias("rows"))  # equal URLs have equal kinds
     texts = cut(texts.withColumns({"id": F.monotonically_increasing_id(), "fold": F.pmod(F.xxhash64("s"), F.lit(FOLDS))}))
-    trains = (F.col("fold") > 0) & F.col("kind").isNotNull()
-    each = texts.select(F.explode(grams(F.col("s"))).alias("gram"), (trains & (F.col("kind") == "allow")).cast("long").alias("yes"), (trains & (F.col("kind") == "block")).cast("long").alias("no"))
-    counts = cut(each.groupBy("gram").agg(F.sum(F.coalesce("yes", F.lit(0))).alias("yes"), F.sum(F.coalesce("no", F.lit(0))).alias("no"), F.count("*").alias("n")))
+    kinds = {"yes": F.col("kind") == "allow", "no": F.col("kind") == "block"}
+    kinds |= {f"first_{c}": on & (F.col("fold") > 0) for c, on in kinds.items()}
+    each = texts.select(F.explode(grams(F.col("s"))).alias("gram"), *[F.when(on, F.col("rows")).otherwise(0).alias(c) for c, on in kinds.items()])
+    counts = cut(each.groupBy("gram").agg(*[F.sum(c).alias(c) for c in kinds], F.count("*").alias("n")))
     common = counts.join(counts.agg(F.sum("n").alias("all")), F.col("n") * COMMON > F.col("all")).select("gram")
-    ratios = cut(log_ratios(counts))
+    first = cut(log_ratios(counts.select("gram", F.col("first_yes").alias("yes"), F.col("first_no").alias("no"))))
+    ratios = cut(log_ratios(counts.select("gram", "yes", "no")))
     held_out = texts.where((F.col("fold") == 0) & F.col("kind").isNotNull())
-    limit = threshold(scores(held_out, ratios, common).join(held_out.select("id", "kind"), "id"))
+    limit = threshold(scores(held_out, first, common).join(held_out.select("id", "kind", "rows"), "id"))
     open_texts = texts.where(F.col("kind").isNull())
     scored = scores(open_texts, ratios, common).join(open_texts.select("id", "s"), "id").select("s", "score")
     judged = rows.join(scored, "s", "left")
