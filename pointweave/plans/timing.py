@@ -75,7 +75,7 @@ def _topics(m):
 
 def topic_message_join(spark, sf_dir):
     m = messages(spark, sf_dir)
-    return O.with_topics(m.select("bag_id", "topic", "seq"), _topics(m).select("bag_id", "topic", "msgtype")).where(F.col("seq") % 2 == 0)
+    return O.with_topics(m.select("bag_id", "topic", "seq"), _topics(m).select("bag_id", "topic", "msgtype"))
 
 
 def topic_left_count(spark, sf_dir):

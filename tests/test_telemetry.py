@@ -46,3 +46,12 @@ def test_score(spark):
     bags = spark.createDataFrame([("b",), ("c",)], "bag_id string")
     issues = spark.createDataFrame([("b", "i", "critical"), ("b", "j", "warning")], "bag_id string, issue_id string, severity string")
     assert {r.bag_id: (r.score, r.status) for r in R.summary(bags, issues).collect()} == {"b": (75, "critical"), "c": (100, "normal")}
+
+
+def test_topic_message_join_returns_every_message(spark):
+    from pointweave.plans import tables, timing
+
+    folder = "/root/testdata/sf0.001"
+    out = timing.topic_message_join(spark, folder)
+    assert out.exceptAll(tables.messages(spark, folder).select("bag_id", "topic", "seq", "msgtype").select(*out.columns)).isEmpty()
+    assert out.count() == tables.table(spark, folder, "events").count()
