@@ -124,7 +124,7 @@ def component_order(spark, sf_dir):
 
 def tf_cycles(spark, sf_dir):
     loop = table(spark, sf_dir, "nation").select(F.lit("loop").alias("bag_id"), F.concat(F.lit("n"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("parent"), F.concat(F.lit("n"), F.lpad(F.pmod(F.col("n_nationkey") + 5, F.lit(25)).cast("string"), 2, "0")).alias("child"))
-    return G.cycles(_graph(spark, sf_dir).where("bag_id = '0'").unionByName(loop)).select("bag_id", "cycle", F.array_join("frames", ",").alias("frames"))
+    return G.cycles(_graph(spark, sf_dir).unionByName(loop)).select("bag_id", "cycle", F.array_join("frames", ",").alias("frames"))
 
 
 def _summary(spark, sf_dir):

@@ -55,3 +55,11 @@ def test_topic_message_join_returns_every_message(spark):
     out = timing.topic_message_join(spark, folder)
     assert out.exceptAll(tables.messages(spark, folder).select("bag_id", "topic", "seq", "msgtype").select(*out.columns)).isEmpty()
     assert out.count() == tables.table(spark, folder, "events").count()
+
+
+def test_tf_cycles_reads_all_bags(spark):
+    from pointweave.plans import telemetry
+
+    rows = {tuple(r) for r in telemetry.tf_cycles(spark, "/root/testdata/sf0.001").collect()}
+    chain = lambda k: ",".join(f"n{k + 5 * i:02}" for i in range(5))
+    assert rows == {("loop", f"n{k:02}", chain(k)) for k in range(5)} | {(str(k), f"n{k:02}", chain(k)) for k in range(3)}
