@@ -20,21 +20,38 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory
-
 #: Entries of each memory that an encoder keeps (states, pairs, matches, chunks).
 MEMORY = 600_000
 #: Longest chunk of text whose result is remembered.
 REMEMBERED = 48
 
 
+class Memory(dict):
+    """Remembers the results of a function of strings, in two generations of at most ``entries``."""
+
+    def __init__(self, function: Callable, entries: int, longest: int = 48):
+        super().__init__()
+        self.function, self.entries, self.longest, self.older = function, entries, longest, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key, self)
+        if value is self:
+            value = self.function(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.entries:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Transducer:
     """Encodes byte strings by ranks; one instance serves a Python worker for its lifetime."""
 

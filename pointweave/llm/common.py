@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -47,10 +48,12 @@ def word_count(text: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; make one only where none is set."""
+    """Use the shared folder named in ``spark.checkpoint.dir``; a local master may go without and gets a new folder."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
@@ -60,31 +63,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class Memory(dict):
-    """Remembers the results of a function of strings, in two generations of at most ``entries``."""
-
-    def __init__(self, function: Callable, entries: int, longest: int = 48):
-        super().__init__()
-        self.function, self.entries, self.longest, self.older = function, entries, longest, {}
-
-    def __missing__(self, key: str):
-        value = self.older.get(key, self)
-        if value is self:
-            value = self.function(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.entries:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+def _write(df: DataFrame) -> str:
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
 
 
 def cut_table(df: DataFrame) -> DataFrame:
     """``df`` written as compressed Parquet beside the checkpoints, in the shared folder, and read from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(_write(df))
+
+
+class Scratch:
+    """Tables that are needed for a while only: ``cut`` writes one as ``cut_table`` does, ``drop`` deletes them all.
+
+    Drop them once everything that reads them is itself written; a lost executor then needs none of them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.paths.append(_write(df))
+        return self.spark.read.parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        context = self.spark.sparkContext
+        for path in self.paths:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths.clear()
 
 
 #: Bits of the filter that goes before a join, and so eight times the bytes that are broadcast.

@@ -1,21 +1,24 @@
 """N-gram Jaccard self-join by prefix filters under several global token orders.
 
 Sets are the distinct k-word shingles of a text.  Two sets of Jaccard similarity t share at least ``ceil(t n)``
-tokens of either, so under any global order of tokens their prefixes must meet.
+tokens of either, so under any global order of tokens their prefixes must meet; and if prefixes are lengthened
+by l tokens, they must meet in l of them.
 
 1. Texts with equal sets form a class; only its smallest id goes on (copies are never paired).
-2. Order A is by token hash.  A prefix of ``k + l`` tokens (k: tokens that may be missing) must hold l tokens
-   that occur in another prefix; documents with fewer have no partner and leave.  This is one counted join of
-   tokens, without pairs.
-3. What is left gets prefixes under order A with tokens that step 2 found frequent moved to the end, and under
-   an independent order B.
-4. A star round: in every token's group each document is held against one central member, the one that leads
-   most of its tokens.  Groups of copies collapse here with one comparison a document.
-5. What is still in different components goes to blocks.  Documents with the same center form pods, pods are cut
-   into chunks of about ``CHUNK`` documents, and two chunks meet if they share a token of order A in a group that holds
-   several components.  In a block, pairs of different components that fit in size and share prefix tokens
-   under order A and under order B are verified by exact counts.  No pair is emitted but the links found, and
-   no other pair can link two components, so components are exact.
+2. Order by token hash.  A prefix must hold l tokens that the prefix of another class holds too; documents with
+   fewer have no partner and leave.  This is one counted join of tokens, without pairs.
+3. What is left gets prefixes under two independent orders, each with the tokens that step 2 found frequent moved to the
+   end.  Each order splits the documents that may still be partners into finer groups (``refine``): a group is what shared
+   prefix tokens connect, less each document's l - 1 most frequent ones.  The next order splits only within the
+   groups of the one before, so the groups are the intersection of the filters.  Documents alone in a group leave.
+4. Groups are verified in blocks of bounded documents and bytes.  In a block, two documents of
+   different components that fit in size and share prefix tokens under both orders are compared by exact counts; only
+   links that join two components leave it.
+5. A group of several blocks is first searched inside its blocks, then between the components found (one
+   document of each), and then block by block, where documents of one component lie together and blocks of one and the same
+   component never meet.
+
+No pair is emitted but such links, and no other pair can join two components, so components are exact.
 
 Defined results
     * null, empty or blank text: no shingles, linked with nothing, its own component.
@@ -32,31 +35,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, bitmap_split, cut_table
+from . import tokens
+from .common import Scratch, bitmap_split, cut_table
 from .components import components
 
-#: Texts that one task's key compares with one central text.
-FAN = 512
-#: Frequent tokens that are moved to the end of order A, at most.
+#: Frequent tokens that are moved to the end of both orders, at most.
 FREQUENT = 100_000
-#: Documents in a chunk of a pod.
-CHUNK = 1536
-#: Steps from a document's center to the center's own.
-PULLS = 2
+#: l, the tokens that prefixes of similar sets must share, is half of what a set may lack, or this if it is more.
+LEAST_SHARED = 6
+#: Documents, and bytes of text unless one text has more, of a block's side.
+BLOCK_ROWS, BLOCK_BYTES = 2048, 4 << 20
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
-word_hash = Memory(xxhash.xxh64_intdigest, 400_000)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(word_hash.__getitem__, words), np.uint64, len(words))
-
 
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive word hashes."""
@@ -68,17 +64,17 @@ def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> _S29)
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles; A-Z are lowered, words end at ASCII white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(rolled(word_hashes(words), min(k, len(words))))
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted hashes of each text's distinct shingles; A-Z are lowered, words end at ASCII white space."""
+    hashes, at = tokens.word_hashes(texts, lower=True)
+    whole = rolled(hashes, k) if len(hashes) >= k else hashes[:0]
+    bounds = at.tolist()
+    return [np.unique(whole[a : b - k + 1] if b - a >= k else rolled(hashes[a:b], b - a) if b > a else hashes[:0]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def order_b(tokens: np.ndarray) -> np.ndarray:
+def order_b(own: np.ndarray) -> np.ndarray:
     """The rank of tokens in the second global order."""
-    return (tokens ^ (tokens >> _S32)) * _M3
+    return (own ^ (own >> _S32)) * _M3
 
 
 def _may_miss(n, percent: int):
@@ -86,214 +82,255 @@ def _may_miss(n, percent: int):
     return n - (-(-(n * percent) // 100))
 
 
+def long_prefix(n: int, percent: int) -> int:
+    """The tokens of a set of n that its prefix holds; none if no other set can be similar to it."""
+    if 100 * n < percent * (n + 1):
+        return 0
+    miss = _may_miss(n, percent)
+    return miss + max(min(LEAST_SHARED, n - miss), miss // 2)
+
+
 def _needed(n: Column, percent: int) -> Column:
     """Shared tokens that the long prefix of a set of n must hold: l for its smallest partner."""
     smallest = F.ceil(n * percent / 100)
-    return F.greatest(F.lit(1), F.floor((smallest - F.ceil(smallest * percent / 100)) / 2))
+    similar = F.ceil(smallest * percent / 100)
+    return F.greatest(F.least(F.lit(LEAST_SHARED), similar), F.floor((smallest - similar) / 2))
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``doc_id, n, s1, s2, prefix``: size and digest of each set and its long prefix under order A."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    """``doc_id, n, s1, s2, prefix``: size and digest of each set and its long prefix under the order by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes, digests, tokens = [], [], []
-            for t in b.column(1):
-                own = shingle_set(t.as_py(), k)
-                n = len(own)
-                sizes.append(n)
-                digests.append(hashlib.md5(own.tobytes()).digest())
-                miss = _may_miss(n, percent)
-                tokens.append(_signed(own[: miss + max(1, miss // 2)]))
-            digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=schema)
+        for whole in batches:
+            for b in tokens.slices(whole, 1):
+                sets = shingle_sets(b.column(1), k)
+                digest = np.frombuffer(b"".join(hashlib.md5(own.tobytes()).digest() for own in sets), np.int64).reshape(-1, 2)
+                first = _lists([own[: long_prefix(len(own), percent)] for own in sets])
+                yield pa.record_batch([b.column(0), pa.array([len(own) for own in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), first], names=["doc_id", "n", "s1", "s2", "prefix"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
 
 
-def two_prefixes(own: np.ndarray, late: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The long prefix of a set under order A, with the late tokens last, and its prefix under order B."""
-    miss = _may_miss(len(own), percent)
-    is_late = late[np.searchsorted(late, own).clip(0, len(late) - 1)] == own if len(late) else np.zeros(len(own), bool)
-    return np.concatenate([own[~is_late], own[is_late]])[: miss + max(1, miss // 2)], own[np.argsort(order_b(own), kind="stable")[: miss + 1]]
-
+def in_orders(own: np.ndarray, is_late: np.ndarray, rank_b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``size`` of a set's sorted tokens under either order; the late ones come last."""
+    soon, late = own[~is_late], own[is_late]
+    b = np.concatenate([soon[np.argsort(rank_b[~is_late], kind="stable")], late[np.argsort(rank_b[is_late], kind="stable")]])
+    return np.concatenate([soon, late])[:size], b[:size]
 
-def candidates(docs: DataFrame, left: DataFrame, late, k: int, percent: int) -> DataFrame:
-    """``doc_id, n, private, a, text`` of the documents that are left; a is the long prefix under order A."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py(), k) for t in b.column(2)]
-            first = [_signed(two_prefixes(own, late.value, percent)[0]).tolist() for own in sets]
-            yield pa.record_batch([b.column(0), pa.array([len(x) for x in sets], pa.int64()), b.column(1), pa.array(first, pa.list_(pa.int64())), b.column(2)], names=["doc_id", "n", "private", "a", "text"])
 
-    few, _ = bitmap_split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", left)
-    return few.join(left.select("doc_id", "private"), "doc_id").select("doc_id", "private", "text").mapInArrow(run, "doc_id long, n long, private long, a array<long>, text string")
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    return known[np.searchsorted(known, values).clip(0, len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The ``doc, center`` pairs of which the sets' similarity reaches the threshold."""
-    fans = pairs.groupBy("center").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans"))
-    own = pairs.join(fans, "center").select("center", F.pmod(F.xxhash64("doc"), F.col("fans")).cast("int").alias("fan"), F.col("doc").alias("doc_id"))
-    members = own.join(texts, "doc_id").select("center", "fan", F.lit(1).alias("side"), "doc_id", "text")
-    centers = fans.select(F.col("center").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan")).join(texts, "doc_id").select(F.col("doc_id").alias("center"), "fan", F.lit(0).alias("side"), "doc_id", "text")
-    dealt = members.unionByName(centers).repartition("center", "fan").sortWithinPartitions("center", "fan", "side")
+def candidates(docs: DataFrame, late, k: int, percent: int) -> DataFrame:
+    """``doc, n, n_bytes, a, b``: the long prefixes of each set under both orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sets = None, []
-        for b in batches:
-            docs, found = [], []
-            for center, fan, side, doc, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if at != (center, fan):
-                    at, sets = (center, fan), []
-                own = shingle_set(text, k)
-                if side == 0:
-                    sets.append(own)
-                    continue
-                for other in sets:
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(other) - both):
-                        docs.append(doc)
-                        found.append(center)
-                        break
-            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], names=["doc", "center"])
-
-    return dealt.mapInArrow(run, "doc long, center long")
-
-
-def _stars(members: DataFrame, percent: int) -> DataFrame:
-    """For each document the member that leads most of the tokens they share, if those are enough."""
-    first = members.groupBy("token").agg(F.min(F.struct("private", "doc")).alias("first"))
-    leads = members.join(first, "token").select("doc", F.col("first.doc").alias("center"), _needed(F.col("n"), percent).alias("need")).where("doc != center")
-    votes = leads.groupBy("doc", "center").agg(F.count("*").alias("votes"), F.min("need").alias("need")).where("votes >= need")
-    return votes.groupBy("doc").agg(F.max(F.struct("votes", (-F.col("center")).alias("minus"))).alias("best")).select("doc", (-F.col("best.minus")).alias("center"))
-
-
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """The sizes of all intersections of two lists of sets, by products of 0/1 matrices of bounded width."""
-    sizes_l, sizes_r = [len(x) for x in left], [len(x) for x in right]
-    flat = np.concatenate([*left, *right]) if left or right else np.zeros(0, np.uint64)
-    kinds, where, count = np.unique(flat, return_inverse=True, return_counts=True)
-    useful = np.flatnonzero(count > 1)
-    rank = np.full(len(kinds), -1)
-    rank[useful] = np.arange(len(useful))
-    column = rank[where]
-    row = np.repeat(np.arange(len(left) + len(right)), sizes_l + sizes_r)
-    out = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, len(useful), width):
-        own = (column >= at) & (column < at + width)
-        m = np.zeros((len(left) + len(right), min(width, len(useful) - at)), np.float32)
-        m[row[own], column[own] - at] = 1.0
-        out += m[: len(left)] @ m[len(left) :].T
-    return out.astype(np.int64)
-
-
-def block_links(docs: list[tuple[int, int, str]], left: np.ndarray, right: np.ndarray, late: np.ndarray, k: int, percent: int) -> list[tuple[int, int]]:
-    """Links between the left and the right documents (id, component, text) of a block that lie in different components."""
-    sets = [shingle_set(text, k) for _, _, text in docs]
-    two = [two_prefixes(x, late, percent) for x in sets]
-    n = np.array([len(x) for x in sets])
-    comp = np.array([c for _, c, _ in docs])
-    x, y = np.flatnonzero(left), np.flatnonzero(right)
-    maybe = (comp[x][:, None] != comp[y][None, :]) & (n[x][:, None] * 100 >= n[y][None, :] * percent) & (n[y][None, :] * 100 >= n[x][:, None] * percent)
-    for order in (0, 1):
-        rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
-        if not len(rows):
-            return []
-        x, y, maybe = x[rows], y[cols], maybe[np.ix_(rows, cols)]
-        maybe &= overlaps([two[i][order] for i in x], [two[i][order] for i in y]) > 0
-    rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
-    if not len(rows):
+        for whole in batches:
+            for batch in tokens.slices(whole, 1):
+                sets = shingle_sets(batch.column(1), k)
+                two = [in_orders(own, among(own, late.value), order_b(own), long_prefix(len(own), percent)) for own in sets]
+                n_bytes = pc.binary_length(batch.column(1)).cast(pa.int64())
+                yield pa.record_batch([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), n_bytes, _lists([a for a, _ in two]), _lists([b for _, b in two])], names=["doc", "n", "n_bytes", "a", "b"])
+
+    return docs.mapInArrow(run, "doc long, n long, n_bytes long, a array<long>, b array<long>")
+
+
+def size_class(n: Column, percent: int) -> Column:
+    """Sets of similar texts are of equal or neighbouring size classes."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(100 / min(percent, 99))) + 1e-9).cast("int")
+
+
+def refine(members: DataFrame, needs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc, grp`` of the documents that may have partners within their group, in finer groups.
+
+    ``members`` has ``grp, doc, size, token`` and ``needs`` the least number of shared tokens (``doc, need``).  Only tokens count that
+    documents of equal or neighbouring size classes share.  A document that must share so many may leave out its need - 1
+    most frequent ones: if all it shares with a partner are ranked by frequency, the rarest one stays with both.
+    A token ties its documents to the smallest one of their size class and of the class below.
+    """
+    by_size = members.groupBy("grp", "token", "size").agg(F.count("*").alias("df"), F.min("doc").alias("leader"))
+    # as many entries as size classes have the token: a number that the length of texts bounds
+    shared = by_size.groupBy("grp", "token").agg(F.sum("df").alias("df"), F.collect_list(F.struct("size", "df", "leader")).alias("sizes")).where("df > 1")
+    near = F.filter("sizes", lambda x: F.abs(x["size"] - F.col("size")) <= 1)
+    rows = members.join(shared, ["grp", "token"]).withColumn("near", near).where(F.aggregate("near", F.lit(0).cast("long"), lambda a, x: a + x["df"]) > 1)
+    leaders = F.transform(F.filter("near", lambda x: x["size"] <= F.col("size")), lambda x: x["leader"])
+    held = rows.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token", leaders.alias("leaders")))).alias("t"))
+    kept = held.join(needs, "doc").where(F.size("t") >= F.col("need"))
+    first = F.slice("t", F.lit(1), F.size("t") - F.col("need").cast("int") + 1)
+    edges = scratch.cut(kept.select("doc", F.array_sort(F.array_distinct(F.flatten(F.transform(first, lambda x: x["leaders"])))).alias("leaders")))
+    least = F.col("leaders")[0]
+    pairs = edges.select(F.explode(F.concat(F.array("doc"), "leaders")).alias("a"), least.alias("b"))
+    known = components(pairs)
+    found = edges.select(F.col("doc").alias("id")).join(known, "id").select(F.col("id").alias("doc"), F.col("component_id").alias("grp"))
+    several = found.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp")
+    return scratch.cut(found.join(several, "grp"))
+
+
+def block_links(ids: np.ndarray, comps: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], late: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between left and right documents that join different components; ``comps`` are the known ones."""
+    n = np.array([len(x) for x in sets], np.int64)
+    if (n == 0).any():  # another row of a document's id may have no words
+        some = n > 0
+        ids, comps, left, right, n, sets = ids[some], comps[some], left[some], right[some], n[some], [x for x in sets if len(x)]
+    if len(ids) < 2 or not left.any() or not right.any():
         return []
-    x, y, maybe = x[rows], y[cols], maybe[np.ix_(rows, cols)]
-    both = overlaps([sets[i] for i in x], [sets[i] for i in y])
-    hit = maybe & (100 * both >= percent * (n[x][:, None] + n[y][None, :] - both))
-    return [(docs[x[i]][0], docs[y[j]][0]) for i, j in zip(*np.nonzero(hit), strict=True)]
-
-
-def _blocks(members: DataFrame, pods: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """``p, q, doc, comp, left, right``: for each pair of chunks the documents of both that may have partners there."""
-    known = components(links, "doc", "center")
-    for _ in range(PULLS):  # a center has fewer tokens of its own, so centers lead to the middle of their group
-        up = pods.select(F.col("doc").alias("center"), F.col("center").alias("upper"))
-        pods = pods.join(up, "center", "left").select("doc", F.coalesce("upper", "center").alias("center"))
-    own = pods.groupBy("center").agg(F.lit(1)).select(F.col("center").alias("doc"), "center")
-    pods = pods.unionByName(own.join(pods, "doc", "left_anti"))
-    docs = members.groupBy("doc").agg(F.min(_needed(F.col("n"), percent)).alias("need")).join(pods, "doc", "left").withColumn("pod", F.coalesce("center", "doc"))
-    docs = docs.join(known, F.col("doc") == F.col("id"), "left").select("doc", "pod", "need", F.coalesce("component_id", "doc").alias("comp"))
-    chunks = docs.groupBy("pod").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    docs = cut_table(docs.join(chunks, "pod").withColumn("chunk", F.xxhash64("pod", F.pmod(F.xxhash64("doc"), "chunks"))).select("doc", "comp", "chunk", "need"))
-    own = members.select("token", "doc").join(docs, "doc")
-    at = own.groupBy("token", "chunk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    mixed = at.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l != h").select("token")
-    at = cut_table(at.join(mixed, "token").select("token", F.col("chunk").alias("other"), "low", "high"))
-    met = own.join(at, "token").where("comp != low or comp != high").groupBy("doc", "comp", "chunk", "other").agg(F.count("*").alias("n"), F.min("need").alias("need"))
-    met = cut_table(met.where("n >= need").select("doc", "comp", "chunk", "other"))  # a partner shares that many tokens, so its chunk does
-    first, both = F.col("chunk") <= F.col("other"), F.col("chunk") == F.col("other")
-    placed = met.select(F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "doc", "comp", first.alias("left"), (~first | both).alias("right"))
-    two = placed.groupBy("p", "q").agg(F.max("left").alias("l"), F.max("right").alias("r")).where("l and r").select("p", "q")
-    return placed.join(two, ["p", "q"])
-
-
-def _linked(blocks: DataFrame, texts: DataFrame, late, k: int, percent: int) -> DataFrame:
-    """The links that blocks hold."""
-    dealt = blocks.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("p", "q", "doc", "comp", "left", "right", "text").repartition("p", "q").sortWithinPartitions("p", "q")
+    kinds, where = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(where, np.cumsum(n)[:-1])
+    is_late, rank_b = among(kinds, late), order_b(kinds)
+    two = [in_orders(x, is_late[x], rank_b[x], _may_miss(len(x), percent) + 1) for x in own]
+    flats = [np.concatenate(x) for x in zip(*two, strict=True)]
+    at = [np.cumsum([0, *map(len, x)])[:-1] for x in zip(*two, strict=True)]
+    mark = np.zeros(len(kinds), bool)
+    root = np.unique(comps, return_inverse=True)[1]
+    found, index, both_sides = [], np.arange(len(ids)), left & right
+    for x in np.flatnonzero(left):
+        maybe = right & (root != root[x]) & (n * 100 >= n[x] * percent) & (n[x] * 100 >= n * percent)
+        if both_sides[x]:
+            maybe &= ~both_sides | (index > x)
+        for order in (0, 1):
+            if not maybe.any():
+                break
+            mark[two[x][order]] = True
+            maybe &= np.logical_or.reduceat(mark[flats[order]], at[order])
+            mark[two[x][order]] = False
+        rows = np.flatnonzero(maybe)
+        if len(rows):
+            mark[own[x]] = True
+            for y in rows:
+                if root[y] != root[x]:
+                    shared = int(np.count_nonzero(mark[own[y]]))
+                    if 100 * shared >= percent * (n[x] + n[y] - shared):
+                        found.append((int(ids[x]), int(ids[y])))
+                        root[root == root[y]] = root[x]
+            mark[own[x]] = False
+    return found
+
+
+def verified(dealt: DataFrame, docs: DataFrame, late, k: int, percent: int) -> DataFrame:
+    """``a, b``: the links found in blocks (``block, doc, comp, left, right``) of the documents (``doc, text``)."""
+    rows = dealt.join(docs, "doc").select("block", "doc", "comp", "left", "right", "text").repartition("block").sortWithinPartitions("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, left, right = None, [], [], []
+        at, own, sets = None, [], []
 
         def found() -> pa.RecordBatch:
-            links = block_links(own, np.array(left), np.array(right), late.value, k, percent) if own else []
-            return pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["doc", "center"])
-
-        for b in batches:
-            for p, q, doc, comp, is_left, is_right, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if at != (p, q):
-                    yield found()
-                    at, own, left, right = (p, q), [], [], []
-                own.append((doc, comp, text))
-                left.append(is_left)
-                right.append(is_right)
+            links: list = []
+            if own:
+                ids, comps, left, right = (np.concatenate(x) for x in zip(*own, strict=True))
+                links = block_links(ids, comps, left, right, sets, late.value, percent)
+            return pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+        for whole in batches:
+            for b in tokens.slices(whole, 5):
+                block, *columns = (np.asarray(b.column(c)) if c in (0, 1, 2) else b.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+                texts = shingle_sets(b.column(5), k)
+                cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    if at != block[lo]:
+                        yield found()
+                        at, own, sets = block[lo], [], []
+                    own.append([c[lo:hi].copy() for c in columns])
+                    sets.extend(texts[lo:hi])
         yield found()
 
-    return dealt.mapInArrow(run, "doc long, center long")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _pieces(rows: Column, n_bytes: Column) -> Column:
+    """How many blocks such rows need."""
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(n_bytes / BLOCK_BYTES)).cast("int")
+
+
+def grid(placed: DataFrame) -> DataFrame:
+    """``block, doc, comp, left, right``: the blocks that compare the components of each group; ``placed``: grp, size, doc, comp, n_bytes.
+
+    Documents of a size class lie together, and those of a component that is large there have chunks of their own.  Two chunks
+    meet if their size classes are equal or neighbours, unless all documents of both are of one component.
+    """
+    key = ["grp", "size"]
+    comps = placed.groupBy(*key, "comp").agg(_pieces(F.count("*"), F.sum("n_bytes")).alias("parts"), F.sum("n_bytes").alias("b"), F.count("*").alias("c"))
+    rest = comps.where("parts = 1").groupBy(*key).agg(_pieces(F.sum("c"), F.sum("b")).alias("bins"))
+    comps = comps.join(rest, key, "left").select(*key, "comp", "parts", "bins")
+    chunk = F.when(F.col("parts") > 1, F.xxhash64("comp", F.pmod(F.xxhash64("doc"), "parts"))).otherwise(F.pmod(F.xxhash64("comp"), "bins").cast("long"))
+    at = placed.join(comps, [*key, "comp"]).select(*key, "doc", "comp", chunk.alias("chunk"))
+    chunks = at.groupBy(*key, "chunk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    other = chunks.select("grp", *[F.col(c).alias(f"{c}2") for c in ("size", "chunk", "low", "high")])
+    met = chunks.join(other, "grp").where("(size2 = size + 1 or size2 = size and chunk <= chunk2) and not (low = high and low2 = high2 and low = low2)")
+    met = met.select(*key, "chunk", "size2", "chunk2")
+    block = F.xxhash64("grp", "size", "chunk", "size2", "chunk2").alias("block")
+    same = (F.col("size") == F.col("size2")) & (F.col("chunk") == F.col("chunk2"))
+    own = at.join(met, [*key, "chunk"]).select(block, "doc", "comp", F.lit(True).alias("left"), same.alias("right"))
+    partner = at.withColumnsRenamed({"size": "size2", "chunk": "chunk2"}).join(met.where(~same), ["grp", "size2", "chunk2"]).select(block, "doc", "comp", F.lit(False).alias("left"), F.lit(True).alias("right"))
+    return own.unionByName(partner)
+
+
+def group_links(groups: DataFrame, sizes: DataFrame, docs: DataFrame, late, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``a, b``: links that make the components of all documents in ``groups`` (``doc, grp``); ``sizes``: doc, size, n_bytes."""
+    both = F.lit(True)
+    known = groups.join(sizes, "doc")
+    parts = known.groupBy("grp").agg(_pieces(F.count("*"), F.sum("n_bytes")).alias("parts"))
+    by_size = known.groupBy("grp", "size").agg(_pieces(F.count("*"), F.sum("n_bytes")).alias("own_parts"))
+    block = F.when(F.col("parts") == 1, F.xxhash64("grp")).otherwise(F.xxhash64("grp", "size", F.pmod(F.xxhash64("doc"), "own_parts")))
+    placed = scratch.cut(known.join(parts, "grp").join(by_size, ["grp", "size"]).withColumn("block", block))
+    texts, _ = bitmap_split(docs, "doc", placed)
+    texts = scratch.cut(texts)
+    one = placed.groupBy("block", "doc").agg(F.lit(1)).select("block", "doc", F.col("doc").alias("comp"), both.alias("left"), both.alias("right"))
+    links = scratch.cut(verified(one, texts, late, k, percent))
+    large = placed.where("parts > 1").drop("parts", "own_parts")
+    if large.isEmpty():
+        return links
+
+    def with_comp(links: DataFrame) -> DataFrame:
+        found = components(links).select(F.col("id").alias("doc"), "component_id")
+        return scratch.cut(large.join(found, "doc", "left").withColumn("comp", F.coalesce("component_id", "doc")).drop("component_id"))
+
+    leads = with_comp(links).groupBy("grp", "block", "comp").agg(F.count("*").alias("c"), F.min(F.struct("doc", "n_bytes")).alias("lead")).where("c > 1").select("grp", "comp", "lead.doc", "lead.n_bytes")
+    parts = leads.groupBy("grp").agg(_pieces(F.count("*"), F.sum("n_bytes")).alias("parts"))
+    dealt = leads.join(parts, "grp").select(F.xxhash64("grp", F.pmod(F.xxhash64("doc"), "parts")).alias("block"), "doc", "comp", both.alias("left"), both.alias("right"))
+    links = links.unionByName(scratch.cut(verified(dealt, texts, late, k, percent)))
+    return links.unionByName(scratch.cut(verified(grid(with_comp(links)), texts, late, k, percent)))
 
 
 def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: similarity is at least ``percent`` hundredths."""
-    base = cut_table(prefixes(docs, k, percent))
+    spark = docs.sparkSession
+    first, scratch = Scratch(spark), Scratch(spark)
+    with_prefix = first.cut(prefixes(docs, k, percent))
+    base = cut_table(with_prefix.drop("prefix"))
     some = base.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = cut_table(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
-    tokens = some.select("doc_id", "n", F.explode("prefix").alias("token"))
-    counted = cut_table(tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > 1))
+    classes = cut_table(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
+    held = with_prefix.where("doc_id is not null").select("doc_id", "s1", F.explode("prefix").alias("token"))
+    counted = held.groupBy("token").agg(F.count("*").alias("df"), F.min("s1").alias("low"), F.max("s1").alias("high")).where("low < high")
+    counted = first.cut(counted.select("token", "df"))  # tokens of several classes
     most = max(64, (counted.agg(F.sum("df")).first()[0] or 0) // FREQUENT)
     frequent = counted.where(F.col("df") > most).select("token").toArrow().column(0).to_numpy()  # fewer than FREQUENT rows
-    late = docs.sparkSession.sparkContext.broadcast(np.sort(frequent.astype(np.int64).view(np.uint64)))
-    held = tokens.join(counted.select("token"), "token").groupBy("doc_id", "n").agg(F.count("*").alias("held"))
-    held = held.where(F.col("held") >= _needed(F.col("n"), percent))
-    miss = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    left = held.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    left = cut_table(left.groupBy("doc_id").agg(F.min(miss + F.greatest(F.lit(1), F.floor(miss / 2)) - F.col("held")).cast("long").alias("private")))
-    sets = cut_table(candidates(docs, left, late, k, percent))
-    texts = sets.select("doc_id", "text")
-    members = sets.select(F.explode("a").alias("token"), F.col("doc_id").alias("doc"), "private", "n").distinct()
-    several = members.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("token")
-    members = cut_table(members.join(several, "token"))
-    enough = members.groupBy("doc", "n").agg(F.count("*").alias("c")).where(F.col("c") >= _needed(F.col("n"), percent)).select("doc").distinct()
-    members = cut_table(members.join(enough, "doc"))
-    pods = cut_table(_stars(members, percent))
-    stars = cut_table(verified(pods, texts, k, percent))
-    links = stars.unionByName(cut_table(_linked(_blocks(members, pods, stars, percent), texts, late, k, percent)))
-    copies = base.join(classes, ["s1", "s2"]).where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("doc"), F.col("rep").alias("center"))
-    known = components(copies.unionByName(links), "doc", "center")
-    return base.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    late = spark.sparkContext.broadcast(np.sort(frequent.astype(np.int64).view(np.uint64)))
+    needs = classes.select(F.col("rep").alias("doc"), _needed(F.col("n"), percent).alias("need")).groupBy("doc").agg(F.min("need").cast("int").alias("need"))
+    held = held.select("doc_id", "token").join(counted.select("token"), "token").groupBy(F.col("doc_id").alias("doc")).agg(F.count("*").alias("held"))
+    left = scratch.cut(held.join(needs, "doc").where("held >= need").select("doc", "need"))
+    first.drop()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    sets = scratch.cut(candidates(bitmap_split(own, "doc", left)[0], late, k, percent))  # the few that are not in ``left`` go in refine
+    sets = sets.withColumn("size", size_class(F.col("n"), percent))
+    groups = refine(sets.select(F.lit(0).alias("grp"), "doc", "size", F.explode("a").alias("token")), left, scratch)
+    groups = refine(sets.join(groups, "doc").select("grp", "doc", "size", F.explode("b").alias("token")), left, scratch)
+    links = cut_table(group_links(groups, sets.select("doc", "size", "n_bytes"), own, late, k, percent, scratch))
+    scratch.drop()
+    ids = some.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "s1", "s2", "rep")
+    shared = ids.groupBy("doc_id").agg(F.min("rep").alias("r"), F.max("rep").alias("r2")).where("r < r2")  # rows of one id and several classes
+    same = ids.join(shared.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    known = components(links.unionByName(same)).withColumnRenamed("id", "rep")
+    named = classes.join(known, "rep", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return base.join(named, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

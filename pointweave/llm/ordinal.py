@@ -14,6 +14,7 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -24,8 +25,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory
-
 #: Buckets that words and shape bins are hashed into.
 BUCKETS = 1 << 18
 #: Labelled documents that are used for fitting, at most (drawn by hash of the id).
@@ -40,7 +39,9 @@ def _bucket(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-_of_word = Memory(lambda word: _bucket("w:" + (word.strip(MARKS).lower() or word)), 400_000)
+@functools.lru_cache(maxsize=1 << 16)
+def _of_word(word: str) -> int:
+    return _bucket("w:" + (word.strip(MARKS).lower() or word))
 
 
 def features(text: str | None) -> np.ndarray:
@@ -59,7 +60,7 @@ def features(text: str | None) -> np.ndarray:
         "length": min(20, int(chars / n)),
         "size": n.bit_length(),
     }
-    found = set(map(_of_word.__getitem__, kinds))
+    found = set(map(_of_word, kinds))
     found.update(_bucket(f"s:{k}={v}") for k, v in shape.items())
     return np.array(sorted(found), np.int32)
 

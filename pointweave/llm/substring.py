@@ -25,17 +25,18 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, bitmap_split, cut, cut_table, fresh
+from . import tokens
+from .common import bitmap_split, cut, cut_table, fresh
 
 #: Words of a window, and of a seed.
 LENGTH, SEED = 50, 8
@@ -44,7 +45,6 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX, _S31 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(31)
 
-_word_hash = Memory(xxhash.xxh64_intdigest, 400_000)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -52,17 +52,22 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+@functools.lru_cache(maxsize=4)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, _BACK):
+        p = np.full(size, base)
+        p[0] = 1
+        out.append(np.cumprod(p))
+    return out[0], out[1]
+
+
 class Words:
-    """The word hashes of one text, and hashes of any of its runs in constant time."""
-
-    def __init__(self, words: list[bytes]):
-        n = self.n = len(words)
-        hashes = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, n)
-        powers = np.full(n + 1, _BASE)
-        powers[0] = 1
-        back = np.full(n + 1, _BACK)
-        back[0] = 1
-        powers, self.back = np.cumprod(powers), np.cumprod(back)
+    """Hashes of any run of words of one text in constant time, from the hashes of its words."""
+
+    def __init__(self, hashes: np.ndarray):
+        n = self.n = len(hashes)
+        powers, self.back = _powers(max(1 << 14, 1 << n.bit_length()))
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(hashes * powers[:n], out=self.sums[1:])
 
@@ -92,11 +97,13 @@ def _seeds(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for from_row in range(0, b.num_rows, 512):
-                part = b.slice(from_row, 512)
+            for part in tokens.slices(b, 1):
                 columns: list[list[np.ndarray]] = [[], [], [], [], []]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    own = Words(split_words(text.as_py()))
+                hashes, ends = tokens.word_hashes(part.column(1))
+                for doc, lo, hi in zip(part.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
+                    if hi - lo < length:
+                        continue
+                    own = Words(hashes[lo:hi])
                     at, anchor, first, last = own.anchors(length, seed)
                     if not len(at):
                         continue
@@ -117,11 +124,11 @@ def _windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for from_row in range(0, b.num_rows, 256):
-                part = b.slice(from_row, 256)
+            for part in tokens.slices(b, 1):
                 columns: list[list[np.ndarray]] = [[], [], [], []]
-                for doc, text, listed in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
-                    own = Words(split_words(text.as_py()))
+                hashes, ends = tokens.word_hashes(part.column(1))
+                for doc, lo, hi, listed in zip(part.column(0).to_pylist(), ends[:-1], ends[1:], part.column(2).to_pylist(), strict=True):
+                    own = Words(hashes[lo:hi])
                     for x in listed:
                         start = np.arange(x["first"], min(x["last"], own.n - length) + 1)
                         for column, values in zip(columns, (np.full(len(start), doc), np.full(len(start), x["anchor"]), own.runs(start, start + length).view(np.int64), start), strict=True):

@@ -3,12 +3,14 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.llm import bpe, chat, common, jaccard, lattice, ordinal, packing, quality_rules, sharding, substring, url_filter
+from pointweave.llm import bpe, chat, common, jaccard, lattice, ordinal, packing, quality_rules, sharding, substring, tokens, url_filter
 
 SCHEMA = "doc_id long, text string, source string, __p string, spans int"
 SF = "/root/testdata/sf0.001"
@@ -37,28 +39,69 @@ def corpus():
     return texts + [texts[0]] * 5 + ODD
 
 
-def test_jaccard_equals_brute_force(spark, corpus):
-    for k, percent in ((3, 90), (5, 80)):
-        sets = [jaccard.shingle_set(t, k) for t in corpus]
-        parent = list(range(len(sets)))
+def plain_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def plain_set(text, k):
+    """The k-word shingles of a text as tuples."""
+    w = plain_words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
 
-        def find(x, parent=parent):
-            while parent[x] != x:
-                x = parent[x]
-            return x
 
-        for i, a in enumerate(sets):
-            for j in range(i):
-                both = len(np.intersect1d(a, sets[j]))
-                if len(a) and both * 100 >= percent * (len(a) + len(sets[j]) - both):
-                    x, y = sorted((find(i), find(j)))
-                    parent[y] = x
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(make(spark, corpus), k, percent).collect()}
-        assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
+def test_word_hashes_tell_words_apart(monkeypatch):
+    rng = random.Random(1)
+    odd = [None, "", "", " a", "a ", "A b\x0bc\x0c", "é日 x\x1c y", "ab " * 300, "x" * 200 + " y " + "x" * 200]
+    texts = odd + ["".join(rng.choices("ab \t\ncéQ", k=rng.randint(0, 30))) for _ in range(500)]
+    for piece in (16, 1 << 16):
+        monkeypatch.setattr(tokens, "PIECE", piece)
+        tokens._powers.cache_clear()
+        for lower in (False, True):
+            known = {}
+            hashes, at = tokens.word_hashes(pa.array(texts, pa.string()), lower)
+            for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
+                own = [w.translate({i: i + 32 for i in range(65, 91)}) if lower else w for w in plain_words(t)]
+                assert [known.setdefault(w, h) for w, h in zip(own, hashes[a:b].tolist(), strict=True)] == hashes[a:b].tolist()
+            assert len(set(known.values())) == len(known)
+    tokens._powers.cache_clear()
+
+
+def brute_components(ids, sets, percent):
+    """Smallest id of what links of similar sets lead to; rows of one id are one node."""
+    root = {i: i for i in ids if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if ids[i] is not None and ids[j] is not None and both and both * 100 >= percent * (len(a) + len(sets[j]) - both):
+                x, y = sorted((find(ids[i]), find(ids[j])))
+                root[y] = x
+    return [None if i is None else find(i) for i in ids]
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_jaccard_equals_brute_force(spark, corpus, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)  # with few rows a block, large groups go through all three searches
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(60)]
+    near = [" ".join("other" if rng.random() < 0.03 else w for w in base) for _ in range(40)]
+    texts = [*corpus, *near, *[" ".join(base[:9]), " ".join(base[:12]), " ".join(base[:11])] * 2, "long " + " ".join(f"l{i % 9000}" for i in range(30000))]
+    ids = [*range(len(texts)), 3, 3, 7, None, None, 2000]
+    texts += [near[0], texts[5], "", near[1], None, texts[6]]
+    docs = spark.createDataFrame([(i, t, "s", "x", 1) for i, t in zip(ids, texts, strict=True)], SCHEMA)
+    for k, percent in ((3, 90), (5, 80)):
+        sets = [plain_set(t, k) for t in texts]
+        wanted = collections.Counter(zip(ids, map(len, sets), brute_components(ids, sets, percent), strict=True))
+        assert collections.Counter(tuple(r) for r in jaccard.similar_components(docs, k, percent).collect()) == wanted
 
 
 def test_substring_equals_brute_force(spark, corpus):
-    words = [substring.split_words(t) for t in corpus]
+    words = [[w.encode() for w in plain_words(t)] for t in corpus]
     first = {}
     for i, w in enumerate(words):
         for s in range(len(w) - 49):

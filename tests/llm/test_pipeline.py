@@ -2,12 +2,11 @@
 
 import collections
 
-import numpy as np
-
 import corpus_pipeline
-from pointweave.llm import jaccard, substring
 from pointweave.llm.common import table
 
+from test_operators import plain_set, plain_words
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -18,16 +17,16 @@ def test_pipeline_equals_brute_force(spark):
         assert docs.columns == table(spark, SF, "documents").columns
     texts = {r.doc_id: r.text for r in docs.collect()}
     ids = sorted(texts)
-    sets = {i: jaccard.shingle_set(texts[i], 5) for i in ids}
+    sets = {i: plain_set(texts[i], 5) for i in ids}
     root = {i: i for i in ids}
     for a in ids:
         for b in ids:
-            both = len(np.intersect1d(sets[a], sets[b])) if a < b else 0
+            both = len(sets[a] & sets[b]) if a < b else 0
             if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                 low, high = sorted((root[a], root[b]))
                 root = {k: low if v == high else v for k, v in root.items()}
     kept = [i for i in ids if root[i] == i]
-    words = {i: substring.split_words(texts[i]) for i in kept}
+    words = {i: plain_words(texts[i]) for i in kept}
     first: dict = {}
     for i in kept:
         for s in range(len(words[i]) - 49):
