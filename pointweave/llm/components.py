@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, cut_table
 
+#: Edges that one task contracts at once.
+TASK_EDGES = 200_000
+
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ties every larger node of a partition's edges (u, v) to the smallest one that they lead to."""
@@ -44,17 +47,18 @@ def _all_stars(edges: DataFrame) -> bool:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component_id`` for every id of a link: the smallest id that links lead to.
 
-    Edges are first contracted within their partitions.  Then each round ties the larger neighbours of every node to its
-    smallest one, and the smaller ones likewise, until all edges lead to their component's smallest id.  Minima are
+    Edges are contracted within the tasks that have them, then within tasks of about ``TASK_EDGES`` edges, as many as
+    there are edges for.  While edges of several tasks meet in a node, each round ties the larger neighbours of every node
+    to its smallest one, and the smaller ones likewise, until all edges lead to their component's smallest id.  Minima are
     pre-aggregated, so that a node of many links costs one row for each task, and edges are split by Spark's skew join.
     """
     old, new = Scratch(links.sparkSession), Scratch(links.sparkSession)
-
-    def cut(edges: DataFrame) -> DataFrame:
-        return new.cut(edges.distinct().mapInArrow(forest, "u long, v long"))
-
-    edges = cut(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
-    while not _all_stars(edges):
+    edges = old.cut(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).mapInArrow(forest, "u long, v long"))
+    tasks = -(-edges.count() // TASK_EDGES)
+    if tasks:
+        edges = new.cut(edges.coalesce(tasks).mapInArrow(forest, "u long, v long"))
+        old.drop()
+    while tasks > 1 and not _all_stars(edges):
         old, new = new, old
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -63,8 +67,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         # small star: every smaller neighbour, and the node itself, likewise
         moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))))
+        edges = new.cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().mapInArrow(forest, "u long, v long"))
         old.drop()
     known = cut_table(edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()))
+    old.drop()
     new.drop()
     return known

@@ -48,7 +48,7 @@ FREQUENT = 100_000
 #: l, the tokens that prefixes of similar sets must share, is half of what a set may lack, or this if it is more.
 LEAST_SHARED = 6
 #: Documents, and bytes of text unless one text has more, of a block's side.
-BLOCK_ROWS, BLOCK_BYTES = 2048, 4 << 20
+BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -182,13 +182,15 @@ def block_links(ids: np.ndarray, comps: np.ndarray, left: np.ndarray, right: np.
         ids, comps, left, right, n, sets = ids[some], comps[some], left[some], right[some], n[some], [x for x in sets if len(x)]
     if len(ids) < 2 or not left.any() or not right.any():
         return []
-    kinds, where = np.unique(np.concatenate(sets), return_inverse=True)
+    kinds, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     own = np.split(where, np.cumsum(n)[:-1])
     is_late, rank_b = among(kinds, late), order_b(kinds)
     two = [in_orders(x, is_late[x], rank_b[x], _may_miss(len(x), percent) + 1) for x in own]
     flats = [np.concatenate(x) for x in zip(*two, strict=True)]
     at = [np.cumsum([0, *map(len, x)])[:-1] for x in zip(*two, strict=True)]
-    mark = np.zeros(len(kinds), bool)
+    own = [np.append(x[count[x] > 1], len(kinds)) for x in own]  # tokens of one document are never shared; the mark of the end stays off
+    flat, ends = np.concatenate(own), np.cumsum([0, *map(len, own)])
+    mark = np.zeros(len(kinds) + 1, bool)
     root = np.unique(comps, return_inverse=True)[1]
     found, index, both_sides = [], np.arange(len(ids)), left & right
     for x in np.flatnonzero(left):
@@ -202,15 +204,18 @@ def block_links(ids: np.ndarray, comps: np.ndarray, left: np.ndarray, right: np.
             maybe &= np.logical_or.reduceat(mark[flats[order]], at[order])
             mark[two[x][order]] = False
         rows = np.flatnonzero(maybe)
-        if len(rows):
-            mark[own[x]] = True
-            for y in rows:
-                if root[y] != root[x]:
-                    shared = int(np.count_nonzero(mark[own[y]]))
-                    if 100 * shared >= percent * (n[x] + n[y] - shared):
-                        found.append((int(ids[x]), int(ids[y])))
-                        root[root == root[y]] = root[x]
-            mark[own[x]] = False
+        if not len(rows):
+            continue
+        mark[own[x][:-1]] = True
+        if len(rows) > 64:
+            shared = np.add.reduceat(mark[flat], ends[:-1], dtype=np.int64)[rows]
+        else:
+            shared = np.array([np.count_nonzero(mark[own[y]]) for y in rows])
+        mark[own[x][:-1]] = False
+        for y in rows[100 * shared >= percent * (n[x] + n[rows] - shared)]:
+            if root[y] != root[x]:
+                found.append((int(ids[x]), int(ids[y])))
+                root[root == root[y]] = root[x]
     return found
 
 
