@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade, in built-in functions only.
 
-Measures of a text are Spark expressions over its whole words.  A rule is a named condition that rejects.
-``order_rules`` times each rule on a bounded sample and counts what it rejects there; rules then run by
-rejections per second, inside one ``CASE`` that stops at the first rule that rejects.  The sample settles only the
-order, and so the speed: whether a document is kept does not depend on it.
+Measures of a text are Spark expressions over its whole words.  A rule is a named condition on the text that rejects.
+``order_rules`` times each rule on a bounded sample of texts, drawn by hash, and counts what it rejects there; rules then
+run by rejections per second, inside one ``CASE`` that stops at the first rule that rejects.  The sample settles only
+the order, and so the speed: whether a document is kept does not depend on it.  ``order_rules`` runs small jobs when it is called.
 
 Defined results
     * null or blank text: no words, all measures 0, so that the rule for short texts rejects it.
@@ -27,7 +27,7 @@ SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words in a window whose repetition counts.
 WINDOW = 5
-#: Rows on which costs and selectivities are estimated, at most.
+#: Rows on which costs and selectivities are estimated, about.
 SAMPLE_ROWS = 2000
 
 
@@ -82,24 +82,23 @@ def repeated_words(text_words: Column, window: int = WINDOW) -> Column:
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper and base_failed."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.col(text_col)
     both = bind(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
     m = fresh(docs, "__m")
     out = docs.withColumn(m, both)
-    out = out.withColumns({"n_words": F.col(f"{m}.n"), "word_chars": word_chars(text), "n_symbols": symbol_count(text), "n_dup_lines": duplicate_lines(text), "n_repeat_words": F.col(f"{m}.r"), "n_upper": upper_count(text)}).drop(m)
+    out = out.withColumns({"n_words": F.col(f"{m}.n"), "word_chars": word_chars(text), "n_symbols": symbol_count(text), "n_dup_lines": duplicate_lines(text), "n_repeat_words": F.col(f"{m}.r")}).drop(m)
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def measured_rules() -> list[Rule]:
-    """The rules beyond the base, on the columns of ``measures``."""
-    n = F.col("n_words")
+def further_rules(text: Column, n: Column) -> list[Rule]:
+    """The rules beyond the base, on the text and the number of its words."""
     return [
-        Rule("symbols", 10 * F.col("n_symbols") > 3 * n),
-        Rule("long_words", F.col("word_chars") > 25 * n),
-        Rule("short_words", F.col("word_chars") < 2 * n),
-        Rule("shouting", 2 * F.col("n_upper") > F.col("word_chars")),
-        Rule("repeated_lines", 4 * F.col("n_dup_lines") > n),
+        Rule("symbols", 10 * symbol_count(text) > 3 * n),
+        Rule("long_words", word_chars(text) > 25 * n),
+        Rule("short_words", word_chars(text) < 2 * n),
+        Rule("shouting", 2 * upper_count(text) > word_chars(text)),
+        Rule("repeated_lines", 4 * duplicate_lines(text) > n),
     ]
 
 
@@ -110,17 +109,19 @@ def text_rules(text_col: str = "text") -> list[Rule]:
     return [
         Rule("few_words", n < 10),
         Rule("repeated_words", bind(words(text), lambda w: 100 * repeated_words(w) > 20 * F.size(w))),
-        Rule("symbols", 10 * symbol_count(text) > 3 * n),
-        Rule("long_words", word_chars(text) > 25 * n),
-        Rule("short_words", word_chars(text) < 2 * n),
-        Rule("shouting", 2 * upper_count(text) > word_chars(text)),
-        Rule("repeated_lines", 4 * duplicate_lines(text) > n),
+        *further_rules(text, n),
     ]
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
+def sampled(docs: DataFrame, text_col: str, rows: int) -> DataFrame:
+    """About so many rows, drawn by a hash of the text and dealt as the table is; all of a small table."""
+    known, parts = docs.count(), 1 << 30
+    return docs if known <= rows else docs.where(F.pmod(F.xxhash64(text_col), F.lit(parts)) < int(parts * rows / known))
+
+
+def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """Rules with their cost (seconds a row) and selectivity (share rejected), best rejection per cost first."""
-    sample = docs.limit(sample_rows).persist()
+    sample = sampled(docs, text_col, sample_rows).persist()
     try:
         rows = sample.count()
 
@@ -149,13 +150,15 @@ def cascade(rules: Sequence[Rule]) -> Column:
 
 
 def judge(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Adds the measures, ``base_failed`` and ``kept``."""
-    ordered = [rule for rule, _, _ in order_rules(measures(docs, text_col), measured_rules(), sample_rows)]
+    """Adds the measures, ``base_failed`` and ``kept``: of what the base keeps, the further rules read the text in turn."""
+    rules = further_rules(F.col(text_col), F.col("n_words"))
+    on_sample = sampled(docs, text_col, sample_rows).withColumn("n_words", word_count(F.col(text_col)))
+    ordered = [rule for rule, _, _ in order_rules(on_sample, rules, text_col, sample_rows)]
     verdict = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(ordered).isNull())
     return measures(docs, text_col).withColumn("kept", verdict)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects, with their columns unchanged."""
-    ordered = [rule for rule, _, _ in order_rules(docs, text_rules(text_col), sample_rows)]
+    ordered = [rule for rule, _, _ in order_rules(docs, text_rules(text_col), text_col, sample_rows)]
     return docs.where(cascade(ordered).isNull())
