@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +26,23 @@ def plane_fit(points: DataFrame, keys: Sequence[str] = ("cloud_id",)) -> DataFra
     sums = good.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"c{c}") for c in XYZ], *[F.covar_pop(a, b).alias(f"s{a}{b}") for a, b in _PAIRS])
     names = ("nx", "ny", "nz", "d", "slope_deg", "azimuth_deg")
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = np.empty((len(b), 3, 3))
+            if not b.num_rows:
+                continue
+            m = np.empty((b.num_rows, 3, 3))
             for a, c in _PAIRS:
                 i, j = XYZ.index(a), XYZ.index(c)
-                m[:, i, j] = m[:, j, i] = b[f"s{a}{c}"]
-            values, vectors = np.linalg.eigh(m) if len(b) else (np.zeros((0, 3)), np.zeros((0, 3, 3)))
+                m[:, i, j] = m[:, j, i] = b.column(f"s{a}{c}").to_numpy(zero_copy_only=False)
+            values, vectors = np.linalg.eigh(m)
             normal = vectors[:, :, 0] * np.where(vectors[:, 2, 0] < 0, -1.0, 1.0)[:, None]
-            centre = b[[f"c{c}" for c in XYZ]].to_numpy()
-            out = b[[*keys, "n"]].copy()
-            out["nx"], out["ny"], out["nz"] = normal.T
-            out["d"] = -(normal * centre).sum(axis=1)
-            out["slope_deg"] = np.degrees(np.arccos(np.clip(normal[:, 2], -1.0, 1.0)))
-            out["azimuth_deg"] = np.degrees(np.arctan2(normal[:, 1], normal[:, 0])) % 360.0
-            yield out[(values[:, 1] > 1e-12) & (b["n"] >= 3).to_numpy()]
+            centre = np.stack([b.column(f"c{c}").to_numpy(zero_copy_only=False) for c in XYZ], axis=1)
+            found = [*normal.T, -(normal * centre).sum(axis=1), np.degrees(np.arccos(np.clip(normal[:, 2], -1.0, 1.0))), np.degrees(np.arctan2(normal[:, 1], normal[:, 0])) % 360.0]
+            out = pa.record_batch([*[b.column(c) for c in (*keys, "n")], *map(pa.array, found)], names=[*keys, "n", *names])
+            yield out.filter(pa.array((values[:, 1] > 1e-12) & (b.column("n").to_numpy() >= 3)))
 
     kinds = ", ".join(f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in keys)
-    planes = sums.mapInPandas(solve, f"{kinds}, n long, " + ", ".join(f"{c} double" for c in names))
+    planes = sums.mapInArrow(solve, f"{kinds}, n long, " + ", ".join(f"{c} double" for c in names))
     residual = F.abs(F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z") + F.col("d"))
     joined = good.select(*keys, *XYZ).join(planes, keys)
     rest = joined.groupBy(*keys).agg(F.sqrt(F.avg(residual * residual)).alias("rms"), F.avg(residual).alias("mean_abs"), F.max(residual).alias("max_abs"))
@@ -76,11 +75,14 @@ def oriented_box(points: DataFrame, keys: Sequence[str] = ("cloud_id",), crop_fr
 
 
 def oriented_box_region(points: DataFrame, keys: Sequence[str] = ("cloud_id",), trim_from: int = 200) -> DataFrame:
-    """The oriented bounds of a region: no crop, trimmed only from ``trim_from`` points on."""
-    return _boxes(clean_points(points).select(*keys, *XYZ), list(keys), trim_from)
+    """The oriented bounds of a region: no crop, trimmed only from ``trim_from`` points on (0: always).
+
+    It is centred on the mean of the points, and its yaw is that of the longer side.
+    """
+    return _boxes(clean_points(points).select(*keys, *XYZ), list(keys), trim_from, region=True)
 
 
-def _boxes(used: DataFrame, keys: list[str], trim_from: int) -> DataFrame:
+def _boxes(used: DataFrame, keys: list[str], trim_from: int, region: bool = False) -> DataFrame:
     axes = used.groupBy(*keys).agg(F.count("*").alias("points_used"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_samp("x", "x").alias("a"), F.covar_samp("x", "y").alias("b"), F.covar_samp("y", "y").alias("c"))
     axes = axes.where("points_used >= 3").withColumn("angle", _principal(F.col("a"), F.col("b"), F.col("c"))).drop("a", "b", "c")
     p = F.array(F.lit(0.005), F.lit(0.995))
@@ -91,9 +93,13 @@ def _boxes(used: DataFrame, keys: list[str], trim_from: int) -> DataFrame:
     size = {c: s[1] - s[0] for c, s in span.items()}
     mid = {c: (s[1] + s[0]) / 2 for c, s in span.items()}
     long_, short = F.greatest(size["u"], size["v"]), F.least(size["u"], size["v"])
+    yaw = F.degrees("angle")
+    cx, cy = F.col("mx") + F.cos("angle") * mid["u"] - F.sin("angle") * mid["v"], F.col("my") + F.sin("angle") * mid["u"] + F.cos("angle") * mid["v"]
+    if region:
+        yaw, cx, cy = F.when(size["v"] > size["u"], F.degrees(F.atan2(F.cos("angle"), -F.sin("angle")))).otherwise(yaw), F.col("mx"), F.col("my")
     return out.select(
-        *keys, "points_used", F.degrees("angle").alias("yaw_deg"), long_.alias("length"), short.alias("width"), size["z"].alias("height"),
-        (F.col("mx") + F.cos("angle") * mid["u"] - F.sin("angle") * mid["v"]).alias("cx"), (F.col("my") + F.sin("angle") * mid["u"] + F.cos("angle") * mid["v"]).alias("cy"), mid["z"].alias("cz"),
+        *keys, "points_used", yaw.alias("yaw_deg"), long_.alias("length"), short.alias("width"), size["z"].alias("height"),
+        cx.alias("cx"), cy.alias("cy"), mid["z"].alias("cz"),
         F.sqrt(long_ * long_ + short * short).alias("diagonal_xy"), F.sqrt(long_ * long_ + short * short + size["z"] * size["z"]).alias("diagonal"),
     )
 

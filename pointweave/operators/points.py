@@ -179,10 +179,22 @@ def crossing_polygons(edges: DataFrame) -> DataFrame:
     a, b = edges.alias("a"), edges.alias("b")
     apart = (F.col("a.nth") < F.col("b.nth")) & (F.col("b.nth") - F.col("a.nth") != 1) & (F.col("b.nth") - F.col("a.nth") != F.col("a.n") - 1)
 
-    def turn(o: str, p: str, q: Sequence[str]) -> Column:
-        return (F.col(f"{o}.bx") - F.col(f"{o}.ax")) * (F.col(f"{p}.{q[1]}") - F.col(f"{o}.ay")) - (F.col(f"{o}.by") - F.col(f"{o}.ay")) * (F.col(f"{p}.{q[0]}") - F.col(f"{o}.ax"))
-
-    crosses = (turn("a", "b", ("ax", "ay")) * turn("a", "b", ("bx", "by")) <= 0) & (turn("b", "a", ("ax", "ay")) * turn("b", "a", ("bx", "by")) <= 0)
+    def side(o: str, p: str, q: Sequence[str]) -> Column:
+        """The side of edge o on which an end of edge p lies; 0 on its line."""
+        t = (F.col(f"{o}.bx") - F.col(f"{o}.ax")) * (F.col(f"{p}.{q[1]}") - F.col(f"{o}.ay")) - (F.col(f"{o}.by") - F.col(f"{o}.ay")) * (F.col(f"{p}.{q[0]}") - F.col(f"{o}.ax"))
+        return F.when(F.abs(t) <= 1e-10, 0).otherwise(F.signum(t))
+
+    def touches(o: str, p: str, q: Sequence[str]) -> Column:
+        """Whether an end of edge p lies on edge o."""
+        within = F.lit(True)
+        for c, end in zip("xy", q, strict=True):
+            within &= F.col(f"{p}.{end}").between(F.least(f"{o}.a{c}", f"{o}.b{c}"), F.greatest(f"{o}.a{c}", f"{o}.b{c}"))
+        return (side(o, p, q) == 0) & within
+
+    start, end = ("ax", "ay"), ("bx", "by")
+    crosses = (side("a", "b", start) * side("a", "b", end) < 0) & (side("b", "a", start) * side("b", "a", end) < 0)
+    for o, p in (("a", "b"), ("b", "a")):
+        crosses |= touches(o, p, start) | touches(o, p, end)
     return a.join(b, (F.col("a.polygon_id") == F.col("b.polygon_id")) & apart).where(crosses).select(F.col("a.polygon_id").alias("polygon_id")).distinct()
 
 

@@ -164,7 +164,7 @@ def sensor_issues(counters: DataFrame, metrics: DataFrame) -> DataFrame:
         issue(metrics, "LIDAR_INVALID_RANGES", m("invalid_pct") & (F.col("p95") > 30), "warning", "sensors", "Many invalid ranges", F.round("p95", 1)),
         issue(metrics, "ODOMETRY_POSITION_JUMP", m("position_step") & (F.col("max") > 2), "warning", "sensors", "The position jumps", F.round("max", 2)),
         issue(metrics, "GNSS_NO_FIX", m("no_fix") & (F.col("max") > 0), "warning", "sensors", "No position fix at times", F.round("mean", 4)),
-        issue(metrics, "BATTERY_LOW", m("percentage") & F.col("min").between(0, 0.0999999999), "warning", "sensors", "Battery is low", F.round("min", 3)),
+        issue(metrics, "BATTERY_LOW", m("percentage") & (F.col("min") >= 0) & (F.col("min") < 0.1), "warning", "sensors", "Battery is low", F.round("min", 3)),
         issue(metrics, "BATTERY_TEMPERATURE_HIGH", m("temperature") & (F.col("max") > 60), _graded(F.col("max") > 80), "sensors", "Battery is hot", F.round("max", 1)),
     ])
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Rows of one key that a window holds together before it is cut into buckets.
 BUCKET_ROWS = 1_000_000
 
@@ -56,16 +58,19 @@ def longest_runs(df: DataFrame, keys: Sequence[str], order: str, value: str) ->
 def dense_position(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Adds ``position`` from 0: by key through a window, else over all rows through range partitions.
 
-    Without keys the rows are dealt by range of their order, counted by partition, and numbered inside it, so
-    that no task holds them all.
+    Without keys the rows are dealt by range of their order and written once, sorted, with their partition and place; counts
+    and positions both come from that one copy, so that no task holds all rows and none is lost or met twice.
     """
     if keys:
         return df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    dealt = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
-    counts = dealt.groupBy("__part").agg(F.count("*").alias("n"))  # a row for each partition
+    # partition number in the upper bits, place within the partition in the lower 33
+    at = F.monotonically_increasing_id()
+    dealt = written(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__at", at))
+    part = F.shiftright("__at", 33)
+    counts = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))  # a row for each partition
     before = counts.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return dealt.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn("position", F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+    placed = dealt.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return placed.withColumn("position", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__at", "__before")
 
 
 def stride_sample(df: DataFrame, order: Sequence[str], limit: int, keys: Sequence[str] = ()) -> DataFrame:

@@ -163,6 +163,23 @@ _IN = "x BETWEEN 5 AND 30 AND y BETWEEN 5 AND 40 AND z BETWEEN 10 AND 60"
 _EDGES = "e(ax, ay, bx, cy) AS (VALUES " + ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(SHAPE.vertices, [*SHAPE.vertices[1:], SHAPE.vertices[0]], strict=True)) + ")"
 
 
+def _box(keys: str, source: str) -> str:
+    """DuckDB's oriented boxes of the small points; of a cropped whole cloud, or of uncropped regions."""
+    whole = source == "crop"
+    cut = " AND ".join(f"{c} BETWEEN q{c}[1] AND q{c}[2]" for c in "xyz")
+    trim = "true" if whole else "points_used >= 200"
+    return f"""WITH {SMALL_POINTS}, q AS (SELECT {keys}, count(*) AS n_all, {", ".join(f"quantile_cont({c}, [0.001, 0.999]) AS q{c}" for c in "xyz")} FROM p GROUP BY {keys}),
+crop AS (SELECT p.* FROM p JOIN q USING ({keys}) WHERE n_all < 200 OR ({cut})),
+a AS (SELECT {keys}, count(*) AS points_used, avg(x) AS mx, avg(y) AS my, atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2 AS angle FROM {source} GROUP BY {keys} HAVING count(*) >= 3),
+j AS (SELECT {keys}, points_used, mx, my, angle, cos(angle) * (x - mx) + sin(angle) * (y - my) AS u, cos(angle) * (y - my) - sin(angle) * (x - mx) AS v, z FROM {source} JOIN a USING ({keys})),
+e AS (SELECT {keys}, points_used, mx, my, angle, {", ".join(f"CASE WHEN {trim} THEN quantile_cont({c}, [0.005, 0.995]) ELSE [min({c}), max({c})] END AS e{c}" for c in "uvz")} FROM j GROUP BY {keys}, points_used, mx, my, angle),
+s AS (SELECT *, eu[2] - eu[1] AS su, ev[2] - ev[1] AS sv, ez[2] - ez[1] AS sz, (eu[1] + eu[2]) / 2 AS hu, (ev[1] + ev[2]) / 2 AS hv FROM e)
+SELECT {keys}, points_used, round(degrees({"angle" if whole else "CASE WHEN sv > su THEN atan2(cos(angle), -sin(angle)) ELSE angle END"}), 5) AS yaw_deg,
+    round(greatest(su, sv), 5) AS length, round(least(su, sv), 5) AS width, round(sz, 5) AS height,
+    round({"mx + cos(angle) * hu - sin(angle) * hv" if whole else "mx"}, 5) AS cx, round({"my + sin(angle) * hu + cos(angle) * hv" if whole else "my"}, 5) AS cy, round((ez[1] + ez[2]) / 2, 5) AS cz,
+    round(sqrt(su * su + sv * sv), 5) AS diagonal_xy, round(sqrt(su * su + sv * sv + sz * sz), 5) AS diagonal FROM s"""
+
+
 def _inside(src: str, x: str, y: str, keep: str) -> str:
     return f"""(SELECT {keep} FROM (SELECT DISTINCT {x} AS qx, {y} AS qy FROM {src}) q, e GROUP BY qx, qy
 HAVING count(*) FILTER ((qy < ay) <> (qy < cy) AND qx < (qy - ay) * ((bx - ax) / nullif(cy - ay, 0)) + ax) % 2 = 1
@@ -183,9 +200,16 @@ SELECT cloud_id, frame_id, floor(least(255, greatest(0, CASE WHEN unit THEN v *
     "select_xy": f"WITH {POINTS} SELECT cloud_id, frame_id, count(*) AS n FROM p WHERE x BETWEEN 10 AND 30 AND y BETWEEN 5 AND 25 GROUP BY ALL",
     "select_polygon": f"WITH {POINTS}, {_EDGES} SELECT cloud_id, x, y, count(*) AS n FROM p JOIN {_inside('p', 'x', 'y', 'qx, qy')} s ON qx = x AND qy = y WHERE z BETWEEN 10 AND 80 GROUP BY ALL",
     "polygon_validate": """WITH k AS (SELECT s_suppkey AS id, [{'x': s_suppkey*7%11, 'y': s_suppkey*5%13}, {'x': s_suppkey*3%17, 'y': s_suppkey*11%7}, {'x': s_suppkey*13%19, 'y': s_suppkey*17%23}, {'x': s_suppkey*19%29, 'y': s_suppkey*23%31}] AS v FROM supplier),
-e AS (SELECT id, i, v[i + 1].x AS ax, v[i + 1].y AS ay, v[(i + 1) % 4 + 1].x AS bx, v[(i + 1) % 4 + 1].y AS by FROM k, range(4) r(i))
-SELECT DISTINCT a.id AS polygon_id FROM e a JOIN e b ON a.id = b.id AND a.i < b.i AND b.i - a.i = 2
-WHERE ((a.bx-a.ax)*(b.ay-a.ay)-(a.by-a.ay)*(b.ax-a.ax)) * ((a.bx-a.ax)*(b.by-a.ay)-(a.by-a.ay)*(b.bx-a.ax)) <= 0 AND ((b.bx-b.ax)*(a.ay-b.ay)-(b.by-b.ay)*(a.ax-b.ax)) * ((b.bx-b.ax)*(a.by-b.ay)-(b.by-b.ay)*(a.bx-b.ax)) <= 0""",
+e AS (SELECT id, i, v[i + 1].x AS ax, v[i + 1].y AS ay, v[(i + 1) % 4 + 1].x AS bx, v[(i + 1) % 4 + 1].y AS by FROM k, range(4) r(i)),
+s AS (SELECT a.id, a.ax AS px, a.ay AS py, a.bx - a.ax AS rx, a.by - a.ay AS ry, b.ax AS qx, b.ay AS qy, b.bx - b.ax AS sx, b.by - b.ay AS sy FROM e a JOIN e b ON a.id = b.id AND b.i - a.i = 2),
+t AS (SELECT *, rx * sy - ry * sx AS d, (qx - px) * sy - (qy - py) * sx AS tn, (qx - px) * ry - (qy - py) * rx AS un, rx * rx + ry * ry AS rr, sx * sx + sy * sy AS ss, (qx - px) * rx + (qy - py) * ry AS t0, sx * rx + sy * ry AS dt FROM s)
+SELECT DISTINCT id AS polygon_id FROM t WHERE CASE
+    WHEN rr = 0 THEN tn = 0 AND (px - qx) * sx + (py - qy) * sy BETWEEN 0 AND ss
+    WHEN ss = 0 THEN un = 0 AND t0 BETWEEN 0 AND rr
+    WHEN d <> 0 THEN tn / d::DOUBLE BETWEEN 0 AND 1 AND un / d::DOUBLE BETWEEN 0 AND 1
+    ELSE un = 0 AND least(t0, t0 + dt) <= rr AND greatest(t0, t0 + dt) >= 0 END""",
+    "oriented_box_global": _box("cloud_id", "crop"),
+    "oriented_box_region": _box("cloud_id, frame_id", "p"),
     "shift_origin": f"WITH {POINTS} SELECT cloud_id, round(max(x - 25), 6) AS x, round(max(y - 25), 6) AS y, round(max(z - 50), 6) AS z FROM p GROUP BY 1",
     "unit_convert": f"WITH {POINTS} SELECT cloud_id, round(max(x * 100), 2) AS cm, round(max(x * y * 1000000), 2) AS mm2 FROM p GROUP BY 1",
     "apply_transform": f"WITH {_BAD} SELECT cloud_id, count(*) AS n, " + ", ".join(f"round(avg(x * {r[0]!r} + y * {r[1]!r} + z * {r[2]!r} + {r[3]!r}), 4) AS {c}" for c, r in zip("xyz", _M, strict=False)) + " FROM f WHERE ok GROUP BY 1",

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import live as L
 from .tables import SMALL_POINTS, rounded, small_points, table
 
@@ -20,7 +20,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _run(out: DataFrame, mode: str) -> DataFrame:
     """All rows that a stream writes, or its last complete result, through Parquet in the shared folder."""
     spark = out.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")) + f"/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     write = "overwrite" if mode == "complete" else "append"
     q = out.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode(write).parquet(f"{root}/out")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -223,6 +223,11 @@ d AS (SELECT bag_id, topic, metric, median(abs(value - med)) FILTER (isfinite(va
 SELECT bag_id, topic, metric, samples, invalid, round(lo, 8) AS min, round(hi, 8) AS max, round(mean, 8) AS mean, round(med, 8) AS median, round(p95, 8) AS p95, round(mad, 8) AS mad FROM f JOIN d USING (bag_id, topic, metric)"""
 
 
+#: The graph of nations and suppliers, and what is reached from each frame along edges in either direction.
+_GRAPH = """g AS (SELECT n_regionkey::VARCHAR AS bag_id, 'n' || lpad(n_nationkey::VARCHAR, 2, '0') AS parent, 'n' || lpad(((n_nationkey + CASE WHEN n_regionkey < 3 THEN 5 ELSE 1 END) % 25)::VARCHAR, 2, '0') AS child FROM nation
+UNION ALL SELECT n_regionkey::VARCHAR, 'n' || lpad(s_nationkey::VARCHAR, 2, '0'), s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+_REACH = """u AS (SELECT bag_id, parent AS a, child AS b FROM g UNION SELECT bag_id, child, parent FROM g),
+w AS (SELECT bag_id, a, a AS b FROM u UNION SELECT w.bag_id, w.a, u.b FROM w JOIN u ON w.bag_id = u.bag_id AND w.b = u.a)"""
 _DIAG = "d AS (SELECT bag_id, topic AS name, (floor(value)::BIGINT % 4)::INT AS level, 'm' || (seq % 3) AS message FROM m)"
 _TF = "t AS (SELECT bag_id, seq, seq % 10 = 0 AS is_static, ltrim(topic, '/') AS child, CASE WHEN header_ns <> 0 THEN header_ns ELSE storage_ns END AS ts, value / 10 AS tx, value / 20 AS ty, seq % 70 <> 0 AS good FROM m)"
 ORACLES = {
@@ -243,5 +248,10 @@ ORACLES = {
 SELECT bag_id, child, is_static, seq, round(sqrt((tx - px)**2 + (ty - py)**2), 6) AS step_m, dt FROM s WHERE dt IS NOT NULL""",
     "multiple_parents": f"WITH {MESSAGES} SELECT bag_id, topic AS child, '/map,base' AS parents FROM m GROUP BY ALL HAVING bool_or(seq % 10 = 0) AND bool_or(seq % 10 <> 0)",
     "bag_issues": f"WITH {MESSAGES} SELECT bag_id, 'BAG_METADATA' AS issue_id, 'warning' AS severity, 'bag' AS category, NULL::VARCHAR AS topic, 'Declared and stored counts differ' AS title, (count(*) + 5) || '/' || count(*) AS evidence, '' AS suggestion, 'medium' AS confidence FROM m WHERE bag_id = '3' GROUP BY 1",
-    "tf_cycles": "SELECT 'loop' AS bag_id, 'n' || lpad(k::VARCHAR, 2, '0') AS cycle, string_agg('n' || lpad((k + 5 * i)::VARCHAR, 2, '0'), ',' ORDER BY i) AS frames FROM range(5) a(k), range(5) b(i) GROUP BY k UNION ALL SELECT '0', 'n00', 'n00,n05,n10,n15,n20'",
+    "tf_cycles": f"""WITH RECURSIVE {_GRAPH}, every AS (SELECT * FROM g UNION ALL SELECT 'loop', 'n' || lpad(n_nationkey::VARCHAR, 2, '0'), 'n' || lpad(((n_nationkey + 5) % 25)::VARCHAR, 2, '0') FROM nation),
+w AS (SELECT bag_id, parent AS a, child AS b FROM every UNION SELECT w.bag_id, w.a, e.child FROM w JOIN every e ON w.bag_id = e.bag_id AND w.b = e.parent),
+c AS (SELECT x.bag_id, x.a, x.b FROM w x JOIN w y ON x.bag_id = y.bag_id AND x.a = y.b AND x.b = y.a)
+SELECT DISTINCT bag_id, min(b) AS cycle, string_agg(b, ',' ORDER BY b) AS frames FROM c GROUP BY bag_id, a""",
+    "tf_components": f"WITH RECURSIVE {_GRAPH}, {_REACH} SELECT bag_id, a AS frame, min(b) AS component FROM w GROUP BY ALL",
+    "component_order": f"WITH RECURSIVE {_GRAPH}, {_REACH}, c AS (SELECT bag_id, a, min(b) AS component FROM w GROUP BY ALL) SELECT bag_id, component, count(*)::INT AS size FROM c GROUP BY ALL",
 }

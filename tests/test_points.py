@@ -93,3 +93,37 @@ def test_bucketed_previous_equals_plain(spark):
 def test_exact_quantiles(spark):
     r = S.exact_quantiles(spark.createDataFrame([(0.0,), (0.1,), (0.2,), (0.3,)], "v double"), "v", [0.95]).first()
     assert abs(r.v - 0.285) < 1e-12
+
+
+def test_dense_position_keeps_every_row(spark):
+    wide = spark.range(0, 400_000, 1, 16).select((F.col("id") * 7919 % 400_009).alias("v"), F.repeat(F.col("id").cast("string"), 20).alias("wide"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = S.dense_position(wide, ["v"])
+        ordered = out.select("v", "position").orderBy("position").toPandas()
+        assert ordered.position.tolist() == list(range(400_000)) and ordered.v.is_monotonic_increasing
+        assert S.stride_sample(wide, ["v"], 1000).count() == 1000
+        assert S.dense_position(wide.limit(0), ["v"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_crossing_polygons_agree_with_single_form(spark):
+    shapes = {1: [(0, 0), (5, 0), (5, 5), (4, 5), (4, 1), (1, 1), (1, 5), (0, 5)], 2: [(0, 0), (4, 4), (4, 0), (0, 3)], 3: [(0, 0), (6, 0), (6, 3), (3, 0), (0, 3)], 4: [(0, 0), (1, 0), (0, 1)]}
+    rows = [(i, k, len(v), *map(float, (*v[k], *v[(k + 1) % len(v)]))) for i, v in shapes.items() for k in range(len(v))]
+    edges = spark.createDataFrame(rows, "polygon_id int, nth int, n int, ax double, ay double, bx double, by double")
+    assert {r.polygon_id for r in O.crossing_polygons(edges).collect()} == {i for i, v in shapes.items() if O.polygon_fault(v) == "edges cross"} == {2, 3}
+
+
+def test_region_box_is_centred_on_the_mean(spark):
+    p = spark.createDataFrame([("c", *map(float, v)) for v in ((0, 0, 0), (1, 0, 0), (2, 0, 0), (10, 1, 0))], "cloud_id string, x double, y double, z double")
+    r = G.oriented_box_region(p).first()
+    assert (r.cx, r.cy) == (3.25, 0.25) and r.length > r.width
+
+
+def test_plane_fit_keeps_large_keys(spark):
+    big = 2**53 + 1
+    p = spark.createDataFrame([(k, float(x), float(y), 1.0) for k in (None, big) for x in range(3) for y in range(3)], "cloud_id long, x double, y double, z double")
+    assert {r.cloud_id for r in G.plane_fit(p).collect()} <= {None, big}
+    assert big in {r.cloud_id for r in G.plane_fit(p).collect()}
