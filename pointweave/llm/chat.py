@@ -6,7 +6,8 @@ expand to are recorded beside it.  Turns are rendered one by one, wherever their
 turns of one conversation meet, in the one row that holds the formatted conversation.
 
 Defined results
-    * null text: empty text; null role: empty role; null conversation id: a conversation of its own.
+    * null text: empty text; null role: empty role; rows of null conversation id: one conversation of their own.
+    * a conversation is one row, so its text must fit in a row of Spark; ids are passed on exactly.
     * turns with an equal number: by role, then text; null turn numbers come first; repeated rows all stay.
     * control strings and backslashes in texts and roles are escaped and come back unchanged from ``read_back``.
     * unknown part types: treated as text.
@@ -19,7 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,21 +92,22 @@ def format_conversations(turns: DataFrame, parts: Column | None = None, loss_rol
     parts = text_parts(F.col("text")) if parts is None else parts
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(parts, F.array().cast(f"array<{PART}>")).cast(f"array<{PART}>").alias("parts"))
 
-    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             heads, bodies, references, tokens = [], [], [], []
-            for role, own in zip(b["role"], b["parts"], strict=True):
+            for role, own in zip(b.column(2).to_pylist(), b.column(3), strict=True):
                 visitor = FlattenVisitor()
-                for part in own:
-                    visitor.visit(part if isinstance(part, dict) else part.asDict())
+                for part in own.as_py():
+                    visitor.visit(part or {})
                 heads.append(TURN + escape(role).replace("\n", "\\n") + "\n")
                 bodies.append("".join(visitor.pieces))
                 references.append(visitor.references)
                 tokens.append(visitor.tokens)
-            yield pd.DataFrame({"conv_id": b["conv_id"], "turn": b["turn"], "role": b["role"], "head": heads, "body": bodies, "refs": references, "tokens": tokens})
+            made = [pa.array(heads, pa.string()), pa.array(bodies, pa.string()), pa.array(references, pa.list_(pa.string())), pa.array(tokens, pa.list_(pa.int32()))]
+            yield pa.record_batch([*b.columns[:3], *made], names=["conv_id", "turn", "role", "head", "body", "refs", "tokens"])
 
     kind = turns.schema["conv_id"].dataType.simpleString()
-    rendered = rows.mapInPandas(render, f"conv_id {kind}, turn long, role string, head string, body string, refs array<string>, tokens array<int>")
+    rendered = rows.mapInArrow(render, f"conv_id {kind}, turn long, role string, head string, body string, refs array<string>, tokens array<int>")
     lost = F.col("role").isin(*loss_roles)
     gathered = (
         rendered.groupBy("conv_id")
@@ -136,14 +138,19 @@ def digests(formatted: DataFrame) -> DataFrame:
     """Parses formatted conversations again and digests their turns and the text under the loss mask."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for conv, text, spans in zip(b["conv_id"], b["formatted"], b["loss_spans"], strict=True):
+            for formatted, spans in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+                text = formatted.as_py()
                 turns = read_back(text)
                 loss = "".join(unescape(text[s["start"] : s["start"] + s["length"]]) for s in spans)
                 whole = "".join(f"{r}\n{t}\n" for r, t in turns)
-                out.append((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                out.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            made = [pa.array(v, pa.string() if n.endswith("sha256") else pa.int64()) for n, v in zip(names, columns, strict=True)]
+            yield pa.record_batch([b.column(0), *made], names=["conv_id", *names])
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInPandas(parse, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(parse, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

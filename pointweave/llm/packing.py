@@ -9,6 +9,7 @@ residuals until a compatible bin is found, and a new bin opens only when none is
 
 Defined results
     * null or wordless text: length 0, no bin (``bin_id`` null, ``slot`` null).
+    * null ids stay null, and all others are exact.
     * null source: conflicts with nothing.  Null cluster: likewise.
     * repeated rows: packed as they come; equal clusters keep them in different bins.
     * a piece as long as the capacity fills a bin of its own.
@@ -18,9 +19,9 @@ Defined results
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -
     def bits(keys: list) -> list[int]:
         seen: dict = defaultdict(list)
         for i, k in enumerate(keys):
-            if k is not None and k == k:
+            if k is not None:
                 seen[k].append(i)
         out, bit = [0] * len(keys), 1
         for members in seen.values():
@@ -93,23 +94,24 @@ def pack(docs: DataFrame, *, length: Column, cluster: Column, capacity: int = 20
     n_groups = max(1, -(-n_pieces // rows_per_group))
     pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(n_groups)).cast("long"))
 
-    def pack_group(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        full = batch["n_words"] > 0
-        some = batch[full]
-        sources = some["source"].where(some["n_words"] < capacity).tolist()  # a full piece shares its bin with none
-        placed = best_fit(some["n_words"].tolist(), sources, some["cluster"].tolist(), capacity)
-        some = some.assign(bin=placed)
-        some["slot"] = some.groupby("bin").cumcount()
-        some["bin_words"] = some.groupby("bin")["n_words"].transform("sum")
-        some["bin_id"] = some["bin"] * n_groups + some["grp"]
-        none = batch[~full].assign(bin_id=None, slot=None, bin_words=None)
-        out = pd.concat([some, none]) if len(none) else some
-        for c, kind in (("bin_id", "Int64"), ("slot", "Int32"), ("bin_words", "Int64"), ("doc_id", "Int64")):
-            out[c] = out[c].astype(kind)
-        return out[["doc_id", "piece", "start", "n_words", "bin_id", "slot", "bin_words"]]
-
-    return pieces.select("doc_id", "source", "cluster", "piece", "start", "n_words", "grp").groupBy("grp").applyInPandas(pack_group, SCHEMA)
+    def pack_group(batch: pa.Table) -> pa.Table:
+        batch = batch.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        lengths = batch["n_words"].to_pylist()
+        full = sum(n > 0 for n in lengths)  # pieces without words come last
+        sources = [s if n < capacity else None for s, n in zip(batch["source"].to_pylist(), lengths[:full], strict=False)]  # a full piece shares its bin with none
+        placed = best_fit(lengths[:full], sources, batch["cluster"].to_pylist()[:full], capacity)
+        words, slots, grp = Counter(), [], batch["grp"][0].as_py()
+        used: Counter = Counter()
+        for b, n in zip(placed, lengths, strict=False):
+            words[b] += n
+            slots.append(used[b])
+            used[b] += 1
+        none = [None] * (len(lengths) - full)
+        columns = {"bin_id": [b * n_groups + grp for b in placed], "slot": slots, "bin_words": [words[b] for b in placed]}
+        made = [pa.array(v + none, pa.int32() if c == "slot" else pa.int64()) for c, v in columns.items()]
+        return pa.table([*(batch[c] for c in ("doc_id", "piece", "start", "n_words")), *made], names=["doc_id", "piece", "start", "n_words", *columns])
+
+    return pieces.select("doc_id", "source", "cluster", "piece", "start", "n_words", "grp").groupBy("grp").applyInArrow(pack_group, SCHEMA)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048) -> DataFrame:

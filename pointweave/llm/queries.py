@@ -11,7 +11,7 @@ from . import bpe, chat, jaccard, lattice, ordinal, packing, quality_rules, shar
 from .common import table
 
 #: Bytes of text in a shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 64 << 10
 #: Words in a packed sequence.
 SEQUENCE_WORDS = 2048
 #: Components of an embedding.
@@ -122,6 +122,31 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum({len(chat.TURN) + len(chat.END) + 2} + length({_escaped("role")}) + length({_escaped("text")}))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op7_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, list_slice(w, i, i + 49) AS g FROM d, range(1, len(w) - 48) AS r(i)),
+least AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) < doc_id AS again FROM win),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM least, range(0, 50) AS o(k) WHERE again),
+cut AS (SELECT doc_id, count(*)::BIGINT AS n_removed FROM gone GROUP BY doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op9_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+w AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT w.a, l.b FROM w JOIN l ON w.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM w GROUP BY a), n AS (SELECT a AS vec_id, count(*)::BIGINT AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+    "op10_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 2) AS g FROM d, range(1, greatest(len(w) - 1, least(len(w), 1) + 1)) AS r(i)),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)),
+w AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT w.a, l.b FROM w JOIN l ON w.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM w GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)""",
 }
 
 

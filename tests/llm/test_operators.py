@@ -324,3 +324,55 @@ def test_odd_and_empty_tables(spark, empty):
     assert ordinal.grade(docs, model).where("selected").count() == n
     assert url_filter.judge(docs.select("doc_id", "text"), (), "doc_id", "text").count() == n
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"), 64).count() == 0
+
+
+BIG = 2**53 + 1
+
+
+def test_large_ids_beside_nulls(spark):
+    turns = spark.createDataFrame([(BIG, 0, "assistant", "x"), (None, 0, "user", "y")], "conv_id long, turn long, role string, text string").coalesce(1)
+    assert {r.conv_id: r.n_turns for r in chat.digests(chat.format_conversations(turns)).collect()} == {BIG: 1, None: 1}
+    docs = spark.createDataFrame([(BIG, "a b c", "s", "x", 1), (None, "d e", "s", "x", 1), (BIG + 2, None, None, "x", 1)], SCHEMA).coalesce(1)
+    assert {(r.doc_id, r.n_words, r.bin_id is None) for r in packing.pack_documents(docs, 10).collect()} == {(BIG, 3, False), (None, 2, False), (BIG + 2, 0, True)}
+
+
+def test_chat_odd_tables(spark):
+    kind = "conv_id long, turn long, role string, text string, formatted string, body int"
+    assert chat.format_conversations(spark.createDataFrame([], kind)).count() == 0
+    long_text = "[INST] \\ é " * 20000
+    rows = [(1, 0, "user", "b", "x", 1), (1, 0, "user", "b", "x", 1), (1, 0, "assistant", long_text, "x", 1), (2, None, None, None, None, None)]
+    out = {r.conv_id: chat.read_back(r.formatted) for r in chat.format_conversations(spark.createDataFrame(rows, kind)).collect()}
+    assert out == {1: [("assistant", long_text), ("user", "b"), ("user", "b")], 2: [("", "")]}
+
+
+def test_packing_equals_scan_with_clusters():
+    rng = random.Random(9)
+    items = sorted((rng.randint(1, 40) for _ in range(150)), reverse=True)
+    sources, clusters = ([rng.choice([*names, None]) for _ in items] for names in ("abcde", "xyz"))
+    room, held = [], []
+    for n, s, c, b in zip(items, sources, clusters, packing.best_fit(items, sources, clusters, 40), strict=True):
+        own = {("s", s)} - {("s", None)} | {("c", c)} - {("c", None)}
+        fits = [r for r, h in zip(room, held, strict=True) if r >= n and not own & h]
+        if b == len(room):
+            assert not fits
+            room.append(40)
+            held.append(set())
+        else:
+            assert room[b] == min(fits) and not own & held[b]
+        room[b] -= n
+        held[b] |= own
+
+
+def test_scaled_copies_all_link(spark):
+    rng = np.random.default_rng(2)
+    v, other = rng.normal(size=64), rng.normal(size=64)
+    rows = [(i, [float(x) for x in v * (i + 1)], 5) for i in range(30)] + [(None, [float(x) for x in v], 5), (None, [float(x) for x in v], 5), (50, [float(x) for x in other], 5)]
+    got = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep int"), 64).collect()
+    assert {tuple(r) for r in got} == {(i, 31, 0, i == 0) for i in range(30)} | {(None, 31, None, False), (50, 0, 50, True)}
+
+
+def test_rules_cascade_stops_early(spark):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("word " * 20).alias("text"))
+    stop = [quality_rules.Rule("first", F.lit(True)), quality_rules.Rule("never", F.raise_error(F.lit("read on")).cast("boolean"))]
+    assert docs.where(quality_rules.cascade(stop).isNull()).count() == 0
+    assert quality_rules.sampled(docs, "text", 2000).count() == 3
