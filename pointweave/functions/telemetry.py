@@ -91,7 +91,7 @@ def frame_name(name: Column) -> Column:
     return F.regexp_replace(F.trim(name), "^/+", "")
 
 
-def payload_signature(payload: Column) -> Column:
-    """Length and a hash of the first and last 2048 bytes; ``empty`` for none."""
-    ends = F.concat(F.substring(payload, 1, 2048), F.substring(payload, -2048, 2048))
-    return F.when(F.coalesce(F.octet_length(payload), F.lit(0)) == 0, "empty").otherwise(F.concat_ws(":", F.octet_length(payload), F.hex(F.xxhash64(ends))))
+def payload_signature(payload: Column, ends: int | None = None) -> Column:
+    """Length and a hash of the whole payload, or of its first and last ``ends`` bytes (2,048 for a cheap one); ``empty`` for none."""
+    read = payload if ends is None else F.concat(F.substring(payload, 1, ends), F.substring(payload, -ends, ends))
+    return F.when(F.coalesce(F.octet_length(payload), F.lit(0)) == 0, "empty").otherwise(F.concat_ws(":", F.octet_length(payload), F.hex(F.xxhash64(read))))

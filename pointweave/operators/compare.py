@@ -30,10 +30,12 @@ def candidate_planes(sample: np.ndarray, count: int, seed: int) -> np.ndarray:
 def dominant_plane(points: DataFrame, threshold: float, iterations: int = 500, seed: int = 1) -> DataFrame | None:
     """The points (``id, x, y, z``) with ``inlier`` and the refitted plane; None if no plane holds 5 % and three points.
 
-    At most 1,000 candidate planes come from a small sample; one pass over all points scores them together.
+    ``iterations`` candidate planes come from three times as many points, which the driver reads; one pass over all points
+    scores them together.  The jobs run when the function is called.
     """
+    if iterations < 1:
+        raise ValueError("iterations must be at least 1")
     good = clean_points(points)
-    iterations = min(iterations, 1000)
     picked = good.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(3 * iterations).select(*XYZ).toPandas().to_numpy(float)
     planes = candidate_planes(picked, iterations, seed) if len(picked) >= 3 else np.zeros((0, 4))
     if not len(planes):
@@ -43,8 +45,9 @@ def dominant_plane(points: DataFrame, threshold: float, iterations: int = 500, s
         total = np.zeros(len(planes), np.int64)
         for b in batches:
             xyz = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-            for at in range(0, len(xyz), 8192):
-                total += (np.abs(xyz[at : at + 8192] @ planes[:, :3].T + planes[:, 3]) <= threshold).sum(axis=0)
+            rows = max(1, (1 << 23) // len(planes))
+            for at in range(0, len(xyz), rows):
+                total += (np.abs(xyz[at : at + rows] @ planes[:, :3].T + planes[:, 3]) <= threshold).sum(axis=0)
         yield pa.record_batch([pa.array(np.arange(len(planes))), pa.array(total)], names=["plane", "n"])
 
     best = good.select(*[F.col(c).cast("double").alias(c) for c in XYZ]).mapInArrow(score, "plane long, n long").groupBy("plane").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "plane").first()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cell
+from ..session import written
 from .points import XYZ, clean_points
 from .sequences import stride_sample
 
@@ -16,9 +17,13 @@ PER_CELL = 8
 
 
 def cell_size(points: DataFrame) -> float:
-    """A grid size that gives about PER_CELL points a cell of the bounding box; one aggregation."""
-    b = clean_points(points).agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).first()
-    spans = [float(b[c]) for c in XYZ if b[c]]
+    """A grid size that gives about PER_CELL points a cell of the box that holds most points; one aggregation.
+
+    The box runs from the 2nd to the 98th hundredth of each axis, so that a few far points do not make cells large.
+    """
+    middle = {c: F.percentile_approx(c, [0.02, 0.98], 1000) for c in XYZ}
+    b = clean_points(points).agg(F.count("*").alias("n"), *[(middle[c][1] - middle[c][0]).alias(c) for c in XYZ], *[(F.max(c) - F.min(c)).alias(f"all_{c}") for c in XYZ]).first()
+    spans = [float(b[c] or b[f"all_{c}"]) for c in XYZ if b[f"all_{c}"]]
     if not spans:
         return 1.0
     return max((math.prod(spans) * PER_CELL / b["n"]) ** (1 / len(spans)), max(spans) * 1e-9, 1e-12)
@@ -38,7 +43,8 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int = 1, size: float | No
 
     ``queries`` and ``targets`` hold ``id, x, y, z``.  Each round joins queries with the targets of the 27
     cells around them; a query is answered once its k-th distance is within the cell size, and all others go on with
-    cells of twice the size.  Rounds end when none is left, or at distance ``most``.
+    cells of twice the size.  Rounds end when none is left, or at distance ``most``; each is run when the function is
+    called, and its answers are written to the shared folder.
     """
     q = clean_points(queries).select(F.col("id").alias("qid"), *[F.col(c).alias(c) for c in XYZ])
     t = clean_points(targets).select(F.col("id").alias("tid"), *XYZ)
@@ -58,15 +64,19 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int = 1, size: float | No
         if skip_same_id:
             joined = joined.where("qid != tid")
         d = sum(((F.col(c) - F.col(f"t{c}")) ** 2 for c in XYZ[1:]), (F.col("x") - F.col("tx")) ** 2)
-        w = Window.partitionBy("qid").orderBy("distance", "tid")
-        top = joined.select("qid", "tid", F.sqrt(d).alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        near = joined.select("qid", "tid", F.sqrt(d).alias("distance"))
+        if k == 1:  # pre-aggregated, without a sort
+            top = near.groupBy("qid").agg(F.min(F.struct("distance", "tid")).alias("best")).select("qid", "best.tid", "best.distance", F.lit(1).alias("rank"))
+        else:
+            w = Window.partitionBy("qid").orderBy("distance", "tid")
+            top = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         sure = top.where(F.col("distance") <= min(most, size if not last else math.inf))
         enough = sure.groupBy("qid").agg(F.count("*").alias("__n"))
         if last:
             found = sure
             return found.select("qid", "rank", "tid", "distance") if done is None else done.unionByName(found.select("qid", "rank", "tid", "distance"))
         full = enough.where(F.col("__n") >= least).select("qid")
-        found = sure.join(full, "qid").select("qid", "rank", "tid", "distance").persist()
+        found = written(sure.join(full, "qid").select("qid", "rank", "tid", "distance"))
         done = found if done is None else done.unionByName(found)
         left = left.join(found.select("qid").distinct(), "qid", "left_anti")
         if left.isEmpty():
@@ -81,8 +91,8 @@ def snap_points(picks: DataFrame, points: DataFrame) -> DataFrame:
     return out.select("id", *[F.coalesce(f"s{c}", c).alias(c) for c in XYZ], "tid", "distance")
 
 
-def point_spacing(points: DataFrame, sample: int | None = 3000) -> DataFrame:
-    """The median distance to the nearest other point, from a stride sample or all; zero distances are left out."""
+def point_spacing(points: DataFrame, sample: int | None = None) -> DataFrame:
+    """The median distance to the nearest other point, from all points or a stride sample of so many (3,000 for a quick figure); zero distances are left out."""
     asked = points if sample is None else stride_sample(clean_points(points), ["id"], sample)
     found = nearest(asked.select("id", *XYZ), points, skip_same_id=True).where(F.col("distance") * F.col("distance") > 1e-12)
     return found.agg(F.median("distance").alias("spacing"))

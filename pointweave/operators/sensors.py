@@ -13,8 +13,6 @@ from ..functions.vectors import magnitude, minus, valid_quaternion, valid_vector
 from .sequences import longest_runs
 
 KEYS = ("bag_id", "topic")
-#: Values of a scan, and points of a packet, that are looked at (fixed values).
-SCAN_VALUES, PACKET_POINTS = 4096, 2048
 FLAGS = ("invalid", "empty", "malformed", "saturated")
 
 
@@ -41,9 +39,10 @@ def imu(rows: DataFrame) -> DataFrame:
     }, F.when(F.col("__g"), _printed(F.array(*[v[k] for v in (a, w) for k in "xyz"]), 7)), invalid=~F.col("__g"), saturated=(magnitude(a) > 100) | (magnitude(w) > 35))
 
 
-def scan(rows: DataFrame) -> DataFrame:
+def scan(rows: DataFrame, most_values: int | None = None) -> DataFrame:
+    """Figures of laser scans; all values are judged, or the first ``most_values`` (4,096 to judge no more than a preview)."""
     every = F.coalesce("ranges", F.array().cast("array<double>"))
-    seen = F.slice(every, 1, SCAN_VALUES)
+    seen = every if most_values is None else F.slice(every, 1, most_values)
     good = F.filter(seen, lambda x: finite(x))
     low, high = F.coalesce("range_min", F.lit(0.0)), F.when(F.coalesce("range_max", F.lit(0.0)) == 0, F.lit(float("inf"))).otherwise(F.col("range_max"))
     bad = F.size(seen) - F.size(F.filter(good, lambda x: x.between(low, high)))
@@ -59,11 +58,12 @@ def pointcloud(rows: DataFrame) -> DataFrame:
     return _features(rows, {"points": w * h}, payload_signature(F.col("data")), empty=(w * h <= 0) | (size <= 0), malformed=(step <= 0) | ((least > 0) & (size < least)))
 
 
-def livox(rows: DataFrame) -> DataFrame:
+def livox(rows: DataFrame, most_points: int | None = None) -> DataFrame:
+    """Figures of point packets; all points are judged, or the first ``most_points`` (2,048 to judge no more than a preview)."""
     points = F.coalesce("points", F.array().cast(rows.schema["points"].dataType))
     declared, n = F.coalesce("point_num", F.lit(0)), F.size(points)
     some = (declared > 0) & (n > 0)
-    seen = F.slice(points, 1, PACKET_POINTS)
+    seen = points if most_points is None else F.slice(points, 1, most_points)
     good = F.filter(seen, lambda p: finite(p["x"], p["y"], p["z"]))
     ends = F.concat(F.slice(points, 1, 4), F.slice(points, F.greatest(F.lit(1), n - 3), 4))
     parts = F.flatten(F.transform(F.filter(ends, lambda p: finite(p["x"], p["y"], p["z"])), lambda p: F.array(p["x"], p["y"], p["z"])))

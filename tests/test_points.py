@@ -127,3 +127,11 @@ def test_plane_fit_keeps_large_keys(spark):
     p = spark.createDataFrame([(k, float(x), float(y), 1.0) for k in (None, big) for x in range(3) for y in range(3)], "cloud_id long, x double, y double, z double")
     assert {r.cloud_id for r in G.plane_fit(p).collect()} <= {None, big}
     assert big in {r.cloud_id for r in G.plane_fit(p).collect()}
+
+
+def test_neighbours_with_a_far_point(spark):
+    rows = [(i, float(i % 20), float(i // 20), 0.0) for i in range(400)] + [(999, 1e5, 1e5, 0.0)]
+    p = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    assert N.cell_size(p) < 10
+    got = {r.qid: (r.tid, r.distance) for r in N.nearest(p.where("id in (0, 399, 999)"), p, skip_same_id=True).collect()}
+    assert got[0] == (1, 1.0) and got[399] == (379, 1.0) and got[999][0] == 399

@@ -63,3 +63,12 @@ def test_tf_cycles_reads_all_bags(spark):
     rows = {tuple(r) for r in telemetry.tf_cycles(spark, "/root/testdata/sf0.001").collect()}
     chain = lambda k: ",".join(f"n{k + 5 * i:02}" for i in range(5))
     assert rows == {("loop", f"n{k:02}", chain(k)) for k in range(5)} | {(str(k), f"n{k:02}", chain(k)) for k in range(3)}
+
+
+def test_signature_reads_the_whole_payload(spark):
+    from pointweave.functions.telemetry import payload_signature
+
+    payloads = [b"a" * 5000 + m + b"a" * 5000 for m in (b"x", b"y")]
+    df = spark.createDataFrame([(bytearray(p),) for p in payloads], "p binary")
+    assert df.select(payload_signature(df.p)).distinct().count() == 2
+    assert df.select(payload_signature(df.p, 2048)).distinct().count() == 1
