@@ -3,6 +3,13 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept.  ``run`` writes every
 stage's rows as Parquet in the shared folder and reads them again as the next stage's documents.  All stages but the
 last return the columns of ``documents``.
+
+Defined results
+    * null or blank text: the rules for short texts reject it.  Empty input: no rows.
+    * null id: never removed as a copy and never cut; packed with a null id.
+    * rows that share an id are one document of the near-duplicate stage: they stay or go together.
+    * ties: the smallest id of a group of near duplicates stays, and keeps a passage that others repeat.
+    * extra columns pass through all stages but the last.
 """
 
 from __future__ import annotations
