@@ -56,6 +56,11 @@ def union(issues: Sequence[tuple[DataFrame, Column] | DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def shown(figure: Column | str, digits: int) -> Column:
+    """A figure in plain decimals, whatever its size; one that floating point puts just below a tie rounds as the tie."""
+    return F.round(F.round(figure, digits + 6), digits).cast(f"decimal(38,{digits})").cast("string")
+
+
 def _graded(critical: Column) -> Column:
     return F.when(critical, "critical").otherwise("warning")
 
@@ -68,9 +73,9 @@ def timing_issues(summary: DataFrame, o: DiagnosticOptions) -> DataFrame:
     hz, e, cv, drop, dup = F.col("mean_hz"), F.col("expected"), F.col("jitter_cv_pct"), F.col("drop_pct"), F.col("duplicates")
     return union([
         issue(s, "TOPIC_SINGLE_MESSAGE", (n == 1) & ~F.col("static"), "notice", "rate", "Only one message", n, "Check that the topic is published once by design."),
-        issue(s, "TOPIC_RATE_LOW", hz + F.greatest(F.lit(0.01), e * 0.005) < e, _graded(hz < e * 0.5), F.col("category"), "Rate below its baseline", F.round(hz, 2), "Check timers, load and queues."),
-        issue(s, "TOPIC_JITTER", (n >= 10) & steady & (cv > o.jitter_warning), _graded(cv > o.jitter_critical), F.col("category"), "Unsteady period", F.round(cv, 1), "Check blocking callbacks and priorities.", "high"),
-        issue(s, "TOPIC_GAPS", steady & (drop > o.drop_warning), _graded(drop > o.drop_critical), "loss", "Messages seem to be missing", F.round(drop, 2), "Compare with the publisher's counters."),
+        issue(s, "TOPIC_RATE_LOW", hz + F.greatest(F.lit(0.01), e * 0.005) < e, _graded(hz < e * 0.5), F.col("category"), "Rate below its baseline", shown(hz, 2), "Check timers, load and queues."),
+        issue(s, "TOPIC_JITTER", (n >= 10) & steady & (cv > o.jitter_warning), _graded(cv > o.jitter_critical), F.col("category"), "Unsteady period", shown(cv, 1), "Check blocking callbacks and priorities.", "high"),
+        issue(s, "TOPIC_GAPS", steady & (drop > o.drop_warning), _graded(drop > o.drop_critical), "loss", "Messages seem to be missing", shown(drop, 2), "Compare with the publisher's counters."),
         issue(s, "STORAGE_TIME_BACKWARDS", F.col("reversals") > 0, "critical", "stamps", "Storage time runs backwards", F.col("reversals"), "Check clock jumps.", "high"),
         issue(s, "STORAGE_TIME_DUPLICATE", (n > 1) & (dup / (n - 1) > 0.01), "warning", "stamps", "Many equal storage times", dup, "Check the resolution of stamps."),
     ])
@@ -81,7 +86,7 @@ def header_issues(lag: DataFrame, o: DiagnosticOptions) -> DataFrame:
     return union([
         issue(lag, "HEADER_STAMP_MISSING", F.col("missing_or_zero") > 0.05 * F.col("decoded"), "warning", "stamps", "Header stamps are missing", F.col("missing_or_zero")),
         issue(lag, "HEADER_STAMP_BACKWARDS", F.col("backward_stamps") > 0, "critical", "stamps", "Header time runs backwards", F.col("backward_stamps")),
-        issue(lag, "HEADER_STORAGE_LAG", (F.col("clock_relation") == "aligned") & (p95 > o.lag_warning_ms), _graded(p95 > max(10_000.0, 100 * o.lag_warning_ms)), "stamps", "Storage lags behind the header", F.round(p95, 1)),
+        issue(lag, "HEADER_STORAGE_LAG", (F.col("clock_relation") == "aligned") & (p95 > o.lag_warning_ms), _graded(p95 > max(10_000.0, 100 * o.lag_warning_ms)), "stamps", "Storage lags behind the header", shown(p95, 1)),
     ])
 
 
@@ -139,11 +144,11 @@ def transform_issues(edges: DataFrame, parents: DataFrame, parts: DataFrame, cyc
         issue(parents, "TF_MULTIPLE_PARENTS", F.lit(True), "critical", "transforms", "A frame has several parents", F.array_join("parents", ", "), subject="child"),
         issue(e, "TF_STATIC_CHANGED", F.col("static_changes") > 0, "warning", "transforms", "A static transform changes", F.col("static_changes"), subject="edge"),
         issue(e, "TF_TIME_BACKWARDS", F.col("reversals") > 0, "critical", "transforms", "Transform time runs backwards", F.col("reversals"), subject="edge"),
-        issue(e, "TF_TRANSLATION_JUMP", moves & (F.col("max_step_m") > limit(o.jump_m, "median_step_m")), "warning", "transforms", "Translation jumps", F.round("max_step_m", 3), subject="edge"),
-        issue(e, "TF_ROTATION_JUMP", moves & (F.col("max_step_deg") > limit(o.jump_deg, "median_step_deg")), "warning", "transforms", "Rotation jumps", F.round("max_step_deg", 3), subject="edge"),
-        issue(e, "TF_SPEED_SPIKE", moves & (F.col("max_speed_mps") > o.speed_mps), "warning", "transforms", "Implausible speed", F.round("max_speed_mps", 2), subject="edge"),
-        issue(e, "TF_GAP", moves & F.lit(complete) & (F.col("max_gap_ms") > o.gap_factor * F.col("median_period_ms")), "warning", "transforms", "A transform pauses", F.round("max_gap_ms", 1), subject="edge"),
-        issue(e, "TF_QUATERNION_NORM", F.col("p95_norm_error") > 0.05, "warning", "transforms", "Quaternions are not of unit length", F.round("p95_norm_error", 4), subject="edge"),
+        issue(e, "TF_TRANSLATION_JUMP", moves & (F.col("max_step_m") > limit(o.jump_m, "median_step_m")), "warning", "transforms", "Translation jumps", shown("max_step_m", 3), subject="edge"),
+        issue(e, "TF_ROTATION_JUMP", moves & (F.col("max_step_deg") > limit(o.jump_deg, "median_step_deg")), "warning", "transforms", "Rotation jumps", shown("max_step_deg", 3), subject="edge"),
+        issue(e, "TF_SPEED_SPIKE", moves & (F.col("max_speed_mps") > o.speed_mps), "warning", "transforms", "Implausible speed", shown("max_speed_mps", 2), subject="edge"),
+        issue(e, "TF_GAP", moves & F.lit(complete) & (F.col("max_gap_ms") > o.gap_factor * F.col("median_period_ms")), "warning", "transforms", "A transform pauses", shown("max_gap_ms", 1), subject="edge"),
+        issue(e, "TF_QUATERNION_NORM", F.col("p95_norm_error") > 0.05, "warning", "transforms", "Quaternions are not of unit length", shown("p95_norm_error", 4), subject="edge"),
         issue(several, "TF_DISCONNECTED_GRAPH", F.lit(True), "warning", "transforms", "The graph falls apart", F.col("n"), subject=None),
         issue(cycles, "TF_GRAPH_CYCLE", F.lit(True), "critical", "transforms", "The graph has a cycle", F.array_join("frames", ", "), subject="cycle"),
     ])
@@ -159,13 +164,13 @@ def sensor_issues(counters: DataFrame, metrics: DataFrame) -> DataFrame:
         issue(counters, "SENSOR_EMPTY_OR_MALFORMED", F.col("empty") + F.col("malformed") > 0, "warning", "sensors", "Empty or malformed samples", F.col("empty") + F.col("malformed")),
         issue(counters, "SENSOR_SATURATION", F.col("saturated") > 0, "warning", "sensors", "Saturated samples", F.col("saturated")),
         issue(counters, "SENSOR_FROZEN", F.col("max_repeat_run") >= 10, F.when(slow, "notice").otherwise("warning"), "sensors", "Values stand still", F.col("max_repeat_run")),
-        issue(metrics, "IMU_QUATERNION_NORM", m("orientation_norm_error") & (F.col("p95") > 0.05), "warning", "sensors", "Orientation is not of unit length", F.round("p95", 4)),
-        issue(metrics, "IMU_HIGH_SHORT_TERM_VARIATION", (m("acceleration_step") & (F.col("mad") > 1.0)) | (m("angular_velocity_step") & (F.col("mad") > 0.2)), "notice", "sensors", "Noisy inertial data", F.round("mad", 4)),
-        issue(metrics, "LIDAR_INVALID_RANGES", m("invalid_pct") & (F.col("p95") > 30), "warning", "sensors", "Many invalid ranges", F.round("p95", 1)),
-        issue(metrics, "ODOMETRY_POSITION_JUMP", m("position_step") & (F.col("max") > 2), "warning", "sensors", "The position jumps", F.round("max", 2)),
-        issue(metrics, "GNSS_NO_FIX", m("no_fix") & (F.col("max") > 0), "warning", "sensors", "No position fix at times", F.round("mean", 4)),
-        issue(metrics, "BATTERY_LOW", m("percentage") & (F.col("min") >= 0) & (F.col("min") < 0.1), "warning", "sensors", "Battery is low", F.round("min", 3)),
-        issue(metrics, "BATTERY_TEMPERATURE_HIGH", m("temperature") & (F.col("max") > 60), _graded(F.col("max") > 80), "sensors", "Battery is hot", F.round("max", 1)),
+        issue(metrics, "IMU_QUATERNION_NORM", m("orientation_norm_error") & (F.col("p95") > 0.05), "warning", "sensors", "Orientation is not of unit length", shown("p95", 4)),
+        issue(metrics, "IMU_HIGH_SHORT_TERM_VARIATION", (m("acceleration_step") & (F.col("mad") > 1.0)) | (m("angular_velocity_step") & (F.col("mad") > 0.2)), "notice", "sensors", "Noisy inertial data", shown("mad", 4)),
+        issue(metrics, "LIDAR_INVALID_RANGES", m("invalid_pct") & (F.col("p95") > 30), "warning", "sensors", "Many invalid ranges", shown("p95", 1)),
+        issue(metrics, "ODOMETRY_POSITION_JUMP", m("position_step") & (F.col("max") > 2), "warning", "sensors", "The position jumps", shown("max", 2)),
+        issue(metrics, "GNSS_NO_FIX", m("no_fix") & (F.col("max") > 0), "warning", "sensors", "No position fix at times", shown("mean", 4)),
+        issue(metrics, "BATTERY_LOW", m("percentage") & (F.col("min") >= 0) & (F.col("min") < 0.1), "warning", "sensors", "Battery is low", shown("min", 3)),
+        issue(metrics, "BATTERY_TEMPERATURE_HIGH", m("temperature") & (F.col("max") > 60), _graded(F.col("max") > 80), "sensors", "Battery is hot", shown("max", 1)),
     ])
 
 

@@ -53,7 +53,7 @@ def time_reversals(spark, sf_dir):
 
 def companion_missing(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("cloud_id", F.col("user_id").cast("string"))
-    out = R.companion_missing(e.select("cloud_id").distinct(), e.where("value > 60").select("cloud_id", F.col("event_type").alias("name")).distinct(), ["view", "click", "pose"])
+    out = R.companion_missing(e.select("cloud_id").distinct(), e.select("cloud_id", F.col("event_type").alias("name")).distinct(), ["view", "click", "pose"])
     return out.select("cloud_id", F.array_join("missing", ",").alias("missing"))
 
 
@@ -90,7 +90,7 @@ def polygon_area(spark, sf_dir):
 
 def transform_measurements(spark, sf_dir):
     turn = [[0.0, -1.0, 0.0, 1.0], [1.0, 0.0, 0.0, 2.0], [0.0, 0.0, 1.0, 3.0], [0.0, 0.0, 0.0, 1.0]]
-    return rounded(M.transform_measurements(_measurements(spark, sf_dir), turn).where("error is null").select("id", "length", "angle_deg", "horizontal_area", "radius"), 5)
+    return rounded(M.transform_measurements(_measurements(spark, sf_dir), turn).select("id", "error", "length", "angle_deg", "horizontal_area", "radius"), 5)
 
 
 def filter_measurements(spark, sf_dir):
@@ -110,8 +110,8 @@ def measurement_json(spark, sf_dir):
 
 
 def reassign_ids(spark, sf_dir):
-    m = _measurements(spark, sf_dir).select("id", "kind", "name")
-    return M.reassign_ids(m.where("id % 3 = 0"), m.where("id % 2 = 0")).select("id")
+    taken = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return M.reassign_ids(_measurements(spark, sf_dir).select("id", "kind", "name"), taken).select("id")
 
 
 QUERIES = {f.__name__: f for f in (asof_nearest_image, proportional_image, point_offsets, relative_time, sliding_frames, frame_totals, time_reversals, companion_missing, update_rate_ewma, measure_rows, path_length, polygon_area, transform_measurements, filter_measurements, linear_total, measurement_groups, measurement_json, reassign_ids)}
@@ -126,7 +126,47 @@ _DEFAULT = "CASE WHEN o_custkey % 3 > 0 THEN 'G' || (o_custkey % 3) ELSE 'defaul
 _P = [f"o_orderkey % {7 + i} AS x{i}, o_custkey % {11 + i} AS y{i}, floor(o_totalprice)::BIGINT % {5 + i} AS z{i}" for i in range(4)]
 _LEG = "sqrt((x0-x1)**2 + (y0-y1)**2 + (z0-z1)**2) + CASE WHEN id % 16 > 13 THEN sqrt((x1-x2)**2 + (y1-y2)**2 + (z1-z2)**2) ELSE 0 END"
 _PATHS = f"v AS (SELECT o_orderkey AS id, {', '.join(_P)} FROM orders), s AS (SELECT id, sqrt((x0-x1)**2 + (y0-y1)**2 + (z0-z1)**2) AS length, sqrt((x0-x1)**2 + (y0-y1)**2) AS horizontal_length FROM v WHERE id % 8 IN (1, 2) AND id % 16 <= 13)"
+_AXES = "xyz"
+_KINDS = "['point','segment','polyline','height','angle','area','point_plane','circle']"
+
+
+def _diff(a: int, b: int, name: str) -> str:
+    return ", ".join(f"{c}{a} - {c}{b} AS {name}{c}" for c in _AXES)
+
+
+def _cross(a: str, b: str, name: str) -> str:
+    return ", ".join(f"{a}{p} * {b}{q} - {a}{q} * {b}{p} AS {name}{c}" for c, p, q in zip(_AXES, "yzx", "zxy", strict=True))
+
+
+def _norm(name: str) -> str:
+    return "sqrt(" + " + ".join(f"{name}{c}::DOUBLE ** 2" for c in _AXES) + ")"
+
+
+#: DuckDB's ``w``: every order as a measurement with its figures; the differences of vertices are named after both.
+_MEASURED = f"""v AS (SELECT o_orderkey AS id, {', '.join(_P)} FROM orders),
+d AS (SELECT *, id % 8 AS k, {_diff(1, 0, 'f')}, {_diff(0, 1, 'a')}, {_diff(2, 1, 'h')}, {_diff(3, 1, 'c')}, {_diff(2, 0, 'g')} FROM v),
+n AS (SELECT *, sqrt((fx ** 2 + fy ** 2)::DOUBLE) AS flat, {_cross('h', 'c', 'p')}, {_cross('f', 'g', 'q')}, ax * hx + ay * hy + az * hz AS dotted FROM d),
+e AS (SELECT *, CASE WHEN k = 7 AND id % 16 > 13 THEN 'wrong number of vertices' WHEN k = 4 AND {_norm('a')} * {_norm('h')} = 0 THEN 'coincident vertices'
+    WHEN k = 6 AND {_norm('p')} = 0 THEN 'the plane''s vertices lie on a line' WHEN k = 7 AND {_norm('q')} = 0 THEN 'the vertices lie on a line' END AS error FROM n),
+w AS (SELECT id, {_KINDS}[k + 1] AS kind, error, CASE WHEN k IN (1, 2) THEN {_norm('f')} END AS length, CASE WHEN k IN (1, 2) THEN flat END AS horizontal_length,
+    CASE WHEN k IN (1, 2, 3) THEN fx::DOUBLE END AS dx, CASE WHEN k IN (1, 2, 3) THEN fy::DOUBLE END AS dy, CASE WHEN k IN (1, 2, 3) THEN fz::DOUBLE END AS dz,
+    CASE WHEN k IN (1, 2, 3) AND flat > 0 THEN CASE WHEN fx < 0 THEN 360 ELSE 0 END + degrees(atan2(fx, fy)) END AS azimuth_deg, CASE WHEN k IN (1, 2, 3) AND flat > 0 THEN fz / flat * 100 END AS slope_pct,
+    CASE WHEN error IS NULL THEN k IN (1, 2, 3) AND flat = 0 END AS vertical, CASE WHEN k IN (1, 2, 3) THEN degrees(atan2(fz, flat)) END AS inclination_deg,
+    CASE WHEN k = 4 AND error IS NULL THEN degrees(acos(greatest(-1, least(1, dotted / ({_norm('a')} * {_norm('h')}))))) END AS angle_deg,
+    CASE WHEN k = 5 THEN abs(fx * gy - fy * gx) / 2 END AS horizontal_area, CASE WHEN k = 5 THEN {_norm('f')} + {_norm('h')} + {_norm('g')} END AS perimeter,
+    CASE WHEN k = 6 AND error IS NULL THEN (ax * px + ay * py + az * pz) * CASE WHEN pz < 0 THEN -1 ELSE 1 END / {_norm('p')} END AS plane_distance,
+    CASE WHEN k = 7 AND error IS NULL THEN {_norm('f')} * {_norm('g')} * {_norm('h')} / (2 * {_norm('q')}) END AS radius, {_norm('q')} / 2 AS in_space FROM e)"""
+_FIGURES = "length horizontal_length dx dy dz azimuth_deg slope_pct inclination_deg angle_deg horizontal_area perimeter plane_distance radius".split()
 ORACLES = {
+    "measure_rows": f"WITH {_MEASURED} SELECT id, kind, error, vertical, {', '.join(f'round({c}, 5) AS {c}' for c in _FIGURES)}, round(radius * 2 * pi(), 5) AS circumference FROM w",
+    "transform_measurements": f"WITH {_MEASURED} SELECT id, error, round(length, 5) AS length, round(angle_deg, 5) AS angle_deg, round(horizontal_area, 5) AS horizontal_area, round(radius, 5) AS radius FROM w",
+    "measurement_json": f"WITH {_MEASURED} SELECT id::INT AS id, kind, error, round(length, 5) AS length FROM w",
+    "polygon_area": f"WITH {_MEASURED} SELECT id, CASE WHEN in_space > 0 THEN round(in_space, 5) END AS plane_area, CASE WHEN in_space > 0 THEN 0.0::DOUBLE END AS rms, CASE WHEN in_space = 0 THEN 'the vertices lie on a line' END AS error FROM w WHERE kind = 'area'",
+    "reassign_ids": """WITH t AS (SELECT greatest((SELECT max(o_orderkey) FROM orders), (SELECT max(c_custkey) FROM customer)) AS t)
+SELECT o_orderkey AS id FROM orders ANTI JOIN customer ON c_custkey = o_orderkey UNION ALL SELECT t + row_number() OVER (ORDER BY o_orderkey) FROM orders SEMI JOIN customer ON c_custkey = o_orderkey, t""",
+    "update_rate_ewma": f"""WITH RECURSIVE {_F}, w AS (SELECT cloud_id, 0::BIGINT AS i, ts_s AS t, 0::DOUBLE AS r FROM f WHERE frame_idx = 0
+UNION ALL SELECT w.cloud_id, w.i + 1, f.ts_s, CASE WHEN f.ts_s <= w.t THEN w.r WHEN w.r = 0 THEN 1 / (f.ts_s - w.t) ELSE 0.65 * w.r + 0.35 / (f.ts_s - w.t) END FROM w JOIN f ON f.cloud_id = w.cloud_id AND f.frame_idx = w.i + 1)
+SELECT cloud_id, round(arg_max(r, i), 6) AS rate_hz FROM w GROUP BY 1""",
     "asof_nearest_image": f"""WITH {_F}, {_I}, d AS (SELECT f.cloud_id, f.frame_idx, i.frame_idx AS image_idx, abs(f.ts_s - i.ts_s) AS dt, row_number() OVER (PARTITION BY f.cloud_id, f.frame_idx ORDER BY abs(f.ts_s - i.ts_s), i.frame_idx) AS r FROM f JOIN i USING (cloud_id))
 SELECT cloud_id, frame_idx, image_idx, round(dt * 1000, 3) AS delta_ms FROM d WHERE r = 1""",
     "proportional_image": f"""WITH {_F}, {_I}, n AS (SELECT cloud_id, count(*) AS n FROM f GROUP BY 1), m AS (SELECT cloud_id, count(*) AS m FROM i GROUP BY 1), x AS (SELECT f.*, round(frame_idx * (m - 1) / (n - 1))::BIGINT AS idx FROM f JOIN n USING (cloud_id) JOIN m USING (cloud_id))
@@ -137,7 +177,7 @@ SELECT x.cloud_id, x.frame_idx, x.idx, i.frame_id AS image_id FROM x JOIN i ON i
     "frame_totals": f"""WITH {_F}, {_I}, {_f("p", "signup")} SELECT cloud_id, count(*) AS frames, round(max(ts_s) - min(ts_s), 3) AS duration_s, sum(point_count)::BIGINT AS points, sum(source_point_count - point_count)::BIGINT AS skipped,
 (SELECT count(*) FROM p WHERE p.cloud_id = f.cloud_id) AS poses, (SELECT count(*) FROM i WHERE i.cloud_id = f.cloud_id) AS images, 0 AS time_reversals FROM f GROUP BY 1""",
     "time_reversals": f"WITH {_F}, t AS (SELECT cloud_id, ts_s - source_point_count * 1000 < lag(ts_s - source_point_count * 1000) OVER (PARTITION BY cloud_id ORDER BY frame_idx) AS b FROM f) SELECT cloud_id, count(*) FILTER (b) AS time_reversals FROM t GROUP BY 1",
-    "companion_missing": """WITH s AS (SELECT DISTINCT user_id FROM events), h AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 60)
+    "companion_missing": """WITH s AS (SELECT DISTINCT user_id FROM events), h AS (SELECT DISTINCT user_id, event_type FROM events)
 SELECT s.user_id::VARCHAR AS cloud_id, string_agg(n, ',' ORDER BY n) AS missing FROM s, (VALUES ('view'), ('click'), ('pose')) r(n) WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.user_id = s.user_id AND h.event_type = n) GROUP BY 1""",
     "path_length": f"WITH {_PATHS} SELECT id, round(length, 5) AS length, round(horizontal_length, 5) AS horizontal_length FROM s UNION ALL SELECT id, round({_LEG}, 5), round(sqrt((x0-x1)**2 + (y0-y1)**2) + sqrt((x1-x2)**2 + (y1-y2)**2), 5) FROM v WHERE id % 8 = 2 AND id % 16 > 13 UNION ALL SELECT id, NULL, NULL FROM v WHERE id % 8 = 1 AND id % 16 > 13",
     "linear_total": f"WITH {_PATHS} SELECT round(sum(length), 3) AS total_length FROM s",

@@ -9,6 +9,7 @@ from ..operators import sensors as S
 from ..operators import sequences as Q
 from ..operators import timing as O
 from ..operators import transforms as G
+from . import issues as I
 from .tables import MESSAGES, messages, rounded, table
 
 OPTIONS = R.DiagnosticOptions()
@@ -43,14 +44,14 @@ def _role(spark, sf_dir, role):
 
 def _features(role):
     def query(spark, sf_dir):
-        return rounded(S.scalar_summary(S.long_metrics(S.ROLES[role](_role(spark, sf_dir, role)))), 8)
+        return rounded(S.scalar_summary(S.long_metrics(S.ROLES[role](_role(spark, sf_dir, role)))), 9)
 
     query.__name__ = f"{role}_features"
     return query
 
 
 def scalar_summary(spark, sf_dir):
-    return rounded(S.scalar_summary(messages(spark, sf_dir).select("bag_id", "topic", F.lit("value").alias("metric"), "value")), 8)
+    return rounded(S.scalar_summary(messages(spark, sf_dir).select("bag_id", "topic", F.lit("value").alias("metric"), "value")), 9)
 
 
 def sensor_counters(spark, sf_dir):
@@ -215,12 +216,12 @@ def report_summary(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (*map(_features, S.ROLES), scalar_summary, sensor_counters, hardware_faults, mad, prev_vector_delta, tf_edge_summary, tf_steps, tf_inventory, multiple_parents, tf_components, component_order, tf_cycles, timing_issues, header_issues, clock_domain_issues, qos_issues, bag_issues, coverage_issues, transform_issues, sensor_issues, hardware_issues, dedupe_issues, issue_order, issue_topic_status, top_recommendations, report_summary)}
 
 
-def _metrics_sql(values: str, from_: str = "m") -> str:
-    """Summary SQL of ``metric, value`` rows made by ``values``."""
-    return f"""WITH {MESSAGES}, v AS ({values}), f AS (SELECT bag_id, topic, metric, count(*) FILTER (isfinite(value)) AS samples, count(*) FILTER (NOT isfinite(value)) AS invalid, min(value) FILTER (isfinite(value)) AS lo, max(value) FILTER (isfinite(value)) AS hi,
+def _metrics_sql(values: str, before: str = f"{MESSAGES}, ") -> str:
+    """Summary SQL of ``metric, value`` rows made by ``values``; ``before`` holds the tables they need."""
+    return f"""WITH {before}v AS ({values}), f AS (SELECT bag_id, topic, metric, count(*) FILTER (isfinite(value)) AS samples, count(*) FILTER (NOT isfinite(value)) AS invalid, min(value) FILTER (isfinite(value)) AS lo, max(value) FILTER (isfinite(value)) AS hi,
 avg(value) FILTER (isfinite(value)) AS mean, median(value) FILTER (isfinite(value)) AS med, quantile_cont(value, 0.95) FILTER (isfinite(value)) AS p95 FROM v WHERE value IS NOT NULL GROUP BY ALL),
 d AS (SELECT bag_id, topic, metric, median(abs(value - med)) FILTER (isfinite(value)) AS mad FROM v JOIN f USING (bag_id, topic, metric) WHERE value IS NOT NULL GROUP BY ALL)
-SELECT bag_id, topic, metric, samples, invalid, round(lo, 8) AS min, round(hi, 8) AS max, round(mean, 8) AS mean, round(med, 8) AS median, round(p95, 8) AS p95, round(mad, 8) AS mad FROM f JOIN d USING (bag_id, topic, metric)"""
+SELECT bag_id, topic, metric, samples, invalid, round(lo, 9) AS min, round(hi, 9) AS max, round(mean, 9) AS mean, round(med, 9) AS median, round(p95, 9) AS p95, round(mad, 9) AS mad FROM f JOIN d USING (bag_id, topic, metric)"""
 
 
 #: The graph of nations and suppliers, and what is reached from each frame along edges in either direction.
@@ -230,15 +231,41 @@ _REACH = """u AS (SELECT bag_id, parent AS a, child AS b FROM g UNION SELECT bag
 w AS (SELECT bag_id, a, a AS b FROM u UNION SELECT w.bag_id, w.a, u.b FROM w JOIN u ON w.bag_id = u.bag_id AND w.b = u.a)"""
 _DIAG = "d AS (SELECT bag_id, topic AS name, (floor(value)::BIGINT % 4)::INT AS level, 'm' || (seq % 3) AS message FROM m)"
 _TF = "t AS (SELECT bag_id, seq, seq % 10 = 0 AS is_static, ltrim(topic, '/') AS child, CASE WHEN header_ns <> 0 THEN header_ns ELSE storage_ns END AS ts, value / 10 AS tx, value / 20 AS ty, seq % 70 <> 0 AS good FROM m)"
-ORACLES = {
+#: Metrics by role that a rule judges, for summaries of all of them at once.
+_IMU = """SELECT bag_id, topic, unnest(['acceleration','angular_velocity','orientation_norm','orientation_norm_error','acceleration_step','angular_velocity_step']) AS metric,
+unnest([sqrt(value**2 + (value / 2)**2 + 9.8**2), sqrt((value / 100)**2 + 0.1**2), 1 + value / 1000, value / 1000, sqrt((value - a)**2 + (value / 2 - a / 2)**2), abs(value / 100 - a / 100)]) AS value
+FROM (SELECT *, lag(value) OVER (PARTITION BY bag_id, topic ORDER BY seq) AS a FROM m WHERE seq % 40 <> 0)"""
+_BATTERY = "SELECT bag_id, topic, unnest(['voltage','current','percentage','temperature']) AS metric, unnest([CASE WHEN seq % 33 = 0 THEN 0 ELSE value + 1 END, -value, value / 400, value]) AS value FROM m"
+_GNSS = "SELECT bag_id, topic, unnest(['no_fix','max_covariance']) AS metric, unnest([(seq % 12 = 0)::INT::DOUBLE, value * 3]) AS value FROM m"
+_SCAN = "SELECT bag_id, topic, unnest(['points','invalid_pct']) AS metric, unnest([4.0, 25.0 * (1 + (value > 100)::INT + (value * 2 > 100)::INT + (seq % 40 <> 0 AND value > 100)::INT + (seq % 40 = 0)::INT)]::DOUBLE[]) AS value FROM m WHERE seq % 30 <> 0"
+_ODOMETRY = "SELECT bag_id, topic, 'position_step' AS metric, sqrt((value - a)**2 + ((value - a) / 10)**2) AS value FROM (SELECT *, lag(value) OVER (PARTITION BY bag_id, topic ORDER BY seq) AS a FROM m WHERE seq % 40 <> 0)"
+_SENSORS = I.union([
+    I.issue("counts", "SENSOR_INVALID", "invalid > 0", I.graded("invalid > 0.2 * samples"), "sensors", "Invalid samples", "invalid"),
+    I.issue("counts", "SENSOR_EMPTY_OR_MALFORMED", "empty + malformed > 0", "'warning'", "sensors", "Empty or malformed samples", "empty + malformed"),
+    I.issue("counts", "SENSOR_SATURATION", "saturated > 0", "'warning'", "sensors", "Saturated samples", "saturated"),
+    I.issue("counts", "SENSOR_FROZEN", "max_repeat_run >= 10", "CASE WHEN role IN ('odometry', 'joint_state') THEN 'notice' ELSE 'warning' END", "sensors", "Values stand still", "max_repeat_run"),
+    I.issue("figures", "IMU_QUATERNION_NORM", "metric = 'orientation_norm_error' AND p95 > 0.05", "'warning'", "sensors", "Orientation is not of unit length", I.shown("p95", 4)),
+    I.issue("figures", "IMU_HIGH_SHORT_TERM_VARIATION", "(metric = 'acceleration_step' AND mad > 1) OR (metric = 'angular_velocity_step' AND mad > 0.2)", "'notice'", "sensors", "Noisy inertial data", I.shown("mad", 4)),
+    I.issue("figures", "LIDAR_INVALID_RANGES", "metric = 'invalid_pct' AND p95 > 30", "'warning'", "sensors", "Many invalid ranges", I.shown("p95", 1)),
+    I.issue("figures", "ODOMETRY_POSITION_JUMP", "metric = 'position_step' AND max > 2", "'warning'", "sensors", "The position jumps", I.shown("max", 2)),
+    I.issue("figures", "GNSS_NO_FIX", "metric = 'no_fix' AND max > 0", "'warning'", "sensors", "No position fix at times", I.shown("mean", 4)),
+    I.issue("figures", "BATTERY_LOW", "metric = 'percentage' AND min >= 0 AND min < 0.1", "'warning'", "sensors", "Battery is low", I.shown("min", 3)),
+    I.issue("figures", "BATTERY_TEMPERATURE_HIGH", "metric = 'temperature' AND max > 60", I.graded("max > 80"), "sensors", "Battery is hot", I.shown("max", 1)),
+])
+_RINGS = """reached AS (SELECT bag_id, parent AS a, child AS b FROM g UNION SELECT r.bag_id, r.a, g.child FROM reached r JOIN g ON r.bag_id = g.bag_id AND r.b = g.parent),
+rings AS (SELECT DISTINCT bag_id, min(b) AS cycle, string_agg(b, ', ' ORDER BY b) AS frames FROM (SELECT x.bag_id, x.a, x.b FROM reached x JOIN reached y ON x.bag_id = y.bag_id AND x.a = y.b AND x.b = y.a) GROUP BY bag_id, a)"""
+ORACLES = I.ORACLES | {
+    "transform_issues": f"WITH RECURSIVE {MESSAGES}, {I.EDGES}, {_GRAPH}, {_REACH}, parts AS (SELECT bag_id, a, min(b) AS component FROM w GROUP BY ALL), {_RINGS} {I.TRANSFORMS}",
+    "imu_features": _metrics_sql(_IMU),
+    "sensor_issues": f"WITH {MESSAGES}, {I.COUNTERS}, figures AS ({_metrics_sql(' UNION ALL '.join((_IMU, _BATTERY, _GNSS, _SCAN, _ODOMETRY)), '').strip()}), every AS ({_SENSORS}) {I.least('every')}",
     "scalar_summary": _metrics_sql("SELECT bag_id, topic, 'value' AS metric, value FROM m"),
     "mad": f"WITH {MESSAGES} SELECT bag_id, topic, round(mad(value), 6) AS mad FROM m GROUP BY ALL",
-    "battery_features": _metrics_sql("SELECT bag_id, topic, unnest(['voltage','current','percentage','temperature']) AS metric, unnest([CASE WHEN seq % 33 = 0 THEN 0 ELSE value + 1 END, -value, value / 400, value]) AS value FROM m"),
-    "gnss_features": _metrics_sql("SELECT bag_id, topic, unnest(['no_fix','max_covariance']) AS metric, unnest([(seq % 12 = 0)::INT::DOUBLE, value * 3]) AS value FROM m"),
+    "battery_features": _metrics_sql(_BATTERY),
+    "gnss_features": _metrics_sql(_GNSS),
     "image_features": _metrics_sql("SELECT bag_id, topic, unnest(['pixels','payload_bytes']) AS metric, unnest([8.0, CASE WHEN seq % 10 = 0 THEN 19 ELSE 24 END]::DOUBLE[]) AS value FROM m"),
     "pointcloud_features": _metrics_sql("SELECT bag_id, topic, 'points' AS metric, floor(value) AS value FROM m"),
-    "scan_features": _metrics_sql("SELECT bag_id, topic, unnest(['points','invalid_pct']) AS metric, unnest([4.0, 25.0 * (1 + (seq % 40 = 0 OR value > 100)::INT * 0 + (value > 100)::INT + (value * 2 > 100)::INT + (seq % 40 <> 0 AND value > 100)::INT + (seq % 40 = 0)::INT)]::DOUBLE[]) AS value FROM m WHERE seq % 30 <> 0"),
-    "odometry_features": _metrics_sql("SELECT bag_id, topic, 'position_step' AS metric, sqrt((value - a)**2 + ((value - a) / 10)**2) AS value FROM (SELECT *, lag(value) OVER (PARTITION BY bag_id, topic ORDER BY seq) AS a FROM m WHERE seq % 40 <> 0)"),
+    "scan_features": _metrics_sql(_SCAN),
+    "odometry_features": _metrics_sql(_ODOMETRY),
     "joint_state_features": _metrics_sql("SELECT bag_id, topic, 'joints' AS metric, 2.0::DOUBLE AS value FROM m"),
     "prev_vector_delta": f"WITH {MESSAGES} SELECT bag_id, topic, seq, round(sqrt((value - a)**2 + ((value - a) / 10)**2), 6) AS step FROM (SELECT *, lag(value) OVER (PARTITION BY bag_id, topic ORDER BY seq) AS a FROM m WHERE seq % 40 <> 0) WHERE a IS NOT NULL",
     "hardware_faults": f"WITH {MESSAGES}, {_DIAG} SELECT bag_id, name, level, message, count(*) AS n FROM d WHERE level >= 1 GROUP BY ALL",

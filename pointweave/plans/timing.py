@@ -29,6 +29,21 @@ _FLOATS = "duration_s mean_hz median_hz mean_period_ms median_period_ms p95_peri
 _SHOWN = "bag_id, topic, message_count, first_ns, last_ns, gap_count, estimated_drops, duplicates, reversals, " + ", ".join(f"round({c}, 4) AS {c}" for c in _FLOATS)
 
 
+_LAGS = "lag_mean_ms lag_median_ms lag_p95_abs_ms lag_max_abs_ms lag_p95_residual_ms".split()
+
+
+def lag_sql(src: str = "m") -> str:
+    """DuckDB's ``lags``: header stamps of each topic against storage times."""
+    return f"""lags AS (WITH h AS (SELECT *, CASE WHEN header_ns <> 0 THEN header_ns END AS h FROM {src}),
+b AS (SELECT bag_id, topic, count(*) FILTER (h < p) AS backward_stamps FROM (SELECT bag_id, topic, h, lag(h) OVER (PARTITION BY bag_id, topic ORDER BY seq) AS p FROM h WHERE h IS NOT NULL) GROUP BY ALL),
+l AS (SELECT *, (storage_ns - h) / 1e6 AS lag FROM h),
+f AS (SELECT bag_id, topic, count(*) AS decoded, count(h) AS valid, count(*) FILTER (h IS NULL) AS missing_or_zero, avg(lag) AS a, median(lag) AS m, quantile_cont(abs(lag), 0.95) AS p, max(abs(lag)) AS x FROM l GROUP BY ALL),
+r AS (SELECT bag_id, topic, quantile_cont(abs(lag - m), 0.95) AS r FROM l JOIN f USING (bag_id, topic) GROUP BY ALL)
+SELECT bag_id, topic, decoded, valid, missing_or_zero, a AS lag_mean_ms, m AS lag_median_ms, p AS lag_p95_abs_ms, x AS lag_max_abs_ms,
+coalesce(backward_stamps, 0) AS backward_stamps, r AS lag_p95_residual_ms, CASE WHEN valid = 0 THEN 'unknown' WHEN abs(m) >= 86400000 THEN 'separate_epoch' ELSE 'aligned' END AS clock_relation
+FROM f LEFT JOIN b USING (bag_id, topic) LEFT JOIN r USING (bag_id, topic))"""
+
+
 def summary_sql(time: str = "storage_ns", src: str = "m") -> str:
     return _SUMMARY.replace("{time}", time).replace("{src}", src)
 
@@ -80,7 +95,8 @@ def topic_message_join(spark, sf_dir):
 
 def topic_left_count(spark, sf_dir):
     m = messages(spark, sf_dir)
-    return O.count_by_topic(_topics(m).select("bag_id", "topic"), m.where(F.col("value") > 40))
+    topics = _topics(m).select("bag_id", "topic")
+    return O.count_by_topic(topics.unionByName(topics.select("bag_id", F.lit("/unused").alias("topic")).distinct()), m)
 
 
 def merge_topic_metadata(spark, sf_dir):
@@ -129,21 +145,18 @@ ORACLES = {
     "intervals": f"""WITH {MESSAGES}, d AS (SELECT bag_id, topic, seq, storage_ns - lag(storage_ns) OVER (PARTITION BY bag_id, topic ORDER BY seq) AS dt FROM m)
 SELECT bag_id, topic, seq, dt, CASE WHEN dt = 0 THEN 'duplicate' WHEN dt < 0 THEN 'reversal' WHEN dt > 0 THEN 'positive' END AS interval_class FROM d WHERE dt IS NOT NULL""",
     "gap_drop_estimate": f"WITH {MESSAGES}, {summary_sql().replace('3 * m', '2 * m')} SELECT bag_id, topic, gap_count, estimated_drops, round(drop_pct, 4) AS drop_pct FROM s",
-    "header_lag": f"""WITH {MESSAGES}, h AS (SELECT *, CASE WHEN header_ns <> 0 THEN header_ns END AS h FROM m),
-b AS (SELECT bag_id, topic, count(*) FILTER (h < p) AS backward_stamps FROM (SELECT bag_id, topic, h, lag(h) OVER (PARTITION BY bag_id, topic ORDER BY seq) AS p FROM h WHERE h IS NOT NULL) GROUP BY ALL),
-l AS (SELECT *, (storage_ns - h) / 1e6 AS lag FROM h),
-f AS (SELECT bag_id, topic, count(*) AS decoded, count(h) AS valid, count(*) FILTER (h IS NULL) AS missing_or_zero, avg(lag) AS a, median(lag) AS m, quantile_cont(abs(lag), 0.95) AS p, max(abs(lag)) AS x FROM l GROUP BY ALL),
-r AS (SELECT bag_id, topic, quantile_cont(abs(lag - m), 0.95) AS r FROM l JOIN f USING (bag_id, topic) GROUP BY ALL)
-SELECT bag_id, topic, decoded, valid, missing_or_zero, round(a, 4) AS lag_mean_ms, round(m, 4) AS lag_median_ms, round(p, 4) AS lag_p95_abs_ms, round(x, 4) AS lag_max_abs_ms,
-coalesce(backward_stamps, 0) AS backward_stamps, round(r, 4) AS lag_p95_residual_ms, CASE WHEN valid = 0 THEN 'unknown' WHEN abs(m) >= 86400000 THEN 'separate_epoch' ELSE 'aligned' END AS clock_relation
-FROM f LEFT JOIN b USING (bag_id, topic) LEFT JOIN r USING (bag_id, topic)""",
+    "header_lag": f"WITH {MESSAGES}, {lag_sql()} SELECT bag_id, topic, decoded, valid, missing_or_zero, {', '.join(f'round({c}, 4) AS {c}' for c in _LAGS)}, backward_stamps, clock_relation FROM lags",
     "header_storage_choose": f"""WITH {MESSAGES}, a AS (WITH {summary_sql()} SELECT * FROM s), v AS (SELECT * FROM m WHERE header_ns <> 0),
 b AS (WITH {summary_sql("header_ns", "v")} SELECT * FROM s), j AS (SELECT bag_id, topic, coalesce(b.message_count >= 10 AND b.message_count >= 0.8 * a.message_count, false) AS ok, a, b FROM a LEFT JOIN b USING (bag_id, topic))
 SELECT bag_id, topic, CASE WHEN ok THEN 'header' ELSE 'storage' END AS time_basis, CASE WHEN ok THEN b.message_count ELSE a.message_count END AS message_count,
 round(CASE WHEN ok THEN b.mean_hz ELSE a.mean_hz END, 4) AS mean_hz, round(CASE WHEN ok THEN b.median_period_ms ELSE a.median_period_ms END, 4) AS median_period_ms FROM j""",
+    "sample_rescale": f"""WITH {MESSAGES}, k AS (SELECT *, row_number() OVER (PARTITION BY bag_id, topic ORDER BY seq) - 1 AS r, count(*) OVER (PARTITION BY bag_id, topic) AS total FROM m),
+a AS (SELECT * FROM k WHERE r % ceil(total / 40)::BIGINT = 0), n AS (SELECT bag_id, topic, max(total) AS total FROM k GROUP BY ALL), {summary_sql(src="a")},
+j AS (SELECT *, total / message_count AS scale, round_even(estimated_drops * (total / message_count), 0)::BIGINT AS lost FROM s JOIN n USING (bag_id, topic))
+SELECT bag_id, topic, total, round(CASE WHEN duration_s > 0 THEN (total - 1) / duration_s END, 4) AS mean_hz, round(median_period_ms / scale, 4) AS median_period_ms, lost AS estimated_drops, round(lost / (total + lost) * 100, 4) AS drop_pct FROM j""",
     "bag_inventory": f"WITH {MESSAGES} SELECT bag_id, topic, count(*) AS message_count, min(storage_ns) AS first_ns, max(storage_ns) AS last_ns FROM m GROUP BY GROUPING SETS ((bag_id, topic), (bag_id))",
-    "topic_message_join": f"WITH {MESSAGES}, {_TOPICS} SELECT bag_id, topic, seq, t.msgtype FROM m JOIN t USING (bag_id, topic) WHERE seq % 2 = 0",
-    "topic_left_count": f"WITH {MESSAGES}, {_TOPICS} SELECT t.bag_id, t.topic, count(m.seq) AS message_count FROM t LEFT JOIN m ON m.bag_id = t.bag_id AND m.topic = t.topic AND m.value > 40 GROUP BY ALL",
+    "topic_message_join": f"WITH {MESSAGES}, {_TOPICS} SELECT bag_id, topic, seq, t.msgtype FROM m JOIN t USING (bag_id, topic)",
+    "topic_left_count": f"WITH {MESSAGES}, {_TOPICS} SELECT bag_id, topic, count(*) AS message_count FROM m GROUP BY ALL UNION ALL SELECT DISTINCT bag_id, '/unused', 0 FROM m",
     "merge_topic_metadata": f"""WITH {MESSAGES}, {_TOPICS}, d AS (SELECT * REPLACE (CASE WHEN topic = '/click' THEN 0 ELSE declared_count END AS declared_count) FROM t WHERE topic <> '/view'),
 o AS (SELECT bag_id, topic, max(msgtype) AS msgtype, count(*) AS n FROM m WHERE topic <> '/error' GROUP BY ALL)
 SELECT bag_id, topic, coalesce(nullif(d.msgtype, ''), o.msgtype) AS msgtype, coalesce(CASE WHEN coalesce(declared_count, 0) = 0 THEN n ELSE declared_count END, 0) AS message_count, coalesce(n, 0) AS observed_count FROM d FULL JOIN o USING (bag_id, topic)""",

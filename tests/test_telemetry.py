@@ -72,3 +72,10 @@ def test_signature_reads_the_whole_payload(spark):
     df = spark.createDataFrame([(bytearray(p),) for p in payloads], "p binary")
     assert df.select(payload_signature(df.p)).distinct().count() == 2
     assert df.select(payload_signature(df.p, 2048)).distinct().count() == 1
+
+
+def test_evidence_is_in_plain_decimals(spark):
+    from pointweave.operators.rules import shown
+
+    got = spark.createDataFrame([(94806342.04,), (0.00005,), (None,), (float("nan"),)], "v double").select(shown("v", 1).alias("a"), shown("v", 4).alias("b")).collect()
+    assert [tuple(r) for r in got] == [("94806342.0", "94806342.0400"), ("0.0", "0.0001"), (None, None), (None, None)]
