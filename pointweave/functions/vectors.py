@@ -36,6 +36,10 @@ def minus(a: Column, b: Column) -> Column:
     return vec(a["x"] - b["x"], a["y"] - b["y"], a["z"] - b["z"])
 
 
+def scaled(a: Column, k: Column) -> Column:
+    return vec(a["x"] * k, a["y"] * k, a["z"] * k)
+
+
 def dot(a: Column, b: Column) -> Column:
     return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
 

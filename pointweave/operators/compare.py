@@ -91,7 +91,9 @@ def rigid_from_sums(n: float, p: np.ndarray, q: np.ndarray, pq: np.ndarray) -> n
 
 
 def icp_align(reference: DataFrame, moving: DataFrame, options: CompareOptions) -> np.ndarray | None:
-    """The matrix that aligns ``moving`` with ``reference`` (``id, x, y, z``); None if it doesn't converge.
+    """The matrix that aligns ``moving`` with ``reference`` (``id, x, y, z``); None once fewer than three points lie near enough.
+
+    Rounds end at a step or a change of error that is too small to matter, or at ``iterations``, whose matrix is then the result.
 
     Every round is one neighbour join and one aggregation of 16 sums; only those reach the driver.
     """
@@ -123,11 +125,20 @@ def icp_align(reference: DataFrame, moving: DataFrame, options: CompareOptions)
 
 
 def compare_clouds(reference: DataFrame, moving: DataFrame, options: CompareOptions) -> tuple[DataFrame, DataFrame, np.ndarray] | None:
-    """Distances from ``moving`` to ``reference`` after alignment, with colours and flags; their figures; the matrix."""
+    """Distances from ``moving`` to ``reference`` after alignment, with colours and flags; their figures; the matrix.
+
+    None if a cloud has fewer than three finite points, if alignment fails, or if fewer aligned points than three or a
+    hundredth of the smaller cloud lie within ``max_distance``.
+    """
+    least = min(clean_points(reference).count(), clean_points(moving).count())
+    if least < 3:
+        return None
     matrix = icp_align(reference, moving, options) if options.align else np.eye(4)
     if matrix is None:
         return None
     aligned = transform_points(moving, matrix.tolist())
     found = aligned.join(nearest(aligned, reference).select(F.col("qid").alias("id"), "tid", "distance"), "id")
+    if options.align and found.where(F.col("distance") <= options.max_distance).count() < max(3, least // 100):
+        return None
     coloured = heat_colour(found, options.threshold).withColumn("over", over_threshold(F.col("distance"), options.threshold))
     return coloured, distance_stats(found, options.threshold), matrix

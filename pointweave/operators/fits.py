@@ -113,6 +113,15 @@ def region_stats(points: DataFrame, keys: Sequence[str] = ("cloud_id",)) -> Data
     return out.withColumns({"per_area": F.when(area > 1e-12, F.col("n") / area), "per_volume": F.when(volume > 1e-12, F.col("n") / volume)})
 
 
+def region_report(points: DataFrame, keys: Sequence[str] = ("cloud_id",)) -> DataFrame:
+    """The figures of ``region_stats`` with each region's oriented box (``box_``) and plane (``plane_``, null on a line)."""
+    keys = list(keys)
+    out = region_stats(points, keys)
+    for name, part in (("box", oriented_box_region(points, keys)), ("plane", plane_fit(points, keys).drop("n"))):
+        out = out.join(part.withColumnsRenamed({c: f"{name}_{c}" for c in part.columns if c not in keys}), keys, "left")
+    return out
+
+
 def elevation_profile(points: DataFrame, path: Sequence[tuple[float, float]], width: float, bin_size: float, keys: Sequence[str] = ("cloud_id",)) -> DataFrame:
     """Heights along a path: each point on its nearest segment, if within half the width, by station bins; empty bins are rows."""
     legs, at = [], 0.0

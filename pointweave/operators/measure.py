@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
-from ..functions.vectors import affine, cross, dot, magnitude, minus, vec
+from ..functions.vectors import affine, cross, dot, magnitude, minus, scaled, vec
 
 #: Kind and its least and greatest number of vertices (fixed values).
 KINDS = {"point": (1, 1), "segment": (2, 2), "polyline": (2, None), "height": (2, 2), "angle": (3, 3), "area": (3, None), "point_plane": (4, 4), "circle": (3, 3)}
@@ -53,8 +53,7 @@ def vertex_angle() -> Column:
 
 
 def _upwards(n: Column) -> Column:
-    k = F.when(n["z"] < 0, -1.0).otherwise(1.0) / magnitude(n)
-    return vec(n["x"] * k, n["y"] * k, n["z"] * k)
+    return scaled(n, F.when(n["z"] < 0, -1.0).otherwise(1.0) / magnitude(n))
 
 
 def point_plane_distance() -> Column:
@@ -66,30 +65,63 @@ def point_plane_distance() -> Column:
 def circle_radius() -> Column:
     a, b = minus(_v(1), _v(0)), minus(_v(2), _v(0))
     n = magnitude(cross(a, b))
-    return F.when(n > _TINY, magnitude(a) * magnitude(b) * magnitude(minus(a, b)) / (2 * n))
+    return F.when(2 * n * n > _TINY, magnitude(a) * magnitude(b) * magnitude(minus(a, b)) / (2 * n))
+
+
+def _spanned(rows: DataFrame) -> DataFrame:
+    """Adds the normal and the centre of circles and of planes under points, in steps of plain numbers that stay small.
+
+    Sides a and b lead from the first vertex of the circle or plane to the next two, and n lies across them.
+    """
+    plane, circle = _kind("point_plane"), _kind("circle")
+    first = {c: F.when(plane, _v(1)[c]).when(circle, _v(0)[c]) for c in "xyz"}
+    to = {"a": (2, 1), "b": (3, 2)}
+    rows = rows.withColumns({f"__{s}{c}": F.when(plane, _v(p)[c]).when(circle, _v(q)[c]) - first[c] for s, (p, q) in to.items() for c in "xyz"})
+
+    def across(s: str, t: str) -> dict[str, Column]:
+        return {c: F.col(f"__{s}{u}") * F.col(f"__{t}{v}") - F.col(f"__{s}{v}") * F.col(f"__{t}{u}") for c, u, v in zip("xyz", "yzx", "zxy", strict=True)}
+
+    def square(s: str) -> Column:
+        return sum((F.col(f"__{s}{c}") ** 2 for c in "yz"), F.col(f"__{s}x") ** 2)
+
+    rows = rows.withColumns({f"__n{c}": v for c, v in across("a", "b").items()}).withColumns({"__nn": square("n"), "__aa": square("a"), "__bb": square("b")})
+    up = F.when(F.col("__nz") < 0, -1.0).otherwise(1.0) / F.sqrt("__nn")
+    rows = rows.withColumns({f"normal_{c}": F.when(F.col("__nn") > 0, F.col(f"__n{c}") * up) for c in "xyz"})
+    height = sum((F.col(f"normal_{c}") * (_v(0)[c] - _v(1)[c]) for c in "yz"), F.col("normal_x") * (_v(0)["x"] - _v(1)["x"]))
+    rows = rows.withColumn("plane_distance", F.when(plane & (F.sqrt("__nn") > _TINY), height))
+    bn, na = across("b", "n"), across("n", "a")
+    off = {c: F.when(2 * F.col("__nn") > _TINY, (F.col("__aa") * bn[c] + F.col("__bb") * na[c]) / (2 * F.col("__nn"))) for c in "xyz"}
+    rows = rows.withColumns({f"__o{c}": F.when(circle, off[c]).otherwise(-F.col("plane_distance") * F.col(f"normal_{c}")) for c in "xyz"})
+    rows = rows.withColumns({"radius": F.when(circle, F.sqrt(square("o"))), **{f"centre_{c}": _v(0)[c] + F.col(f"__o{c}") for c in "xyz"}})
+    return rows.drop(*[f"__{s}{c}" for s in "abno" for c in "xyz"], "__nn", "__aa", "__bb")
 
 
 def measure_rows(rows: DataFrame) -> DataFrame:
-    """Adds every figure that a row's kind has, and ``error`` where it can't be measured (figures are then null)."""
+    """Adds every figure that a row's kind has, and ``error`` where it can't be measured (figures are then null).
+
+    ``centre`` is that of a circle, or the foot of a point on its plane, to which ``dx, dy, dz`` then lead; normals point upwards.
+    """
     n = F.coalesce(F.size("vertices"), F.lit(0))
+    plane, circle = _kind("point_plane"), _kind("circle")
     fault = F.when(~_kind(*KINDS), "unknown kind")
     for name, (low, high) in KINDS.items():
         fault = fault.when(_kind(name) & ((n < low) | (F.lit(False) if high is None else n > high)), "wrong number of vertices")
     fault = fault.when(F.exists("vertices", lambda p: ~finite(p["x"], p["y"], p["z"])), "a vertex is not finite")
-    fault = fault.when(_kind("angle") & vertex_angle().isNull(), "coincident vertices").when(_kind("point_plane") & point_plane_distance().isNull(), "the plane's vertices lie on a line")
-    fault = fault.when(_kind("circle") & circle_radius().isNull(), "the vertices lie on a line")
+    fault = fault.when(_kind("angle") & vertex_angle().isNull(), "coincident vertices").when(plane & F.col("plane_distance").isNull(), "the plane's vertices lie on a line")
+    fault = fault.when(circle & F.col("radius").isNull(), "the vertices lie on a line")
     d = minus(_last(), _v(0))
     flat = F.sqrt(d["x"] * d["x"] + d["y"] * d["y"])
     two = _kind("segment", "polyline", "height")
-    out = rows.withColumn("error", fault)
+    out = _spanned(rows).withColumn("error", fault)
     ok = F.col("error").isNull()
     figures = {
         "length": F.when(_kind("segment", "polyline"), path_length(F.col("vertices"))), "horizontal_length": F.when(_kind("segment", "polyline"), path_length(F.col("vertices"), flat=True)),
-        "dx": F.when(two, d["x"]), "dy": F.when(two, d["y"]), "dz": F.when(two, d["z"]),
+        **{f"d{c}": F.when(two, d[c]).when(plane, F.col(f"centre_{c}") - _v(0)[c]) for c in "xyz"},
         "azimuth_deg": F.when(two & (flat > _TINY), F.pmod(F.degrees(F.atan2(d["x"], d["y"])), F.lit(360.0))), "slope_pct": F.when(two & (flat > _TINY), d["z"] / flat * 100), "vertical": two & (flat <= _TINY),
         "inclination_deg": F.when(two, F.degrees(F.atan2(d["z"], flat))), "angle_deg": F.when(_kind("angle"), vertex_angle()),
         "horizontal_area": F.when(_kind("area"), shoelace(F.col("vertices"))), "perimeter": F.when(_kind("area"), path_length(F.col("vertices"), closed=True)),
-        "plane_distance": F.when(_kind("point_plane"), point_plane_distance()), "radius": F.when(_kind("circle"), circle_radius()), "circumference": F.when(_kind("circle"), circle_radius() * 2 * np.pi),
+        "diameter": F.col("radius") * 2, "circumference": F.col("radius") * 2 * np.pi,
+        **{c: F.col(c) for c in ("plane_distance", "radius", *[f"{k}_{x}" for k in ("centre", "normal") for x in "xyz"])},
     }
     return out.withColumns({k: F.when(ok, v) for k, v in figures.items()})
 
@@ -165,6 +197,12 @@ def to_json(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.to_json(F.struct(*rows.columns)).alias("json"))
 
 
+def import_counts(rows: DataFrame) -> DataFrame:
+    """``imported, skipped``: rows that can be measured, and those of an unknown kind or unusable vertices."""
+    bad = measure_rows(rows).select(F.col("error").isNotNull().alias("bad"))
+    return bad.agg(F.count_if(~F.col("bad")).alias("imported"), F.count_if("bad").alias("skipped"))
+
+
 def reassign_ids(imported: DataFrame, existing: DataFrame) -> DataFrame:
     """Imported rows; ids that are taken, or taken twice, go on after the greatest one, in order."""
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("t")).unionByName(imported.agg(F.coalesce(F.max("id"), F.lit(0)).alias("t"))).agg(F.max("t")).first()[0]

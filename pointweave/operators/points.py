@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -226,7 +227,6 @@ class Placement:
     shift: tuple[float, float, float] = (0.0, 0.0, 0.0)
     turn: float = 0.0
     scale: float = 1.0
-    pivot: tuple[float, float, float] = field(default=(0.0, 0.0, 0.0))
 
     def __post_init__(self) -> None:
         if not all(map(math.isfinite, (*self.shift, self.turn, self.scale))) or not 1e-9 < self.scale <= 1e6:
@@ -238,6 +238,19 @@ class Placement:
         return [[k * c, -k * s, 0.0, self.shift[0]], [k * s, k * c, 0.0, self.shift[1]], [0.0, 0.0, k, self.shift[2]], [0.0, 0.0, 0.0, 1.0]]
 
 
+def compose(*matrices: Sequence[Sequence[float]]) -> list[list[float]]:
+    """The matrix that applies the given ones in turn, the first one first."""
+    return reduce(lambda done, m: np.asarray(m, float) @ done, matrices, np.eye(4)).tolist()
+
+
+def invert(matrix: Sequence[Sequence[float]]) -> list[list[float]]:
+    """The matrix that undoes another; a singular or non-finite one is refused."""
+    m = np.asarray(matrix, float)
+    if m.shape != (4, 4) or not np.isfinite(m).all() or abs(np.linalg.det(m)) < 1e-30:
+        raise ValueError("only a finite 4 x 4 matrix with a determinant can be inverted")
+    return np.linalg.inv(m).tolist()
+
+
 def normal_degrees(angle: float) -> float:
     """An angle within (-180, 180]."""
     a = math.fmod(angle, 360.0)

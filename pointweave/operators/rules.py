@@ -204,13 +204,22 @@ def recommendations(issues: DataFrame, most: int = 12) -> DataFrame:
     return first.withColumn("position", F.row_number().over(Window.partitionBy("bag_id").orderBy("o", "suggestion"))).where(F.col("position") <= most).select("bag_id", "position", "suggestion")
 
 
-def summary(bags: DataFrame, issues: DataFrame) -> DataFrame:
-    """Counts by severity, a score of 0 to 100 and a status for each bag."""
+def summary(bags: DataFrame, issues: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+    """Counts by severity, a score of 0 to 100 and a status for each bag; notices alone leave it healthy.
+
+    With ``topics`` (``bag_id, topic, messages, decoded``: messages that there are, and messages that could be read) also
+    messages, topics and the share of topics that could be read, in hundredths; 0 without topics.
+    """
     counts = issues.groupBy("bag_id").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
     out = bags.select("bag_id").distinct().join(counts, "bag_id", "left").fillna(0, list(SEVERITIES))
     score = F.greatest(F.lit(0), F.least(F.lit(100), 100 - 18 * F.col("critical") - 7 * F.col("warning") - F.col("notice")))
-    status = F.when(F.col("critical") > 0, "critical").when(F.col("warning") > 0, "warning").when(F.col("notice") > 0, "notice").otherwise("normal")
-    return out.withColumns({"score": score, "status": status})
+    status = F.when(F.col("critical") > 0, "critical").when(F.col("warning") > 0, "warning").otherwise("healthy")
+    out = out.withColumns({"score": score, "status": status})
+    if topics is None:
+        return out
+    read = topics.groupBy("bag_id").agg(F.sum("messages").alias("observed_messages"), F.sum("decoded").alias("decoded_messages"), F.count_if(F.col("decoded") > 0).alias("decoded_topics"), F.count("*").alias("total_topics"))
+    out = out.join(read, "bag_id", "left").fillna(0, [c for c in read.columns if c != "bag_id"])
+    return out.withColumn("coverage_pct", F.when(F.col("total_topics") > 0, 100.0 * F.col("decoded_topics") / F.col("total_topics")).otherwise(0.0))
 
 
 def write_report(path: str, summary: DataFrame, issues: DataFrame, topics: DataFrame) -> None:

@@ -138,5 +138,7 @@ SELECT bag_id, topic, CASE r WHEN 1 THEN 'critical' WHEN 2 THEN 'warning' WHEN 3
 p AS (SELECT bag_id, row_number() OVER (PARTITION BY bag_id ORDER BY r, category, title, issue_id, suggestion)::INT AS position, suggestion FROM o) SELECT * FROM p WHERE position <= 12""",
     "report_summary": f"""WITH {MESSAGES}, {ISSUES}, k AS (SELECT bag_id, {', '.join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ('critical', 'warning', 'notice'))} FROM ({least('i')}) GROUP BY 1),
 a AS (SELECT bag_id, coalesce(critical, 0) AS critical, coalesce(warning, 0) AS warning, coalesce(notice, 0) AS notice FROM bags LEFT JOIN k USING (bag_id))
-SELECT *, greatest(0, least(100, 100 - 18 * critical - 7 * warning - notice)) AS score, CASE WHEN critical > 0 THEN 'critical' WHEN warning > 0 THEN 'warning' WHEN notice > 0 THEN 'notice' ELSE 'normal' END AS status FROM a""",
+SELECT a.*, greatest(0, least(100, 100 - 18 * critical - 7 * warning - notice)) AS score, CASE WHEN critical > 0 THEN 'critical' WHEN warning > 0 THEN 'warning' ELSE 'healthy' END AS status,
+    coalesce(o, 0) AS observed_messages, coalesce(d, 0) AS decoded_messages, coalesce(dt, 0) AS decoded_topics, coalesce(t, 0) AS total_topics, coalesce(round(100.0 * dt / t, 6), 0)::DOUBLE AS coverage_pct
+FROM a LEFT JOIN (SELECT bag_id, count(*) AS o, count(*) FILTER (topic IN ('/view', '/click')) AS d, count(DISTINCT topic) FILTER (topic IN ('/view', '/click')) AS dt, count(DISTINCT topic) AS t FROM m GROUP BY 1) USING (bag_id)""",
 }

@@ -114,7 +114,11 @@ def reassign_ids(spark, sf_dir):
     return M.reassign_ids(_measurements(spark, sf_dir).select("id", "kind", "name"), taken).select("id")
 
 
-QUERIES = {f.__name__: f for f in (asof_nearest_image, proportional_image, point_offsets, relative_time, sliding_frames, frame_totals, time_reversals, companion_missing, update_rate_ewma, measure_rows, path_length, polygon_area, transform_measurements, filter_measurements, linear_total, measurement_groups, measurement_json, reassign_ids)}
+def import_counts(spark, sf_dir):
+    return M.import_counts(_measurements(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (import_counts, asof_nearest_image, proportional_image, point_offsets, relative_time, sliding_frames, frame_totals, time_reversals, companion_missing, update_rate_ewma, measure_rows, path_length, polygon_area, transform_measurements, filter_measurements, linear_total, measurement_groups, measurement_json, reassign_ids)}
 
 
 def _f(name: str, kind: str) -> str:
@@ -149,16 +153,19 @@ n AS (SELECT *, sqrt((fx ** 2 + fy ** 2)::DOUBLE) AS flat, {_cross('h', 'c', 'p'
 e AS (SELECT *, CASE WHEN k = 7 AND id % 16 > 13 THEN 'wrong number of vertices' WHEN k = 4 AND {_norm('a')} * {_norm('h')} = 0 THEN 'coincident vertices'
     WHEN k = 6 AND {_norm('p')} = 0 THEN 'the plane''s vertices lie on a line' WHEN k = 7 AND {_norm('q')} = 0 THEN 'the vertices lie on a line' END AS error FROM n),
 w AS (SELECT id, {_KINDS}[k + 1] AS kind, error, CASE WHEN k IN (1, 2) THEN {_norm('f')} END AS length, CASE WHEN k IN (1, 2) THEN flat END AS horizontal_length,
-    CASE WHEN k IN (1, 2, 3) THEN fx::DOUBLE END AS dx, CASE WHEN k IN (1, 2, 3) THEN fy::DOUBLE END AS dy, CASE WHEN k IN (1, 2, 3) THEN fz::DOUBLE END AS dz,
+    {', '.join(f"CASE WHEN k IN (1, 2, 3) THEN f{c}::DOUBLE WHEN k = 6 AND error IS NULL THEN -(ax * px + ay * py + az * pz) * p{c} / {_norm('p')} ** 2 END AS d{c}" for c in _AXES)},
+    {', '.join(f"CASE WHEN k = 6 AND error IS NULL THEN {c}0 - (ax * px + ay * py + az * pz) * p{c} / {_norm('p')} ** 2 WHEN k = 7 AND error IS NULL THEN {c}0 + (({_norm('f')} ** 2) * (g{u} * q{t} - g{t} * q{u}) + ({_norm('g')} ** 2) * (q{u} * f{t} - q{t} * f{u})) / (2 * {_norm('q')} ** 2) END AS centre_{c}" for c, u, t in zip(_AXES, 'yzx', 'zxy', strict=True))},
+    {', '.join(f"CASE WHEN k = 6 AND error IS NULL THEN p{c} * CASE WHEN pz < 0 THEN -1 ELSE 1 END / {_norm('p')} WHEN k = 7 AND error IS NULL THEN q{c} * CASE WHEN qz < 0 THEN -1 ELSE 1 END / {_norm('q')} END AS normal_{c}" for c in _AXES)},
     CASE WHEN k IN (1, 2, 3) AND flat > 0 THEN CASE WHEN fx < 0 THEN 360 ELSE 0 END + degrees(atan2(fx, fy)) END AS azimuth_deg, CASE WHEN k IN (1, 2, 3) AND flat > 0 THEN fz / flat * 100 END AS slope_pct,
     CASE WHEN error IS NULL THEN k IN (1, 2, 3) AND flat = 0 END AS vertical, CASE WHEN k IN (1, 2, 3) THEN degrees(atan2(fz, flat)) END AS inclination_deg,
     CASE WHEN k = 4 AND error IS NULL THEN degrees(acos(greatest(-1, least(1, dotted / ({_norm('a')} * {_norm('h')}))))) END AS angle_deg,
     CASE WHEN k = 5 THEN abs(fx * gy - fy * gx) / 2 END AS horizontal_area, CASE WHEN k = 5 THEN {_norm('f')} + {_norm('h')} + {_norm('g')} END AS perimeter,
     CASE WHEN k = 6 AND error IS NULL THEN (ax * px + ay * py + az * pz) * CASE WHEN pz < 0 THEN -1 ELSE 1 END / {_norm('p')} END AS plane_distance,
     CASE WHEN k = 7 AND error IS NULL THEN {_norm('f')} * {_norm('g')} * {_norm('h')} / (2 * {_norm('q')}) END AS radius, {_norm('q')} / 2 AS in_space FROM e)"""
-_FIGURES = "length horizontal_length dx dy dz azimuth_deg slope_pct inclination_deg angle_deg horizontal_area perimeter plane_distance radius".split()
+_FIGURES = "length horizontal_length dx dy dz azimuth_deg slope_pct inclination_deg angle_deg horizontal_area perimeter plane_distance radius centre_x centre_y centre_z normal_x normal_y normal_z".split()
 ORACLES = {
-    "measure_rows": f"WITH {_MEASURED} SELECT id, kind, error, vertical, {', '.join(f'round({c}, 5) AS {c}' for c in _FIGURES)}, round(radius * 2 * pi(), 5) AS circumference FROM w",
+    "measure_rows": f"WITH {_MEASURED} SELECT id, kind, error, vertical, {', '.join(f'round({c}, 5) AS {c}' for c in _FIGURES)}, round(radius * 2, 5) AS diameter, round(radius * 2 * pi(), 5) AS circumference FROM w",
+    "import_counts": f"WITH {_MEASURED} SELECT count(*) FILTER (error IS NULL) AS imported, count(*) FILTER (error IS NOT NULL) AS skipped FROM w",
     "transform_measurements": f"WITH {_MEASURED} SELECT id, error, round(length, 5) AS length, round(angle_deg, 5) AS angle_deg, round(horizontal_area, 5) AS horizontal_area, round(radius, 5) AS radius FROM w",
     "measurement_json": f"WITH {_MEASURED} SELECT id::INT AS id, kind, error, round(length, 5) AS length FROM w",
     "polygon_area": f"WITH {_MEASURED} SELECT id, CASE WHEN in_space > 0 THEN round(in_space, 5) END AS plane_area, CASE WHEN in_space > 0 THEN 0.0::DOUBLE END AS rms, CASE WHEN in_space = 0 THEN 'the vertices lie on a line' END AS error FROM w WHERE kind = 'area'",

@@ -21,10 +21,10 @@ def _run(out: DataFrame, mode: str) -> DataFrame:
     """All rows that a stream writes, or its last complete result, through Parquet in the shared folder."""
     spark = out.sparkSession
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    write = "overwrite" if mode == "complete" else "append"
-    q = out.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode(write).parquet(f"{root}/out")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    # a batch that is run again replaces what it wrote
+    q = out.writeStream.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={0 if mode == 'complete' else n}")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return spark.read.parquet(f"{root}/out").drop("batch")
 
 
 def _messages(spark, sf_dir):
@@ -59,6 +59,12 @@ def stream_voxel_map(spark, sf_dir):
     return rounded(_run(L.voxel_map(p, 0.1), "complete"))
 
 
+def session_voxel_map(spark, sf_dir):
+    p = small_points(spark, sf_dir).withColumns({"seq": F.col("frame_id"), "frame_id": F.col("frame_id") % 4})
+    frames = p.select("cloud_id", "seq", "frame_id").distinct()
+    return rounded(L.session_map(p, frames, 0.1))
+
+
 def voxel_coarsen(spark, sf_dir):
     out, size = L.coarsen(L.voxel_map(small_points(spark, sf_dir), 0.02), 0.02, 100)
     return rounded(out.withColumn("size", F.lit(size)))
@@ -68,7 +74,7 @@ def frame_preview(spark, sf_dir):
     return L.frame_preview(small_points(spark, sf_dir), 20).select("frame_id", "ordinal")
 
 
-QUERIES = {f.__name__: f for f in (stream_topic_windows, stream_gap_sessions, stream_topic_health, stream_status, stream_voxel_map, voxel_coarsen, frame_preview)}
+QUERIES = {f.__name__: f for f in (stream_topic_windows, stream_gap_sessions, stream_topic_health, stream_status, stream_voxel_map, session_voxel_map, voxel_coarsen, frame_preview)}
 ORACLES = {
     "stream_topic_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS topic, count(*) AS n, round((count(*) - 1) / nullif((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 0), 6) AS hz FROM events GROUP BY 1, 2",
     "stream_gap_sessions": """WITH e AS (SELECT event_type AS topic, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 1800000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
@@ -80,6 +86,9 @@ l AS (SELECT *, t - lag(t) OVER w AS dt, t < max(t) OVER (PARTITION BY topic ORD
 r AS (SELECT *, sum(new) OVER (PARTITION BY topic ORDER BY seq) AS k FROM l), q AS (SELECT *, row_number() OVER (PARTITION BY topic, k ORDER BY seq) - 1 AS run FROM r)
 SELECT topic, count(*) AS n, count(*) FILTER (dt = 0) AS duplicates, count(*) FILTER (dt < 0) AS reversals, count(*) FILTER (late) AS late, max(dt) AS max_gap_ns, arg_max(run, seq) AS repeat_run, max(run) AS max_repeat_run FROM q GROUP BY 1""",
     "stream_voxel_map": f"""WITH {SMALL_POINTS}, v AS (SELECT *, floor(x / 0.1)::BIGINT AS vx, floor(y / 0.1)::BIGINT AS vy, floor(z / 0.1)::BIGINT AS vz FROM p)
+SELECT cloud_id, vx, vy, vz, round(arg_max(x, frame_id * 1000000000 + ordinal), 6) AS x, round(arg_max(y, frame_id * 1000000000 + ordinal), 6) AS y, round(arg_max(z, frame_id * 1000000000 + ordinal), 6) AS z FROM v GROUP BY 1, 2, 3, 4""",
+    "session_voxel_map": f"""WITH {SMALL_POINTS}, f AS (SELECT DISTINCT cloud_id, frame_id AS seq, frame_id % 4 AS id FROM p), g AS (SELECT *, CASE WHEN id < lag(id) OVER (PARTITION BY cloud_id ORDER BY seq) THEN seq END AS fell FROM f),
+s AS (SELECT cloud_id, max(fell) AS since FROM g GROUP BY 1), v AS (SELECT p.*, floor(x / 0.1)::BIGINT AS vx, floor(y / 0.1)::BIGINT AS vy, floor(z / 0.1)::BIGINT AS vz FROM p JOIN s ON s.cloud_id = p.cloud_id AND (since IS NULL OR frame_id >= since))
 SELECT cloud_id, vx, vy, vz, round(arg_max(x, frame_id * 1000000000 + ordinal), 6) AS x, round(arg_max(y, frame_id * 1000000000 + ordinal), 6) AS y, round(arg_max(z, frame_id * 1000000000 + ordinal), 6) AS z FROM v GROUP BY 1, 2, 3, 4""",
     "frame_preview": f"WITH {SMALL_POINTS}, r AS (SELECT frame_id, ordinal, row_number() OVER (PARTITION BY frame_id ORDER BY ordinal) - 1 AS r, ceil(count(*) OVER (PARTITION BY frame_id) / 20)::BIGINT AS k FROM p) SELECT frame_id, ordinal FROM r WHERE r % k = 0",
 }

@@ -210,7 +210,8 @@ def top_recommendations(spark, sf_dir):
 
 
 def report_summary(spark, sf_dir):
-    return R.summary(_bags(spark, sf_dir), R.dedupe(_issues(spark, sf_dir)))
+    topics = messages(spark, sf_dir).groupBy("bag_id", "topic").agg(F.count("*").alias("messages"), F.count_if(F.col("topic").isin("/view", "/click")).alias("decoded"))
+    return rounded(R.summary(_bags(spark, sf_dir), R.dedupe(_issues(spark, sf_dir)), topics), 6)
 
 
 QUERIES = {f.__name__: f for f in (*map(_features, S.ROLES), scalar_summary, sensor_counters, hardware_faults, mad, prev_vector_delta, tf_edge_summary, tf_steps, tf_inventory, multiple_parents, tf_components, component_order, tf_cycles, timing_issues, header_issues, clock_domain_issues, qos_issues, bag_issues, coverage_issues, transform_issues, sensor_issues, hardware_issues, dedupe_issues, issue_order, issue_topic_status, top_recommendations, report_summary)}

@@ -16,20 +16,40 @@ XYZ = ("x", "y", "z")
 
 
 def ingest(messages: DataFrame, decode: Callable[[DataFrame], DataFrame], good_path: str, bad_path: str, checkpoint: str):
-    """Starts a stream that decodes frames into Parquet and keeps the frames that gave no points in another place."""
+    """Starts a stream that decodes frames into Parquet and keeps the frames that gave no points in another place.
 
-    def each(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        points = decode(batch)
-        points.write.mode("append").parquet(good_path)
-        batch.join(points.select("cloud_id", "frame_id").distinct(), ["cloud_id", "frame_id"], "left_anti").drop("data").write.mode("append").parquet(bad_path)
-        batch.unpersist()
+    Each batch has a folder ``batch=<number>`` of its own in both places, so that one that is run again replaces what it wrote.
+    """
+
+    def each(batch: DataFrame, nth: int) -> None:
+        points = decode(batch).persist()
+        points.write.mode("overwrite").parquet(f"{good_path}/batch={nth}")
+        batch.join(points.select("cloud_id", "frame_id").distinct(), ["cloud_id", "frame_id"], "left_anti").drop("data").write.mode("overwrite").parquet(f"{bad_path}/batch={nth}")
+        points.unpersist()
 
     return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def frame_sessions(frames: DataFrame) -> DataFrame:
+    """Adds ``session``: how often a cloud's frame id has fallen so far in order of arrival (``cloud_id, seq, frame_id``)."""
+    w = Window.partitionBy("cloud_id").orderBy("seq")
+    fell = F.coalesce((F.col("frame_id") < F.lag("frame_id").over(w)).cast("int"), F.lit(0))
+    return frames.withColumn("__fell", fell).withColumn("session", F.sum("__fell").over(w)).drop("__fell")
+
+
+def session_map(points: DataFrame, frames: DataFrame, size: float = 0.02) -> DataFrame:
+    """The voxel map of each cloud's newest session; a frame id that falls starts an empty map.
+
+    ``points`` and ``frames`` share ``cloud_id, seq``, the place of a frame in order of arrival.
+    """
+    dealt = frame_sessions(frames.select("cloud_id", "seq", "frame_id"))
+    newest = dealt.groupBy("cloud_id").agg(F.max("session").alias("session"))
+    kept = dealt.join(newest, ["cloud_id", "session"], "left_semi").select("cloud_id", "seq")
+    return voxel_map(points.join(kept, ["cloud_id", "seq"], "left_semi"), size)
+
+
 def voxel_map(points: DataFrame, size: float = 0.02) -> DataFrame:
-    """The last point of each voxel and session; a stream of it runs in update or complete mode."""
+    """The last point of each voxel and cloud; a stream of it runs in update or complete mode."""
     good = points.where(finite(*[F.col(c) for c in XYZ]))
     voxel = [cell(F.col(c), size).alias(f"v{c}") for c in XYZ]
     last = F.max_by(F.struct(*XYZ, *[c for c in "rgb" if c in points.columns]), F.struct("frame_id", "ordinal"))

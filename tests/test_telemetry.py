@@ -45,7 +45,7 @@ def test_graph(spark):
 def test_score(spark):
     bags = spark.createDataFrame([("b",), ("c",)], "bag_id string")
     issues = spark.createDataFrame([("b", "i", "critical"), ("b", "j", "warning")], "bag_id string, issue_id string, severity string")
-    assert {r.bag_id: (r.score, r.status) for r in R.summary(bags, issues).collect()} == {"b": (75, "critical"), "c": (100, "normal")}
+    assert {r.bag_id: (r.score, r.status) for r in R.summary(bags, issues).collect()} == {"b": (75, "critical"), "c": (100, "healthy")}
 
 
 def test_topic_message_join_returns_every_message(spark):
