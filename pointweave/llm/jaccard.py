@@ -339,6 +339,12 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with their columns, less those that are not the smallest id of their component."""
+    """The documents with their columns, less those that are not the smallest id of their component.
+
+    Of rows that repeat both id and text (null ids too) one stays; rows of one id and several texts stay or go together.
+    """
     drop = similar_components(docs, k, percent).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    some, single = bitmap_split(kept, "doc_id", again)
+    return single.unionByName(some.dropDuplicates(["doc_id", "text"]))

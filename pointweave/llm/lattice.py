@@ -177,12 +177,17 @@ def near_duplicates(vectors: DataFrame, dim: int, least: float = 0.9, tables: in
 
     rows = cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(clean, "vec_id long, digest binary, raw binary"))
     classes = cut(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw")))
-    links = cut(near_links(classes.where(F.col("rep").isNotNull()).select("rep", "raw"), least, tables, probes, scale))
-    copies = classes.select(F.col("rep").alias("b"), "copies")
+    # a class without an id goes by a number beyond all ids, so that it never names a component of those that have one
+    beyond = max(classes.agg(F.max("rep")).first()[0] or 0, 0) + 1
+    if beyond > (1 << 63) - (1 << 53):
+        raise ValueError("the greatest ids leave no numbers for vectors without one")
+    classes = classes.withColumn("key", F.coalesce("rep", F.monotonically_increasing_id() + F.lit(beyond)))
+    links = cut(near_links(classes.select(F.col("key").alias("rep"), "raw"), least, tables, probes, scale))
+    copies = classes.select(F.col("key").alias("b"), "copies")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others"))
     known = components(links)
-    info = classes.select("digest", "rep", "copies").join(degree, F.col("rep") == F.col("a"), "left").join(known, F.col("rep") == F.col("id"), "left")
+    info = classes.select("digest", "key", "rep", "copies").join(degree, F.col("key") == F.col("a"), "left").join(known, F.col("key") == F.col("id"), "left")
     info = info.select("digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select("vec_id", "digest").join(info, "digest", "left")
     component = F.when(F.col("vec_id").isNull(), None).otherwise(F.coalesce("component_id", "vec_id"))

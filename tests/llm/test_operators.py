@@ -376,3 +376,20 @@ def test_rules_cascade_stops_early(spark):
     stop = [quality_rules.Rule("first", F.lit(True)), quality_rules.Rule("never", F.raise_error(F.lit("read on")).cast("boolean"))]
     assert docs.where(quality_rules.cascade(stop).isNull()).count() == 0
     assert quality_rules.sampled(docs, "text", 2000).count() == 3
+
+
+def test_vectors_without_ids_count_in_links_of_others(spark):
+    v, w, far = [1.0, 0.0] * 32, [1.0, 0.05] * 32, [0.0, 1.0] * 32
+    rows = [(7, v), (None, w), (None, w), (3, far)]
+    got = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 64).collect()
+    assert sorted(((r.vec_id or -1), r.n_links, r.component_id, r.kept) for r in got if r.vec_id) == [(3, 0, 3, True), (7, 2, 7, True)]
+    assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(2, None, False)] * 2
+    joined = lattice.near_duplicates(spark.createDataFrame([(7, v), (None, w), (9, [1.0, 0.1] * 32)], "vec_id long, embedding array<double>"), 64).collect()
+    assert {r.vec_id: r.component_id for r in joined} == {7: 7, 9: 7, None: None}
+
+
+def test_keep_one_of_repeated_rows(spark):
+    long_a, long_b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, long_a), (1, long_a), (2, long_a), (3, long_b), (3, long_b + " more"), (None, "x y z"), (None, "x y z"), (None, "other"), (4, None), (4, None)]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in got) == sorted([(1, long_a), (3, long_b), (3, long_b + " more"), (-1, "x y z"), (-1, "other"), (4, "")])
