@@ -6,8 +6,8 @@ last return the columns of ``documents``.
 
 Defined results
     * null or blank text: the rules for short texts reject it.  Empty input: no rows.
-    * null id: never removed as a copy and never cut; packed with a null id.
-    * rows that share an id are one document of the near-duplicate stage: they stay or go together.
+    * null id: removed only as a repeat of a row with a null id and the same text, and never cut; packed with a null id.
+    * rows that share an id and differ in text stay or go together; of rows that repeat both, one stays.
     * ties: the smallest id of a group of near duplicates stays, and keeps a passage that others repeat.
     * extra columns pass through all stages but the last.
 """
