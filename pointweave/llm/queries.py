@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, lattice, ordinal, packing, quality_rules, sharding, substring, url_filter
-from .common import table
+from . import bpe, chat, jaccard, lattice, ordinal, packing, quality_rules, repair, resampling, sharding, substring, token_files, url_filter
+from .common import ensure_checkpoint_dir, table
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 64 << 10
@@ -16,6 +17,8 @@ SHARD_BYTES = 64 << 10
 SEQUENCE_WORDS = 2048
 #: Components of an embedding.
 EMBEDDING_DIM = 64
+#: The id that op13 puts behind each document.
+END_ID = 2
 #: Verdict, host and path of the URL rules of op5.
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: The conversation of control strings that op3 formats besides the table's.
@@ -75,8 +78,26 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_report(repair.damaged(turns), turns)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return token_files.read_tokens(spark, path, ("doc_id", "start", "n_tokens", "ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_extendible_sharding, op2_quality_rules, op3_chat_formatting, op4_byte_bpe, op5_url_filter, op6_quality_classifier, op7_substring_dedup, op8_best_fit_packing, op9_embedding_near_dedup, op10_ngram_jaccard_join]
+    named = [op1_extendible_sharding, op2_quality_rules, op3_chat_formatting, op4_byte_bpe, op5_url_filter, op6_quality_classifier, op7_substring_dedup, op8_best_fit_packing, op9_embedding_near_dedup, op10_ngram_jaccard_join, op11_importance_resampling, op12_conversation_repair, op13_token_files]
     return {f.__name__: f for f in named}
 
 
