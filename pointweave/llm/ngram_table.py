@@ -121,8 +121,8 @@ def _by_length(start: np.ndarray, size: np.ndarray, longest: int, together: Call
     out = np.empty(len(start), kind)
     order = np.argsort(np.minimum(size, longest + 1).astype(np.uint16), kind="stable")
     sizes = size[order]
-    cuts = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1]]) if len(order) else []
-    for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+    cuts = [*np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1]]).tolist(), len(order)] if len(order) else [0]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         rows = order[lo:hi]
         if sizes[lo] <= longest:
             out[rows] = together(start[rows], int(sizes[lo]))
@@ -186,22 +186,56 @@ def crc_joined(left: np.ndarray, right: np.ndarray, right_size: np.ndarray) -> n
     return out
 
 
-class NgramTable:
-    """One slot for each different run of a batch: its key, place, length, bucket and count."""
+class RunTable:
+    """Open addressing with linear probing: one slot for each different run of bytes, with its key, place and length."""
+
+    def __init__(self, words: Words, runs: int):
+        self.words = words
+        self.capacity = 1 << max(4, (2 * runs).bit_length())
+        self.mask = np.uint64(self.capacity - 1)
+        self.key = np.zeros(self.capacity, np.uint64)
+        self.at = np.full(self.capacity, -1, np.int32)
+        self.size = np.zeros(self.capacity, np.int32)
+
+    def intern(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each run, and which runs were the first of their kind.  Runs of one call start at different places."""
+        keys = run_hashes(self.words, start, size)
+        out, made = np.empty(len(keys), np.int64), []
+        todo, slot = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        while len(todo):
+            empty = self.at[slot] < 0
+            claim, place = todo[empty], slot[empty]
+            self.at[place] = start[claim]  # of several that want a slot, one stays
+            won = self.at[place] == start[claim]
+            new, place = claim[won], place[won]
+            self.key[place], self.size[place] = keys[new], size[new]
+            made.append(new)
+            out[new] = place
+            if len(new) == len(todo):
+                break
+            left = np.ones(len(todo), bool)
+            left[np.flatnonzero(empty)[won]] = False
+            todo, slot = todo[left], slot[left]
+            same = (self.key[slot] == keys[todo]) & (self.size[slot] == size[todo])
+            hit = np.flatnonzero(same)
+            same[hit] = equal_runs(self.words, self.at[slot[hit]], start[todo[hit]], size[todo[hit]])
+            out[todo[same]] = slot[same]
+            todo, slot = todo[~same], (slot[~same] + 1) & int(self.mask)
+        return out, np.concatenate(made) if made else np.zeros(0, np.int64)
+
+
+class NgramTable(RunTable):
+    """The runs of 1 to ``longest`` words of a batch, each slot with its bucket and count."""
 
     def __init__(self, words: Words, buckets: int, longest: int = 3):
-        self.words, self.buckets, self.longest = words, buckets, longest
-        capacity = 1 << max(4, (2 * longest * len(words.start)).bit_length())
-        self.mask = np.uint64(capacity - 1)
-        self.key = np.zeros(capacity, np.uint64)
-        self.at = np.full(capacity, -1, np.int32)
-        self.size = np.zeros(capacity, np.int32)
-        self.bucket = np.zeros(capacity, np.int32)
-        self.count = np.zeros(capacity, np.int64)
+        super().__init__(words, longest * len(words.start))
+        self.buckets, self.longest = buckets, longest
+        self.bucket = np.zeros(self.capacity, np.int32)
+        self.count = np.zeros(self.capacity, np.int64)
         self._crc = np.zeros(len(words.start), np.uint32)  # by word
         self.occurrences = [self._add(n) for n in range(1, longest + 1)]
         for _, slots in self.occurrences:
-            self.count += np.bincount(slots, minlength=capacity)
+            self.count += np.bincount(slots, minlength=self.capacity)
 
     def _add(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The first words of all runs of n words, and the runs' slots."""
@@ -210,7 +244,7 @@ class NgramTable:
         first = np.flatnonzero(np.arange(len(w.start)) + n <= stop)
         start = w.start[first]
         size = w.end[first + n - 1] - start
-        slots, made = self._intern(run_hashes(w, start, size), start, size)
+        slots, made = self.intern(start, size)
         crc = self._crc_of(first[made], n, start[made], size[made])
         self.bucket[slots[made]] = crc.astype(np.int64) % self.buckets
         if n == 1:
@@ -232,31 +266,6 @@ class NgramTable:
             out[i] = zlib.crc32(w.bytes_of(start[i], size[i]))
         return out
 
-    def _intern(self, keys: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The slot of each run, and which runs were the first of their kind."""
-        out, made = np.empty(len(keys), np.int64), []
-        todo, slot = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
-        while len(todo):
-            empty = self.at[slot] < 0
-            claim, place = todo[empty], slot[empty]
-            self.at[place] = start[claim]  # of several that want a slot, one stays
-            won = self.at[place] == start[claim]
-            new, place = claim[won], place[won]
-            self.key[place], self.size[place] = keys[new], size[new]
-            made.append(new)
-            out[new] = place
-            if len(new) == len(todo):
-                break
-            left = np.ones(len(todo), bool)
-            left[np.flatnonzero(empty)[won]] = False
-            todo, slot = todo[left], slot[left]
-            same = (self.key[slot] == keys[todo]) & (self.size[slot] == size[todo])
-            hit = np.flatnonzero(same)
-            same[hit] = equal_runs(self.words, self.at[slot[hit]], start[todo[hit]], size[todo[hit]])
-            out[todo[same]] = slot[same]
-            todo, slot = todo[~same], (slot[~same] + 1) & int(self.mask)
-        return out, np.concatenate(made) if made else np.zeros(0, np.int64)
-
     def histogram(self) -> np.ndarray:
         """Occurrences by bucket."""
         used = np.flatnonzero(self.count)

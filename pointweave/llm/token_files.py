@@ -23,9 +23,9 @@ Defined results
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from .ngram_table import RunTable, Words
 from .tokens import slices
 
 SCHEMA = "doc_id long, start long, n_tokens long, tokens array<long>, ids_crc32 long"
@@ -49,22 +50,46 @@ MANIFEST = "_manifest.json"
 #: Ids in a data frame, from which on it is closed; bytes of a file, likewise.
 FRAME_IDS, FILE_BYTES = 1 << 16, 128 << 20
 #: Chunks of text whose ids a task remembers, and their longest one.
-REMEMBERED, REMEMBERED_CHARS = 600_000, 48
+REMEMBERED, REMEMBERED_BYTES = 600_000, 48
+#: Bytes of text that are encoded together, unless one text has more.
+SLICE = 4 << 20
 #: Magic numbers of the public formats: a skippable frame of ours, that of a seek table, and the seek table's footer.
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _FOOTER = struct.Struct("<IBI")
 _ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 _DOC = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("n", "<u4")])
-#: White space and what follows it; the tokenizer's words never go from the end of one such chunk to the next.
-_CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+# Bytes: white space, printable ones, letters, and other printable ones (with and without the apostrophe).
+_SPACE, _PRINTED, _LETTER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PRINTED[0x21:0x7F] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN = _PRINTED & ~_LETTER
+_SIGN_END = _SIGN.copy()
+_SIGN_END[ord("'")] = False
 
 
 def checksum(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) & 0xFFFFFFFF
 
 
+def chunk_starts(raw: np.ndarray) -> np.ndarray:
+    """Where texts can be cut so that the tokenizer splits their pieces as it splits the whole.
+
+    A word of the tokenizer never goes on from a printed character to white space, from a letter to another printed ASCII
+    character, or back (but for an apostrophe).  Beyond ASCII only two-byte characters are told apart: none from U+00C0 on
+    is white space, and those up to U+023F are letters, but for two signs.
+    """
+    n = len(raw)
+    before, lead, follow = (np.zeros(n, np.uint8) for _ in range(3))
+    before[1:], lead[2:], follow[:-1] = raw[:-1], raw[:-2], raw[1:]
+    two = (lead >= 0xC3) & (lead <= 0xDF) & (before & 0xC0 == 0x80)
+    latin_end = _LETTER[before] | (two & (lead <= 0xC8) & ~((lead == 0xC3) & ((before == 0x97) | (before == 0xB7))))
+    latin_start = _LETTER[raw] | ((raw >= 0xC3) & (raw <= 0xC8) & ~((raw == 0xC3) & ((follow == 0x97) | (follow == 0xB7))))
+    return (_SPACE[raw] & (_PRINTED[before] | two)) | (_SIGN[raw] & latin_end) | (latin_start & _SIGN_END[before])
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file, as bytes; the ids of common chunks are remembered."""
+    """Ids of texts by a tokenizer file.  The different chunks of a batch are found in a table; common ones are remembered."""
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
@@ -72,26 +97,55 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.end = b"" if end_id is None else struct.pack("<I", end_id)
-
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        chunks = [_CHUNK.findall(t or "") for t in texts]
-        new: set[str] = set()
-        for c in chunks:
-            new.update(c)
-        missing = list(new.difference(self.known))
-        for chunk, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+        self.known: dict[bytes, bytes] = {}
+        self.end_id = end_id
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        missing = [c for c in chunks if c not in self.known]
+        for chunk, found in zip(missing, self.tokenizer.encode_batch_fast([c.decode() for c in missing], add_special_tokens=False), strict=True):
             ids = found.ids
             self.known[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-        out = [b"".join(map(self.known.__getitem__, c)) + self.end for c in chunks]
+        out = [self.known[c] for c in chunks]
         for chunk in missing:
-            if len(chunk) > REMEMBERED_CHARS:
+            if len(chunk) > REMEMBERED_BYTES:
                 del self.known[chunk]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and each text's first one (with the end as last)."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        n, data = len(texts), texts.buffers()[2] if len(texts) else None
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        first = chunk_starts(raw)
+        first[offsets[:-1][offsets[:-1] < len(raw)]] = True
+        start = np.flatnonzero(first)
+        end = np.append(start[1:], len(raw))[: len(start)]
+        words = Words(np.append(raw, np.zeros(8, np.uint8)), start, end, np.searchsorted(start, offsets))
+        table = RunTable(words, len(start))
+        slots, made = table.intern(start, end - start)
+        whole, collecting = raw.tobytes(), gc.isenabled()
+        gc.disable()  # millions of small objects, none of them in a cycle
+        try:
+            ids = self._ids([whole[a:b] for a, b in zip(start[made].tolist(), end[made].tolist(), strict=True)])
+        finally:
+            if collecting:
+                gc.enable()
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place = np.zeros(table.capacity, np.int64)
+        place[slots[made]] = np.arange(len(made))
+        kind = place[slots]
+        known, known_at, sizes = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size, size[kind]
+        upto = np.cumsum(sizes)
+        flat = known[np.repeat(known_at[kind] - (upto - sizes), sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        ends = np.append(0, upto)[words.texts]
+        if self.end_id is not None:
+            flat, ends = np.insert(flat, ends[1:], self.end_id), ends + np.arange(n + 1)
+        return flat, ends
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, end_id: int | None) -> Encoder:
@@ -103,11 +157,9 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, 1):
-                ids = encoder(tokenizer, end_id).encode(part.column(1).to_pylist())
-                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], names=["doc_id", "tokens"])
+            for part in slices(b, 1, SLICE):
+                flat, ends = encoder(tokenizer, end_id).encode(part.column(1))
+                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int64)))], names=["doc_id", "tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens array<long>")
 

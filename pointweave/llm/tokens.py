@@ -100,11 +100,11 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """A batch in slices whose texts have at most SLICE bytes together; a longer text is a slice of its own."""
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts have at most so many bytes together; a longer text is a slice of its own."""
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), np.int64)
     ends, at = np.cumsum(sizes), 0
     while at < batch.num_rows:
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
         yield batch.slice(at, stop - at)
         at = stop

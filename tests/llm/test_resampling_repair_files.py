@@ -55,6 +55,19 @@ def test_equal_keys_of_different_runs_get_slots_of_their_own(monkeypatch):
     assert (table.count > 0).sum() == len(set(features("a b c a b d e " * 3)))
 
 
+def test_chunks_encode_like_whole_texts():
+    import public_tokenizers
+
+    encoder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    rng = random.Random(2)
+    parts = ["a", "é", "'s", "'", "'ll", " ", "  ", "\n", "\t", "1", "²", "ж", ".", ",", "_", "\x1c", "\xa0", "\u3000", "!", "日", "-", "don't", "x2", "\u0301", "A", "×", "ß", "<|endoftext|>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(4000)] + [None, "x" * 3000]
+    flat, ends = encoder.encode(pa.array(texts))
+    for text, lo, hi in zip(texts, ends[:-1], ends[1:], strict=True):
+        assert flat[lo:hi].tolist() == [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, END_ID], repr(text)
+    assert len(encoder.known) > 100 and encoder.encode(pa.array([], pa.string()))[1].tolist() == [0]
+
+
 def plain_draw(docs, target, percent):
     count = lambda texts: collections.Counter(zlib.crc32(f) % 10_000 for t in texts for f in features(t))
     s, t = count(d[1] for d in docs), count(target)
