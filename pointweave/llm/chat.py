@@ -10,7 +10,8 @@ Defined results
     * a conversation is one row, so its text must fit in a row of Spark; ids are passed on exactly.
     * turns with an equal number: by role, then text; null turn numbers come first; repeated rows all stay.
     * control strings and backslashes in texts and roles are escaped and come back unchanged from ``read_back``.
-    * unknown part types: treated as text.
+    * unknown part types: treated as text.  Texts side by side are one text.  Seconds that are no number, negative or too
+      many: one token.  Counts of tokens end at MOST_TOKENS.
     * empty input: no rows.  Extra columns are not read.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,8 @@ PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|docum
 CONTROL = (TURN, END, *PLACEHOLDERS.values(), "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 #: Tokens that one unit of an attachment expands to: an image patch, an audio frame, a document page.
 PATCH_PIXELS, AUDIO_TOKENS_PER_SECOND, TOKENS_PER_PAGE = 28, 25, 512
+#: Tokens of an attachment, at most.
+MOST_TOKENS = (1 << 31) - 1
 PART = "struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 
 _CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROL, key=len, reverse=True))))
@@ -48,31 +51,42 @@ def unescape(text: str) -> str:
 
 
 class FlattenVisitor:
-    """Visits the parts of a turn in order; collects the text, the references and the token counts."""
+    """Visits the parts of a turn in order; collects the text, the references and the token counts.
+
+    Texts side by side are one text, so that no control string comes about between them.
+    """
 
     def __init__(self) -> None:
-        self.pieces: list[str] = []
+        self.runs: list[list[str]] = [[]]  # texts between attachments
+        self.kinds: list[str] = []
         self.references: list[str] = []
         self.tokens: list[int] = []
 
+    def body(self, form: Callable[[str], str]) -> str:
+        """The texts, each put into a form, and the placeholders between them."""
+        texts = [form("".join(run)) for run in self.runs]
+        return "".join(x for pair in zip(texts, [*(PLACEHOLDERS[k] for k in self.kinds), ""], strict=True) for x in pair)
+
     def visit(self, part: dict) -> None:
         getattr(self, f"visit_{part.get('type')}", self.visit_text)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.pieces.append(escape(part.get("text") or ""))
+        self.runs[-1].append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
         across, down = (-(-int(part.get(k) or 0) // PATCH_PIXELS) for k in ("width", "height"))
-        self._attach("image", part, max(1, across * down))
+        self._attach("image", part, min(MOST_TOKENS, max(1, across * down)))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, max(1, round((part.get("seconds") or 0.0) * AUDIO_TOKENS_PER_SECOND)))
+        tokens = (part.get("seconds") or 0.0) * AUDIO_TOKENS_PER_SECOND
+        self._attach("audio", part, max(1, round(tokens)) if 0 <= tokens <= MOST_TOKENS else 1)
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, max(1, int(part.get("pages") or 0) * TOKENS_PER_PAGE))
+        self._attach("document", part, min(MOST_TOKENS, max(1, int(part.get("pages") or 0) * TOKENS_PER_PAGE)))
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
-        self.pieces.append(PLACEHOLDERS[kind])
+        self.runs.append([])
+        self.kinds.append(kind)
         self.references.append(f"{kind}:{part.get('uri') or ''}")
         self.tokens.append(tokens)
 
@@ -94,25 +108,27 @@ def format_conversations(turns: DataFrame, parts: Column | None = None, loss_rol
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            heads, bodies, references, tokens = [], [], [], []
+            heads, plain, bodies, references, tokens = [], [], [], [], []
             for role, own in zip(b.column(2).to_pylist(), b.column(3), strict=True):
                 visitor = FlattenVisitor()
                 for part in own.as_py():
                     visitor.visit(part or {})
                 heads.append(TURN + escape(role).replace("\n", "\\n") + "\n")
-                bodies.append("".join(visitor.pieces))
+                plain.append(visitor.body(str))
+                body = visitor.body(escape)
+                bodies.append(None if body == plain[-1] else body)  # few texts need escapes
                 references.append(visitor.references)
                 tokens.append(visitor.tokens)
-            made = [pa.array(heads, pa.string()), pa.array(bodies, pa.string()), pa.array(references, pa.list_(pa.string())), pa.array(tokens, pa.list_(pa.int32()))]
-            yield pa.record_batch([*b.columns[:3], *made], names=["conv_id", "turn", "role", "head", "body", "refs", "tokens"])
+            made = [pa.array(heads, pa.string()), pa.array(plain, pa.string()), pa.array(bodies, pa.string()), pa.array(references, pa.list_(pa.string())), pa.array(tokens, pa.list_(pa.int32()))]
+            yield pa.record_batch([*b.columns[:3], *made], names=["conv_id", "turn", "role", "head", "plain", "escaped", "refs", "tokens"])
 
     kind = turns.schema["conv_id"].dataType.simpleString()
-    rendered = rows.mapInArrow(render, f"conv_id {kind}, turn long, role string, head string, body string, refs array<string>, tokens array<int>")
+    rendered = rows.mapInArrow(render, f"conv_id {kind}, turn long, role string, head string, plain string, escaped string, refs array<string>, tokens array<int>")
     lost = F.col("role").isin(*loss_roles)
     gathered = (
         rendered.groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "head", "refs", "tokens", lost.alias("lost"), (F.length("head")).alias("h"), F.length("body").alias("n")))).alias("t"))
-        .withColumn("formatted", F.concat_ws("", F.transform("t", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n")))))
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "plain", "escaped", "head", "refs", "tokens", lost.alias("lost"), F.length("head").alias("h"), F.length(F.coalesce("escaped", "plain")).alias("n")))).alias("t"))
+        .withColumn("formatted", F.concat_ws("", F.transform("t", lambda t: F.concat(t["head"], F.coalesce(t["escaped"], t["plain"]), F.lit(END + "\n")))))
     )
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
     tail = len(END) + 1

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, cut_table
 
-#: Edges that one task contracts at once.
-TASK_EDGES = 200_000
+#: Edges that one task contracts at once, and nodes that it holds.
+TASK_EDGES, TASK_NODES = 200_000, 400_000
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties every larger node of a partition's edges (u, v) to the smallest one that they lead to."""
+    """Ties every larger node of a partition's edges (u, v) to the smallest one that they lead to.
+
+    What is tied is let go whenever it reaches TASK_NODES nodes, so a partition of any size needs bounded memory.
+    """
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -27,15 +30,21 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root[x], x = top, root.get(x, x)
         return top
 
+    def tied() -> Iterator[pa.RecordBatch]:
+        nodes = np.fromiter(root, np.int64, len(root))
+        tops = np.fromiter(map(find, root), np.int64, len(root))
+        root.clear()
+        for at in range(0, len(nodes), 1 << 16):
+            yield pa.record_batch([pa.array(nodes[at : at + (1 << 16)]), pa.array(tops[at : at + (1 << 16)])], names=["u", "v"])
+
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             low, high = sorted((find(u), find(v)))
             if low != high:
                 root[high] = low
-    nodes = np.fromiter(root, np.int64, len(root))
-    tops = np.fromiter(map(find, root), np.int64, len(root))
-    for at in range(0, len(nodes), 1 << 16):
-        yield pa.record_batch([pa.array(nodes[at : at + (1 << 16)]), pa.array(tops[at : at + (1 << 16)])], names=["u", "v"])
+        if len(root) >= TASK_NODES:
+            yield from tied()
+    yield from tied()
 
 
 def _all_stars(edges: DataFrame) -> bool:

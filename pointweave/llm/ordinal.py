@@ -2,12 +2,13 @@
 
 Grades are ordered; one weight vector is shared by all of them, and ordered thresholds cut its score:
 ``P(grade <= k) = sigmoid(threshold_k - w.x)``.  Features are hashed words (present or not) and hashed bins of shape
-measures (symbols, capitals, repetition, length).  Fitting reads at most ``sample_rows`` labelled documents,
+measures (symbols, capitals, repetition, length).  Fitting reads about ``sample_rows`` labelled documents,
 with FTRL-proximal steps whose L1 term keeps few weights; grading reads every document's whole text.
 
 Defined results
     * null text: graded as the empty text.  Very long texts: read whole.
-    * null grade: not used in fitting; without any graded row, all documents get the middle grade and are kept.
+    * null grade: not used in fitting; without any graded row, all documents get the middle grade and a
+      tail of one half, and are kept.
     * repeated rows: graded alike, one by one.  Empty input: no rows.
     * extra columns stay; columns named like the result are replaced.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 #: Buckets that words and shape bins are hashed into.
 BUCKETS = 1 << 18
-#: Labelled documents that are used for fitting, at most (drawn by hash of the id).
+#: Labelled documents that are used for fitting, about (drawn by hash of the id).
 SAMPLE_ROWS = 20_000
 #: Least probability of the upper grades for a document to be selected.
 LEAST_TAIL = 0.5
@@ -85,7 +86,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int =
     """Fits weights and thresholds by FTRL-proximal on the cumulative-link likelihood."""
     cuts = n_grades - 1
     if not rows:
-        return OrdinalModel(np.zeros(BUCKETS), np.full(cuts, -40.0))
+        return OrdinalModel(np.zeros(BUCKETS), np.zeros(cuts))  # every tail is one half
     share = np.array([(grades <= k).mean() for k in range(cuts)])
     theta = np.log((share + 1e-3) / (1 - share + 1e-3))
     z, n, w = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)

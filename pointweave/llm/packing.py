@@ -8,7 +8,7 @@ A piece goes to the tightest bin that has room and no conflict: the successor se
 residuals until a compatible bin is found, and a new bin opens only when none is.
 
 Defined results
-    * null or wordless text: length 0, no bin (``bin_id`` null, ``slot`` null).
+    * null or wordless text: length 0, no bin (``bin_id`` null, ``slot`` null); such rows pass the packer by.
     * null ids stay null, and all others are exact.
     * null source: conflicts with nothing.  Null cluster: likewise.
     * repeated rows: packed as they come; equal clusters keep them in different bins.
@@ -84,7 +84,7 @@ def pack(docs: DataFrame, *, length: Column, cluster: Column, capacity: int = 20
     """One row for each piece of each document with its bin; see the module for the cases."""
     if capacity < 1 or rows_per_group < 1:
         raise ValueError("capacity and rows_per_group must be at least 1")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.cast("string").alias("cluster"), length.cast("long").alias("total"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.cast("string").alias("cluster"), length.cast("long").alias("total"), F.monotonically_increasing_id().alias("nth_row"))
     pieces = (
         base.select("*", F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("total") - 1) / capacity)), F.lit(1).cast("long"))).alias("piece", "nth"))
         .withColumn("start", F.col("nth") * capacity)
@@ -92,26 +92,28 @@ def pack(docs: DataFrame, *, length: Column, cluster: Column, capacity: int = 20
     )
     n_pieces = base.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("total") / capacity)))).first()[0] or 0
     n_groups = max(1, -(-n_pieces // rows_per_group))
-    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(n_groups)).cast("long"))
+    # the row's number deals rows that repeat each other
+    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "nth_row"), F.lit(n_groups)).cast("long"))
 
     def pack_group(batch: pa.Table) -> pa.Table:
         batch = batch.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         lengths = batch["n_words"].to_pylist()
-        full = sum(n > 0 for n in lengths)  # pieces without words come last
-        sources = [s if n < capacity else None for s, n in zip(batch["source"].to_pylist(), lengths[:full], strict=False)]  # a full piece shares its bin with none
-        placed = best_fit(lengths[:full], sources, batch["cluster"].to_pylist()[:full], capacity)
+        sources = [s if n < capacity else None for s, n in zip(batch["source"].to_pylist(), lengths, strict=True)]  # a full piece shares its bin with none
+        placed = best_fit(lengths, sources, batch["cluster"].to_pylist(), capacity)
         words, slots, grp = Counter(), [], batch["grp"][0].as_py()
         used: Counter = Counter()
-        for b, n in zip(placed, lengths, strict=False):
+        for b, n in zip(placed, lengths, strict=True):
             words[b] += n
             slots.append(used[b])
             used[b] += 1
-        none = [None] * (len(lengths) - full)
         columns = {"bin_id": [b * n_groups + grp for b in placed], "slot": slots, "bin_words": [words[b] for b in placed]}
-        made = [pa.array(v + none, pa.int32() if c == "slot" else pa.int64()) for c, v in columns.items()]
+        made = [pa.array(v, pa.int32() if c == "slot" else pa.int64()) for c, v in columns.items()]
         return pa.table([*(batch[c] for c in ("doc_id", "piece", "start", "n_words")), *made], names=["doc_id", "piece", "start", "n_words", *columns])
 
-    return pieces.select("doc_id", "source", "cluster", "piece", "start", "n_words", "grp").groupBy("grp").applyInArrow(pack_group, SCHEMA)
+    packed = pieces.where("n_words > 0").select("doc_id", "source", "cluster", "piece", "start", "n_words", "grp").groupBy("grp").applyInArrow(pack_group, SCHEMA)
+    none = {c: F.lit(None).cast("int" if c == "slot" else "long").alias(c) for c in ("bin_id", "slot", "bin_words")}
+    blank = pieces.where(~F.coalesce(F.col("n_words") > 0, F.lit(False)))
+    return packed.unionByName(blank.select("doc_id", "piece", "start", "n_words", *none.values()))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in built-in functions only.
 
 Measures of a text are Spark expressions over its whole words.  A rule is a named condition on the text that rejects.
-``order_rules`` times each rule on a bounded sample of texts, drawn by hash, and counts what it rejects there; rules then
+``order_rules`` times each rule on a sample of about ``SAMPLE_ROWS`` rows and counts what it rejects there; rules then
 run by rejections per second, inside one ``CASE`` that stops at the first rule that rejects.  The sample settles only
 the order, and so the speed: whether a document is kept does not depend on it.  ``order_rules`` runs small jobs when it is called.
 
@@ -113,15 +113,15 @@ def text_rules(text_col: str = "text") -> list[Rule]:
     ]
 
 
-def sampled(docs: DataFrame, text_col: str, rows: int) -> DataFrame:
-    """About so many rows, drawn by a hash of the text and dealt as the table is; all of a small table."""
-    known, parts = docs.count(), 1 << 30
-    return docs if known <= rows else docs.where(F.pmod(F.xxhash64(text_col), F.lit(parts)) < int(parts * rows / known))
+def sampled(docs: DataFrame, rows: int, seed: int = 7) -> DataFrame:
+    """About so many rows, each drawn by itself whatever its text; all of a small table."""
+    known = docs.count()
+    return docs if known <= rows else docs.where(F.rand(seed) < rows / known)
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
+def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """Rules with their cost (seconds a row) and selectivity (share rejected), best rejection per cost first."""
-    sample = sampled(docs, text_col, sample_rows).persist()
+    sample = sampled(docs, sample_rows).persist()
     try:
         rows = sample.count()
 
@@ -152,13 +152,13 @@ def cascade(rules: Sequence[Rule]) -> Column:
 def judge(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Adds the measures, ``base_failed`` and ``kept``: of what the base keeps, the further rules read the text in turn."""
     rules = further_rules(F.col(text_col), F.col("n_words"))
-    on_sample = sampled(docs, text_col, sample_rows).withColumn("n_words", word_count(F.col(text_col)))
-    ordered = [rule for rule, _, _ in order_rules(on_sample, rules, text_col, sample_rows)]
+    counted = docs.withColumn("n_words", word_count(F.col(text_col)))  # the sample's words only are counted for it
+    ordered = [rule for rule, _, _ in order_rules(counted, rules, sample_rows)]
     verdict = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(ordered).isNull())
     return measures(docs, text_col).withColumn("kept", verdict)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects, with their columns unchanged."""
-    ordered = [rule for rule, _, _ in order_rules(docs, text_rules(text_col), text_col, sample_rows)]
+    ordered = [rule for rule, _, _ in order_rules(docs, text_rules(text_col), sample_rows)]
     return docs.where(cascade(ordered).isNull())

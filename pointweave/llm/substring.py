@@ -19,7 +19,7 @@ Defined results
     * null, empty or short text (fewer than LENGTH words): nothing removed.
     * a passage repeated in one document only: kept.  Exact copies: the smallest id keeps its words.
     * null id: never removed from, never the reason for a removal.
-    * rows that share an id: each is judged alike, their windows count for the one id.
+    * rows that share an id: each is judged by its own text, their windows count for the one id.
     * empty input: no rows.  ``remove_repeats`` reads no extra columns; ``without_repeats`` keeps all columns.
 """
 
@@ -28,7 +28,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -91,16 +91,25 @@ class Words:
         return owner[first], seeds[owner[first]], first, last
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc, part, text``: rows of one id differ in ``part`` if they differ in text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("part"), "text")
+
+
+def _columns(parts: list[list[np.ndarray]], kinds: Sequence[type], names: Sequence[str]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.concatenate(c).astype(k)) for c, k in zip(parts, kinds, strict=True)], names=list(names))
+
+
 def _seeds(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """``doc, anchor, reach, at, first, last``: all anchors; first and last are window starts."""
-    names = ["doc", "anchor", "reach", "first", "last"]
+    """``doc, part, anchor, reach, first, last``: all anchors; first and last are window starts."""
+    names = ["doc", "part", "anchor", "reach", "first", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in tokens.slices(b, 1):
-                columns: list[list[np.ndarray]] = [[], [], [], [], []]
-                hashes, ends = tokens.word_hashes(part.column(1))
-                for doc, lo, hi in zip(part.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
+            for batch in tokens.slices(b, 2):
+                columns: list[list[np.ndarray]] = [[] for _ in names]
+                hashes, ends = tokens.word_hashes(batch.column(2))
+                for doc, part, lo, hi in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends[:-1], ends[1:], strict=True):
                     if hi - lo < length:
                         continue
                     own = Words(hashes[lo:hi])
@@ -109,52 +118,52 @@ def _seeds(docs: DataFrame, length: int, seed: int) -> DataFrame:
                         continue
                     # the offset of the seed tells apart reaches of equal words but other windows
                     reach = own.runs(first, last + length) + (at - first).astype(np.uint64) * _MIX
-                    for column, values in zip(columns, (np.full(len(at), doc), anchor.view(np.int64), reach.view(np.int64), first, last), strict=True):
+                    for column, values in zip(columns, (np.full(len(at), doc), np.full(len(at), part), anchor.view(np.int64), reach.view(np.int64), first, last), strict=True):
                         column.append(values)
                 if columns[0]:
-                    yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in columns[:3]] + [pa.array(np.concatenate(c).astype(np.int32)) for c in columns[3:]], names=names)
+                    yield _columns(columns, [np.int64] * 4 + [np.int32] * 2, names)
 
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return known.mapInArrow(run, "doc long, anchor long, reach long, first int, last int")
+    return _keyed(docs).where(F.col("doc").isNotNull()).mapInArrow(run, "doc long, part long, anchor long, reach long, first int, last int")
 
 
 def _windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``doc, anchor, window, start`` of all windows of the wanted anchors (``doc, anchor, first, last``)."""
-    names = ["doc", "anchor", "window", "start"]
+    """``doc, part, anchor, window, start`` of all windows of the wanted anchors (``doc, part, anchor, first, last``)."""
+    names = ["doc", "part", "anchor", "window", "start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in tokens.slices(b, 1):
-                columns: list[list[np.ndarray]] = [[], [], [], []]
-                hashes, ends = tokens.word_hashes(part.column(1))
-                for doc, lo, hi, listed in zip(part.column(0).to_pylist(), ends[:-1], ends[1:], part.column(2).to_pylist(), strict=True):
+            for batch in tokens.slices(b, 2):
+                columns: list[list[np.ndarray]] = [[] for _ in names]
+                hashes, ends = tokens.word_hashes(batch.column(2))
+                for doc, part, lo, hi, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends[:-1], ends[1:], batch.column(3).to_pylist(), strict=True):
                     own = Words(hashes[lo:hi])
                     for x in listed:
                         start = np.arange(x["first"], min(x["last"], own.n - length) + 1)
-                        for column, values in zip(columns, (np.full(len(start), doc), np.full(len(start), x["anchor"]), own.runs(start, start + length).view(np.int64), start), strict=True):
+                        for column, values in zip(columns, (np.full(len(start), doc), np.full(len(start), part), np.full(len(start), x["anchor"]), own.runs(start, start + length).view(np.int64), start), strict=True):
                             column.append(values)
                 if columns[0]:
-                    yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in columns[:3]] + [pa.array(np.concatenate(columns[3]).astype(np.int32))], names=names)
+                    yield _columns(columns, [np.int64] * 4 + [np.int32], names)
 
-    listed = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("listed"))
-    maybe, _ = bitmap_split(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), "doc", listed)
-    return maybe.join(listed, "doc").select("doc", "text", "listed").mapInArrow(run, "doc long, anchor long, window long, start int")
+    listed = wanted.groupBy("doc", "part").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("listed"))
+    maybe, _ = bitmap_split(_keyed(docs), "doc", listed)
+    return maybe.join(listed, ["doc", "part"]).select("doc", "part", "text", "listed").mapInArrow(run, "doc long, part long, anchor long, window long, start int")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """``doc, spans``: for each document with windows that a smaller document has too, their first and last starts."""
+    """``doc, part, spans``: for each text with windows that a smaller document has too, their first and last starts."""
     seeds = cut_table(_seeds(docs, length, seed))
     shared = seeds.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("reach").alias("r_low"), F.max("reach").alias("r_high")).where("low < high")
     shared = cut_table(shared.select("anchor", (F.col("r_low") != F.col("r_high")).alias("differ")))
     found = cut_table(seeds.join(shared, "anchor"))
     classes = found.groupBy("anchor", "reach").agg(F.min("doc").alias("lead"))
     placed = found.join(classes, ["anchor", "reach"])
-    whole = placed.where("doc > lead").select("doc", "first", "last")
-    leads = placed.where("doc = lead and differ").select("doc", "anchor", "first", "last")
+    whole = placed.where("doc > lead").select("doc", "part", "first", "last")
+    leads = placed.where("doc = lead and differ").select("doc", "part", "anchor", "first", "last")
     windows = cut_table(_windows(docs, leads, length))
     least = windows.groupBy("anchor", "window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    partial = windows.join(least, ["anchor", "window"]).where("doc > least").select("doc", F.col("start").alias("first"), F.col("start").alias("last"))
-    return cut(whole.unionByName(partial).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
+    partial = windows.join(least, ["anchor", "window"]).where("doc > least").select("doc", "part", F.col("start").alias("first"), F.col("start").alias("last"))
+    # a set, so that repeated rows add nothing
+    return cut(whole.unionByName(partial).groupBy("doc", "part").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
 
 
 def covered(spans: list[dict] | None, n: int, length: int) -> np.ndarray:
@@ -168,10 +177,10 @@ def covered(spans: list[dict] | None, n: int, length: int) -> np.ndarray:
 
 def _with_spans(docs: DataFrame, found: DataFrame, key: str) -> tuple[DataFrame, str]:
     """Documents with their spans (null for none), and that column's name; only documents that may have some are shuffled."""
-    doc, spans = fresh(docs, "__doc"), fresh(docs, "__spans")
-    found = found.select(F.col("doc").alias(doc), F.col("spans").alias(spans))
+    doc, part, spans = (fresh(docs, c) for c in ("__doc", "__part", "__spans"))
+    found = found.select(F.col("doc").alias(doc), F.col("part").alias(part), F.col("spans").alias(spans))
     maybe, never = bitmap_split(docs, key, found.withColumnRenamed(doc, key))
-    hit = maybe.join(found, maybe[key] == found[doc], "left").drop(doc)
+    hit = maybe.join(found, (maybe[key] == found[doc]) & (F.xxhash64(maybe["text"]) == found[part]), "left").drop(doc, part)
     return hit.unionByName(never.withColumn(spans, F.lit(None).cast(found.schema[spans].dataType))), spans
 
 

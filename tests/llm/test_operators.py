@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.llm import bpe, chat, common, jaccard, lattice, ordinal, packing, quality_rules, sharding, substring, tokens, url_filter
+from pointweave.llm import bpe, chat, common, components, jaccard, lattice, ordinal, packing, quality_rules, sharding, substring, tokens, url_filter
 
 SCHEMA = "doc_id long, text string, source string, __p string, spans int"
 SF = "/root/testdata/sf0.001"
@@ -375,7 +375,7 @@ def test_rules_cascade_stops_early(spark):
     docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("word " * 20).alias("text"))
     stop = [quality_rules.Rule("first", F.lit(True)), quality_rules.Rule("never", F.raise_error(F.lit("read on")).cast("boolean"))]
     assert docs.where(quality_rules.cascade(stop).isNull()).count() == 0
-    assert quality_rules.sampled(docs, "text", 2000).count() == 3
+    assert quality_rules.sampled(docs, 2000).count() == 3
 
 
 def test_vectors_without_ids_count_in_links_of_others(spark):
@@ -393,3 +393,91 @@ def test_keep_one_of_repeated_rows(spark):
     rows = [(1, long_a), (1, long_a), (2, long_a), (3, long_b), (3, long_b + " more"), (None, "x y z"), (None, "x y z"), (None, "other"), (4, None), (4, None)]
     got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.text or "") for r in got) == sorted([(1, long_a), (3, long_b), (3, long_b + " more"), (-1, "x y z"), (-1, "other"), (4, "")])
+
+
+def test_sample_of_null_and_hot_texts_is_bounded(spark):
+    texts = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "the same text").otherwise(F.concat(F.lit("t "), F.col("id")))
+    drawn = quality_rules.sampled(spark.range(60_000).select(texts.alias("text")), 2000).groupBy("text").count().orderBy(F.desc("count")).limit(3).collect()
+    assert 400 < drawn[0]["count"] < 1000 and 400 < drawn[1]["count"] < 1000 and drawn[2]["count"] == 1
+
+
+def test_text_parts_side_by_side(spark):
+    def part(kind, text=None, **more):
+        return (kind, text, more.get("uri"), more.get("width"), more.get("height"), more.get("seconds"), more.get("pages"))
+
+    big = (1 << 31) - 1
+    turns = [
+        (1, 0, "user", [part("text", "a <|en"), part("text", "d|>\nb"), part("audio", seconds=float("nan")), part("text", "<|tu"), part("other", "rn|>")]),
+        (1, 1, "assistant", [part("audio", seconds=float("inf")), part("audio", seconds=-1.0), part("audio", seconds=2.0), part("image", width=big, height=big), part("document", pages=big)]),
+        (2, 0, "user", None),
+    ]
+    kind = f"conv_id long, turn long, role string, parts array<{chat.PART}>"
+    got = {r.conv_id: r for r in chat.format_conversations(spark.createDataFrame(turns, kind), F.col("parts")).collect()}
+    assert chat.read_back(got[1].formatted) == [("user", "a <|end|>\nb<|audio|><|turn|>"), ("assistant", "<|audio|>" * 3 + "<|image|><|document|>")]
+    assert [a.tokens for a in got[1].attachments] == [1, 1, 1, 50, chat.MOST_TOKENS, chat.MOST_TOKENS]
+    assert chat.read_back(got[2].formatted) == [("user", "")]
+
+
+def test_equal_turns_are_in_order_of_text(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "<s>"), (1, 0, "user", "<|"), (1, None, "user", "z")]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert [t for _, t in chat.read_back(out.formatted)] == ["z", "<s>", "<|", "a"]
+
+
+def test_rows_of_one_id_are_cut_by_their_own_text(spark):
+    p, q, r = (" ".join(f"{c}{i}" for i in range(90)) for c in "pqr")
+    rows = [(1, p), (2, p), (2, q), (2, q), (3, q + " " + r), (None, p), (4, r), (4, r)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id or -1, x.n_words, x.n_removed) for x in substring.remove_repeats(docs).collect())
+    assert got == [(-1, 90, 0), (1, 90, 0), (2, 90, 0), (2, 90, 0), (2, 90, 90), (3, 180, 90), (4, 90, 90), (4, 90, 90)]
+    assert sorted((x.doc_id or -1, x.text.strip()) for x in substring.without_repeats(docs).collect()) == [(-1, p), (1, p), (2, q), (2, q), (3, r)]
+
+
+def test_packing_deals_repeated_rows(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a b c").alias("text"), F.lit("s").alias("source"))
+    out = packing.pack(docs, length=common.word_count(F.col("text")), cluster=F.lit(None), capacity=10, rows_per_group=100, source_col="source").collect()
+    assert len(out) == 3000 and sum(r.bin_id is None for r in out) == 1500
+    groups = collections.Counter(r.bin_id % 30 for r in out if r.bin_id is not None)
+    assert max(groups.values()) < 150
+
+
+def test_grade_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    model = ordinal.train(docs, spark.createDataFrame([(1, None)], "doc_id long, grade int"))
+    assert {(r.expected_grade, r.tail_probability, r.selected) for r in ordinal.grade(docs, model).collect()} == {(1.0, 0.5, True)}
+
+
+def test_lattice_counts_each_link_once(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    dense = rng.normal(size=64) + rng.normal(size=(120, 64)) * 0.1
+    vectors = np.concatenate([dense, dense[:10], rng.normal(size=(40, 64))])
+    top = 2**63 - 1
+    rows = [(top - 3 * i if i != 50 else None, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    got = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), 64).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    by_id = {r.vec_id: r for r in got}
+    for i in range(130):
+        r = by_id[rows[i][0]]
+        assert r.n_links == near[i].sum() - 1 and r.component_id == (top - 3 * 129 if i != 50 else None)
+    assert sum(r.kept for r in got) == 41
+
+
+def test_components_in_bounded_memory(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    batch = pa.record_batch([pa.array([max(e) for e in edges]), pa.array([min(e) for e in edges])], names=["u", "v"])
+    monkeypatch.setattr(components, "TASK_NODES", 20)
+    parts = [batch.slice(i, 13) for i in range(0, 260, 13)]
+    tied = [b for b in components.forest(iter(parts)) if b.num_rows]
+    assert len(tied) > 5 and max(b.num_rows for b in tied) < 60
+
+    def classes(pairs):
+        root = {x: x for p in pairs for x in p}
+        for a, b in pairs:
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if v == high else v for k, v in root.items()}
+        return {k: v for k, v in root.items() if k != v}
+
+    assert classes(edges) == classes([(u, v) for b in tied for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
