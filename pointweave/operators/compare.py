@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fits import plane_fit
+from . import octree
 from .neighbors import distance_stats, nearest, over_threshold
 from .points import XYZ, clean_points, heat_colour, transform_points, voxel_downsample
 
@@ -105,11 +106,11 @@ def icp_align(reference: DataFrame, moving: DataFrame, options: CompareOptions)
     total = np.eye(4)
     total[:3, 3] = [a[c] - b[c] for c in XYZ]
     target = ref.select(F.col("id").alias("tid"), *[F.col(c).alias(f"t{c}") for c in XYZ])
-    before = None
+    before, tree = None, octree.grow(ref, 1)
     try:
         for _ in range(options.iterations):
             now = transform_points(mov, total.tolist())
-            pairs = nearest(now, ref, most=options.max_distance, size=options.max_distance).join(now.withColumnRenamed("id", "qid"), "qid").join(target, "tid")
+            pairs = octree.search(now, tree, most=options.max_distance).join(now.withColumnRenamed("id", "qid"), "qid").join(target, "tid")
             s = pairs.agg(F.count("*").alias("n"), F.avg(F.col("distance") ** 2).alias("e"), *[F.sum(c).alias(c) for c in (*XYZ, "tx", "ty", "tz")], *[F.sum(F.col(p) * F.col(f"t{q}")).alias(p + q) for p in XYZ for q in XYZ]).first()
             if s["n"] < 3:
                 return None

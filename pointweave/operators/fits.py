@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .neighbors import region_spacing
 from .points import XYZ, Polygon, clean_points
 
 _PAIRS = [(a, b) for i, a in enumerate(XYZ) for b in XYZ[i:]]
@@ -114,9 +115,16 @@ def region_stats(points: DataFrame, keys: Sequence[str] = ("cloud_id",)) -> Data
 
 
 def region_report(points: DataFrame, keys: Sequence[str] = ("cloud_id",)) -> DataFrame:
-    """The figures of ``region_stats`` with each region's oriented box (``box_``) and plane (``plane_``, null on a line)."""
+    """The figures of ``region_stats`` with each region's spacing, oriented box (``box_``) and plane (``plane_``, null on a line).
+
+    The spacing, which needs an ``id`` of the points, goes by the key if there is one, else by all keys together.
+    """
     keys = list(keys)
     out = region_stats(points, keys)
+    one = points.withColumn("__region", F.struct(*keys) if len(keys) > 1 else F.col(keys[0]))
+    spacing = region_spacing(one.select("id", *XYZ, "__region"), "__region")
+    spacing = spacing.select(*([F.col(f"__region.{k}").alias(k) for k in keys] if len(keys) > 1 else [F.col("__region").alias(keys[0])]), "spacing")
+    out = out.join(spacing, keys, "left")
     for name, part in (("box", oriented_box_region(points, keys)), ("plane", plane_fit(points, keys).drop("n"))):
         out = out.join(part.withColumnsRenamed({c: f"{name}_{c}" for c in part.columns if c not in keys}), keys, "left")
     return out

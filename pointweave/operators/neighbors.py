@@ -1,4 +1,4 @@
-"""Exact nearest neighbours by grid cells, and what rests on them: spacing, outliers, snapping, distances."""
+"""Exact nearest neighbours, and what rests on them: spacing, outliers, snapping, distances."""
 
 from __future__ import annotations
 
@@ -7,81 +7,21 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import cell
-from ..session import written
+from . import octree
 from .points import XYZ, clean_points
 from .sequences import stride_sample
 
-#: Points that a grid cell holds on average.
-PER_CELL = 8
 
+def nearest(queries: DataFrame, targets: DataFrame, k: int = 1, most: float = math.inf, skip_same_id: bool = False, key: str | None = None) -> DataFrame:
+    """``qid, rank, tid, distance``: the k nearest targets of each query within ``most``, ties by target id; exact.
 
-def cell_size(points: DataFrame) -> float:
-    """A grid size that gives about PER_CELL points a cell of the box that holds most points; one aggregation.
-
-    The box runs from the 2nd to the 98th hundredth of each axis, so that a few far points do not make cells large.
-    """
-    middle = {c: F.percentile_approx(c, [0.02, 0.98], 1000) for c in XYZ}
-    b = clean_points(points).agg(F.count("*").alias("n"), *[(middle[c][1] - middle[c][0]).alias(c) for c in XYZ], *[(F.max(c) - F.min(c)).alias(f"all_{c}") for c in XYZ]).first()
-    spans = [float(b[c] or b[f"all_{c}"]) for c in XYZ if b[f"all_{c}"]]
-    if not spans:
-        return 1.0
-    return max((math.prod(spans) * PER_CELL / b["n"]) ** (1 / len(spans)), max(spans) * 1e-9, 1e-12)
-
-
-def _cells(points: DataFrame, size: float, around: bool) -> DataFrame:
-    if not around:
-        return points.withColumns({f"__c{c}": cell(F.col(c), size) for c in XYZ})
-    for c in XYZ:
-        at = cell(F.col(c), size)
-        points = points.withColumn(f"__c{c}", F.explode(F.array(at - 1, at, at + 1)))
-    return points
-
-
-def nearest(queries: DataFrame, targets: DataFrame, k: int = 1, size: float | None = None, most: float = math.inf, skip_same_id: bool = False) -> DataFrame:
-    """``qid, rank, tid, distance``: the k nearest targets of each query, ties by target id; exact.
-
-    ``queries`` and ``targets`` hold ``id, x, y, z``.  Each round joins queries with the targets of the 27
-    cells around them; a query is answered once its k-th distance is within the cell size, and all others go on with
-    cells of twice the size.  Rounds end when none is left, or at distance ``most``; each is run when the function is
-    called, and its answers are written to the shared folder.
+    ``queries`` and ``targets`` hold ``id, x, y, z``, and ``key`` where clouds are searched one by one.  The tree is grown, and the
+    bounds of the search are found, when the function is called.
     """
-    q = clean_points(queries).select(F.col("id").alias("qid"), *[F.col(c).alias(c) for c in XYZ])
-    t = clean_points(targets).select(F.col("id").alias("tid"), *XYZ)
-    size = cell_size(targets) if size is None else size
-    lows = t.agg(*[F.min(c).alias(f"a{c}") for c in XYZ], *[F.max(c).alias(f"b{c}") for c in XYZ], F.count("*").alias("n")).first()
-    if lows["n"] == 0:
-        return q.limit(0).select("qid", F.lit(0).alias("rank"), F.col("qid").alias("tid"), F.lit(0.0).alias("distance"))
-    least = min(k, lows["n"] - bool(skip_same_id))
-    far = q.agg(*[F.min(c).alias(f"a{c}") for c in XYZ], *[F.max(c).alias(f"b{c}") for c in XYZ]).first()
-    reach = math.dist([min(lows[f"a{c}"], far[f"a{c}"] or 0) for c in XYZ], [max(lows[f"b{c}"], far[f"b{c}"] or 0) for c in XYZ])
-    done, left = None, q
-    while True:
-        size = min(size, most) if most < math.inf else size
-        last = size >= min(most, reach)
-        there = _cells(t.withColumnsRenamed({c: f"t{c}" for c in XYZ}).withColumns({c: F.col(f"t{c}") for c in XYZ}), size, False).drop(*XYZ)
-        joined = _cells(left, size, True).join(there, [f"__c{c}" for c in XYZ])
-        if skip_same_id:
-            joined = joined.where("qid != tid")
-        d = sum(((F.col(c) - F.col(f"t{c}")) ** 2 for c in XYZ[1:]), (F.col("x") - F.col("tx")) ** 2)
-        near = joined.select("qid", "tid", F.sqrt(d).alias("distance"))
-        if k == 1:  # pre-aggregated, without a sort
-            top = near.groupBy("qid").agg(F.min(F.struct("distance", "tid")).alias("best")).select("qid", "best.tid", "best.distance", F.lit(1).alias("rank"))
-        else:
-            w = Window.partitionBy("qid").orderBy("distance", "tid")
-            top = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        sure = top.where(F.col("distance") <= min(most, size if not last else math.inf))
-        enough = sure.groupBy("qid").agg(F.count("*").alias("__n"))
-        if last:
-            found = sure
-            return found.select("qid", "rank", "tid", "distance") if done is None else done.unionByName(found.select("qid", "rank", "tid", "distance"))
-        full = enough.where(F.col("__n") >= least).select("qid")
-        found = written(sure.join(full, "qid").select("qid", "rank", "tid", "distance"))
-        done = found if done is None else done.unionByName(found)
-        left = left.join(found.select("qid").distinct(), "qid", "left_anti")
-        if left.isEmpty():
-            return done
-        size *= 2
+    tree = octree.grow(targets, k + skip_same_id, key)
+    if tree is None:
+        return clean_points(queries).limit(0).select(F.col("id").cast("long").alias("qid"), F.lit(0).alias("rank"), F.col("id").cast("long").alias("tid"), F.lit(0.0).alias("distance"))
+    return octree.search(queries, tree, k, most, skip_same_id, key)
 
 
 def snap_points(picks: DataFrame, points: DataFrame) -> DataFrame:
@@ -91,6 +31,13 @@ def snap_points(picks: DataFrame, points: DataFrame) -> DataFrame:
     return out.select("id", *[F.coalesce(f"s{c}", c).alias(c) for c in XYZ], "tid", "distance")
 
 
+def region_spacing(points: DataFrame, key: str) -> DataFrame:
+    """The median distance to the nearest other point of the same region; zero distances are left out."""
+    found = nearest(points, points, skip_same_id=True, key=key).where(F.col("distance") * F.col("distance") > 1e-12)
+    regions = clean_points(points).select(F.col("id").alias("qid"), key)
+    return found.join(regions, "qid").groupBy(key).agg(F.median("distance").alias("spacing"))
+
+
 def point_spacing(points: DataFrame, sample: int | None = None) -> DataFrame:
     """The median distance to the nearest other point, from all points or a stride sample of so many (3,000 for a quick figure); zero distances are left out."""
     asked = points if sample is None else stride_sample(clean_points(points), ["id"], sample)
@@ -99,9 +46,9 @@ def point_spacing(points: DataFrame, sample: int | None = None) -> DataFrame:
 
 
 def statistical_outliers(points: DataFrame, k: int, m: float) -> DataFrame:
-    """Adds ``mean_distance`` to the k nearest others and ``outlier``: above the mean by m sample deviations."""
-    if k < 2 or m <= 0:
-        raise ValueError("k must be at least 2 and m positive")
+    """Adds ``mean_distance`` to the k nearest others and ``outlier``: above the mean by m sample deviations; k is 2 to n - 1."""
+    if k < 2 or m <= 0 or k > clean_points(points).count() - 1:
+        raise ValueError("k must be 2 to the number of other points, and m positive")
     means = nearest(points, points, k, skip_same_id=True).groupBy("qid").agg(F.avg("distance").alias("mean_distance")).withColumnRenamed("qid", "id")
     limit = means.agg((F.avg("mean_distance") + float(m) * F.stddev_samp("mean_distance")).alias("__limit"))  # one row
     return points.join(means, "id").join(F.broadcast(limit)).withColumn("outlier", F.col("mean_distance") > F.col("__limit")).drop("__limit")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compare as C
+from ..operators import fits
 from ..operators import neighbors as N
 from .tables import SMALL_POINTS, rounded, small_points
 
@@ -38,6 +39,19 @@ def point_spacing(spark, sf_dir):
     return rounded(N.point_spacing(_pts(spark, sf_dir), None))
 
 
+def _regions(spark, sf_dir):
+    """Points in regions by label."""
+    return small_points(spark, sf_dir).select(F.col("ordinal").alias("id"), "x", "y", "z", (F.col("frame_id") % 5).alias("region"))
+
+
+def region_report(spark, sf_dir):
+    """Every region's figures, spacing, box and plane; the plane as the share of its normal that is checked by SQL: its length."""
+    r = fits.region_report(_regions(spark, sf_dir), ["region"])
+    normal = F.sqrt(F.col("plane_nx") ** 2 + F.col("plane_ny") ** 2 + F.col("plane_nz") ** 2)
+    through = F.abs(F.col("plane_nx") * F.col("mean_x") + F.col("plane_ny") * F.col("mean_y") + F.col("plane_nz") * F.col("mean_z") + F.col("plane_d"))
+    return rounded(r.select("region", "n", "min_x", "max_x", "mean_z", "std_z", "per_area", "per_volume", "spacing", "box_points_used", normal.alias("normal_length"), through.alias("centre_off_plane")), 5)
+
+
 def statistical_outliers(spark, sf_dir):
     return rounded(N.statistical_outliers(_pts(spark, sf_dir), 8, 1.0).select("id", "mean_distance", "outlier"))
 
@@ -65,7 +79,7 @@ def icp_align(spark, sf_dir):
     return found.select("id", "tid", F.round("distance", 3).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (nearest_distance, knn, snap_points, point_spacing, statistical_outliers, distance_stats, dominant_plane, compare_clouds, icp_align)}
+QUERIES = {f.__name__: f for f in (nearest_distance, knn, snap_points, point_spacing, region_report, statistical_outliers, distance_stats, dominant_plane, compare_clouds, icp_align)}
 
 _D = "sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2)"
 _NEAR = f"n AS (SELECT a.ordinal AS qid, b.ordinal AS tid, {_D} AS d, row_number() OVER (PARTITION BY a.ordinal ORDER BY {_D}, b.ordinal) AS r FROM p a JOIN p b ON a.ordinal % 2 = 1 AND b.ordinal % 2 = 0)"
@@ -78,6 +92,12 @@ ORACLES = {
 n AS (SELECT a.ordinal AS id, b.ordinal AS tid, b.x, b.y, b.z, {_D} AS d, row_number() OVER (PARTITION BY a.ordinal ORDER BY {_D}, b.ordinal) AS r FROM a JOIN p b ON b.ordinal % 2 = 0)
 SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, tid, round(d, 6) AS distance FROM n WHERE r = 1""",
     "point_spacing": f"WITH {SMALL_POINTS}, {_KNN} SELECT round(median(d), 6) AS spacing FROM n WHERE r = 1 AND d * d > 1e-12",
+    "region_report": f"""WITH {SMALL_POINTS}, q AS (SELECT *, frame_id % 5 AS region FROM p),
+d AS (SELECT a.region, a.ordinal, min({_D}) AS d FROM q a JOIN q b ON a.region = b.region AND a.ordinal <> b.ordinal GROUP BY 1, 2),
+s AS (SELECT region, median(d) AS spacing FROM d WHERE d * d > 1e-12 GROUP BY 1),
+r AS (SELECT region, count(*) AS n, min(x) AS min_x, max(x) AS max_x, avg(z) AS mean_z, stddev_pop(z) AS std_z, (max(x) - min(x)) * (max(y) - min(y)) AS area, max(z) - min(z) AS h FROM q GROUP BY 1)
+SELECT region, n, round(min_x, 5) AS min_x, round(max_x, 5) AS max_x, round(mean_z, 5) AS mean_z, round(std_z, 5) AS std_z, round(n / area, 5) AS per_area, round(n / (area * h), 5) AS per_volume,
+round(spacing, 5) AS spacing, n AS box_points_used, 1.0::DOUBLE AS normal_length, 0.0::DOUBLE AS centre_off_plane FROM r JOIN s USING (region)""",
     "statistical_outliers": f"""WITH {SMALL_POINTS}, {_KNN}, m AS (SELECT qid, avg(d) AS m FROM n WHERE r <= 8 GROUP BY 1)
 SELECT qid AS id, round(m, 6) AS mean_distance, m > (SELECT avg(m) + stddev_samp(m) FROM m) AS outlier FROM m""",
     "distance_stats": f"WITH {SMALL_POINTS}, {_NEAR} SELECT {_STATS} FROM n WHERE r = 1",
