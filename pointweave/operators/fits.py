@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .neighbors import region_spacing
 from .points import XYZ, Polygon, clean_points
+from .sequences import keyed_quantiles
 
 _PAIRS = [(a, b) for i, a in enumerate(XYZ) for b in XYZ[i:]]
 
@@ -66,8 +67,7 @@ def oriented_box(points: DataFrame, keys: Sequence[str] = ("cloud_id",), crop_fr
     """The oriented bounds of whole clouds: cropped to quantiles 0.1 % to 99.9 %, axes by covariance, trimmed by 0.5 %."""
     keys = list(keys)
     good = clean_points(points).select(*keys, *XYZ)
-    p = F.array(F.lit(0.001), F.lit(0.999))
-    edge = good.groupBy(*keys).agg(F.count("*").alias("all"), *[F.percentile(c, p).alias(f"p{c}") for c in XYZ])
+    edge = keyed_quantiles(good, keys, {f"p{c}": (F.col(c), (0.001, 0.999)) for c in XYZ}).join(good.groupBy(*keys).agg(F.count("*").alias("all")), keys)
     inside = F.lit(True)
     for c in XYZ:
         inside = inside & F.col(c).between(F.col(f"p{c}")[0], F.col(f"p{c}")[1])
@@ -86,10 +86,9 @@ def oriented_box_region(points: DataFrame, keys: Sequence[str] = ("cloud_id",),
 def _boxes(used: DataFrame, keys: list[str], trim_from: int, region: bool = False) -> DataFrame:
     axes = used.groupBy(*keys).agg(F.count("*").alias("points_used"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_samp("x", "x").alias("a"), F.covar_samp("x", "y").alias("b"), F.covar_samp("y", "y").alias("c"))
     axes = axes.where("points_used >= 3").withColumn("angle", _principal(F.col("a"), F.col("b"), F.col("c"))).drop("a", "b", "c")
-    p = F.array(F.lit(0.005), F.lit(0.995))
-    out = _projected(used, keys, axes).groupBy(*keys, "points_used", "mx", "my", "angle").agg(
-        *[F.percentile(c, p).alias(f"p{c}") for c in ("u", "v", "z")], *[F.array(F.min(c), F.max(c)).alias(f"r{c}") for c in ("u", "v", "z")]
-    )
+    turned = _projected(used, keys, axes)
+    out = turned.groupBy(*keys, "points_used", "mx", "my", "angle").agg(*[F.array(F.min(c), F.max(c)).alias(f"r{c}") for c in ("u", "v", "z")])
+    out = out.join(keyed_quantiles(turned, keys, {f"p{c}": (F.col(c), (0.005, 0.995)) for c in ("u", "v", "z")}), keys)
     span = {c: F.when(F.col("points_used") >= trim_from, F.col(f"p{c}")).otherwise(F.col(f"r{c}")) for c in ("u", "v", "z")}
     size = {c: s[1] - s[0] for c, s in span.items()}
     mid = {c: (s[1] + s[0]) / 2 for c, s in span.items()}

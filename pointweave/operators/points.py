@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import cell, finite
 from ..functions.vectors import affine
+from .sequences import keyed_quantiles
 
 XYZ = ("x", "y", "z")
 #: Colour of points without one (fixed values).
@@ -301,8 +302,7 @@ def cloud_stats(points: DataFrame, keys: Sequence[str] = ("cloud_id",)) -> DataF
 
 def robust_bounds(points: DataFrame, keys: Sequence[str] = ("cloud_id",), low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Quantile bounds of each axis, interpolated."""
-    p = F.array(F.lit(low), F.lit(high))
-    out = clean_points(points).groupBy(*keys).agg(*[F.percentile(c, p).alias(c) for c in XYZ])
+    out = keyed_quantiles(clean_points(points), keys, {c: (F.col(c), (low, high)) for c in XYZ})
     return out.select(*keys, *[F.col(c)[i].alias(f"{side}_{c}") for c in XYZ for i, side in enumerate(("low", "high"))])
 
 

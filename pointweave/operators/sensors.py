@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import array_median, finite, significant
 from ..functions.telemetry import payload_signature
 from ..functions.vectors import magnitude, minus, valid_quaternion, valid_vector
-from .sequences import longest_runs
+from .sequences import keyed_quantiles, longest_runs
 
 KEYS = ("bag_id", "topic")
 FLAGS = ("invalid", "empty", "malformed", "saturated")
@@ -109,9 +109,10 @@ def scalar_summary(values: DataFrame) -> DataFrame:
     """``bag_id, topic, metric, value`` to samples, invalid, range, mean, median, p95 and MAD by metric; nulls don't count."""
     keys = [*KEYS, "metric"]
     v = values.where(F.col("value").isNotNull()).withColumn("good", F.when(finite(F.col("value")), F.col("value")))
-    first = v.groupBy(*keys).agg(F.count("good").alias("samples"), F.count_if(F.col("good").isNull()).alias("invalid"), F.min("good").alias("min"), F.max("good").alias("max"), F.avg("good").alias("mean"), F.median("good").alias("median"), F.percentile("good", F.lit(0.95)).alias("p95"))
-    mad = v.join(first.select(*keys, "median"), keys).groupBy(*keys).agg(F.median(F.abs(F.col("good") - F.col("median"))).alias("mad"))
-    return first.join(mad, keys)
+    first = v.groupBy(*keys).agg(F.count("good").alias("samples"), F.count_if(F.col("good").isNull()).alias("invalid"), F.min("good").alias("min"), F.max("good").alias("max"), F.avg("good").alias("mean"))
+    p = keyed_quantiles(v, keys, {"p": (F.col("good"), (0.5, 0.95))}).select(*keys, F.col("p")[0].alias("median"), F.col("p")[1].alias("p95"))
+    mad = keyed_quantiles(v.join(p, keys), keys, {"mad": (F.abs(F.col("good") - F.col("median")), (0.5,))}).select(*keys, F.col("mad")[0].alias("mad"))
+    return first.join(p, keys, "left").join(mad, keys, "left")
 
 
 def long_metrics(features: DataFrame) -> DataFrame:

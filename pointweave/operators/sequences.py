@@ -101,6 +101,47 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float]) -
     return asked.join(low, "low").join(high, "high").select("p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias(value))
 
 
+#: One part in so many is the error of the sketch that brackets a quantile.
+SKETCH = 10_000
+
+
+def keyed_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Column, Sequence[float]]]) -> DataFrame:
+    """Exact quantiles by key, interpolated at p * (n - 1): a column of each name, an array in the order of its probabilities.
+
+    ``wanted`` names columns with their probabilities; nulls don't count, and keys without any value have no row.  A sketch brackets
+    each quantile; then rows below the bracket are counted, and only the different values inside it (a few in SKETCH of a key's
+    rows) are put in order.  So no task holds the values of a key, however many it has.
+    """
+    keys = list(keys)
+    names = list(wanted)
+    values = [c.cast("double").alias(f"v{i}") for i, (c, _) in enumerate(wanted.values())]
+    v = df.select(*keys, *values)
+    margin, edges = 2.0 / SKETCH, []
+    for i, (_, probabilities) in enumerate(wanted.values()):
+        around = [min(1.0, max(0.0, p + side * margin)) for p in probabilities for side in (-1, 1)]
+        edges += [F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", around, SKETCH).alias(f"e{i}")]
+    known = v.groupBy(*keys).agg(*edges)
+    asked = []
+    for i, (_, probabilities) in enumerate(wanted.values()):
+        for j, p in enumerate(probabilities):
+            at = F.lit(float(p)) * (F.col(f"n{i}") - 1)
+            asked.append(F.when(F.col(f"n{i}") > 0, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"e{i}")[2 * j].alias("low"), F.col(f"e{i}")[2 * j + 1].alias("high"), at.alias("at"))))
+    known = known.select(*keys, F.array_compact(F.array(*asked)).alias("asked"))
+    value = F.get(F.array(*[f"v{i}" for i in range(len(names))]), F.col("a.i"))
+    each = v.join(known, keys).select("*", F.explode("asked").alias("a")).withColumn("x", value).where(F.col("x").isNotNull())
+    side = F.when(F.col("x") < F.col("a.low"), -1).when(F.col("x") > F.col("a.high"), 1).otherwise(0)
+    each = each.select(*keys, F.col("a.i").alias("i"), F.col("a.j").alias("j"), F.col("a.at").alias("at"), side.alias("side"), "x")
+    # all below the bracket are one row with their greatest value, all above one with their least: next to it, if it is that narrow
+    counted = each.groupBy(*keys, "i", "j", "at", "side", F.when(F.col("side") == 0, F.col("x")).alias("inside")).agg(F.count("*").alias("c"), F.min("x").alias("least"), F.max("x").alias("most"))
+    counted = counted.withColumn("x", F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least")))
+    upto = F.sum("c").over(Window.partitionBy(*keys, "i", "j", "at").orderBy("side", "x"))
+    first = counted.withColumn("upto", upto).groupBy(*keys, "i", "j", "at").agg(*[F.min(F.when(F.col("upto") > f("at"), F.col("x"))).alias(c) for c, f in (("a", F.floor), ("b", F.ceil))])
+    part = F.col("at") - F.floor("at")
+    found = F.struct("j", (F.col("a") + (F.col("b") - F.col("a")) * part).alias("x"))
+    arrays = [F.transform(F.array_sort(F.collect_list(F.when(F.col("i") == i, found))), lambda x: x["x"]) for i in range(len(names))]
+    return first.groupBy(*keys).agg(*[F.when(F.size(a) > 0, a).alias(n) for n, a in zip(names, arrays, strict=True)])
+
+
 def last_in_window(df: DataFrame, keys: Sequence[str], order: str, value: Column, rows: int) -> Column:
     """The sum of a value over the last so many rows."""
     return F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-rows + 1, 0))

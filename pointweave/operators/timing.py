@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import telemetry as T
-from .sequences import intervals
+from .sequences import intervals, keyed_quantiles
 
 MS = 1e6
 #: Lag medians from here on, in ms, mean that two clocks have nothing to do with each other.
@@ -27,17 +27,18 @@ def interval_summary(df: DataFrame, keys: Sequence[str] = ("bag_id", "topic"), o
     first = timed.groupBy(*keys).agg(
         F.count("*").alias("message_count"), F.min(time).alias("first_ns"), F.max(time).alias("last_ns"),
         F.count_if(dt == 0).alias("duplicates"), F.count_if(dt < 0).alias("reversals"), F.max(positive).alias("max_gap"),
-        F.percentile(positive, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"),
     )
+    first = first.join(keyed_quantiles(timed, keys, {"p": (positive, (0.5, 0.95, 0.99))}), keys, "left")
     m = F.col("median")
     edge = m * max(1.1, gap_factor)
     placed = timed.where(dt > 0).join(first.select(*keys, F.get("p", F.lit(0)).alias("median")), keys)
     regular = F.when(dt <= edge, dt)
     second = placed.groupBy(*keys).agg(
-        F.avg(regular).alias("mean"), F.stddev_pop(regular).alias("std"), F.percentile(F.when(dt <= edge, F.abs(dt - m)), F.lit(0.95)).alias("p95_jitter"),
+        F.avg(regular).alias("mean"), F.stddev_pop(regular).alias("std"),
         F.count_if(dt > edge).alias("gap_count"), F.sum(F.when(dt > edge, F.greatest(F.lit(1.0), F.bround(dt / m, 0) - 1)).otherwise(0.0)).cast("long").alias("estimated_drops"),
     )
-    both = first.join(second, keys, "left").withColumns({"gap_count": F.coalesce("gap_count", F.lit(0)), "estimated_drops": F.coalesce("estimated_drops", F.lit(0))})
+    jitter = keyed_quantiles(placed, keys, {"p95_jitter": (F.when(dt <= edge, F.abs(dt - m)), (0.95,))}).withColumn("p95_jitter", F.col("p95_jitter")[0])
+    both = first.join(second, keys, "left").join(jitter, keys, "left").withColumns({"gap_count": F.coalesce("gap_count", F.lit(0)), "estimated_drops": F.coalesce("estimated_drops", F.lit(0))})
     duration = F.col("last_ns") - F.col("first_ns")
     n, drops = F.col("message_count"), F.col("estimated_drops")
     p = [F.get("p", F.lit(i)) for i in range(3)]
@@ -67,9 +68,12 @@ def header_lag(df: DataFrame, keys: Sequence[str] = ("bag_id", "topic"), order:
     back = intervals(rows.where("h is not null"), keys, order, "h").groupBy(*keys).agg(F.count_if(F.col("dt") < 0).alias("backward_stamps"))
     first = rows.groupBy(*keys).agg(
         F.count("*").alias("decoded"), F.count("h").alias("valid"), F.count_if(F.col("h").isNull()).alias("missing_or_zero"),
-        F.avg("lag").alias("lag_mean_ms"), F.median("lag").alias("lag_median_ms"), F.percentile(F.abs("lag"), F.lit(0.95)).alias("lag_p95_abs_ms"), F.max(F.abs("lag")).alias("lag_max_abs_ms"),
+        F.avg("lag").alias("lag_mean_ms"), F.max(F.abs("lag")).alias("lag_max_abs_ms"),
     )
-    rest = rows.join(first.select(*keys, "lag_median_ms"), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("lag") - F.col("lag_median_ms")), F.lit(0.95)).alias("lag_p95_residual_ms"))
+    middle = keyed_quantiles(rows, keys, {"m": (F.col("lag"), (0.5,)), "a": (F.abs("lag"), (0.95,))})
+    middle = middle.select(*keys, F.col("m")[0].alias("lag_median_ms"), F.col("a")[0].alias("lag_p95_abs_ms"))
+    first = first.join(middle, keys, "left")
+    rest = keyed_quantiles(rows.join(middle, keys), keys, {"r": (F.abs(F.col("lag") - F.col("lag_median_ms")), (0.95,))}).select(*keys, F.col("r")[0].alias("lag_p95_residual_ms"))
     relation = F.when(F.col("valid") == 0, "unknown").when(F.abs("lag_median_ms") >= SEPARATE_EPOCH_MS, "separate_epoch").otherwise("aligned")
     return first.join(back, keys, "left").join(rest, keys, "left").withColumns({"backward_stamps": F.coalesce("backward_stamps", F.lit(0)), "clock_relation": relation})
 

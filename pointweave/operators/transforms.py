@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -10,6 +10,7 @@ from ..session import shared_folder
 from ..functions.numeric import finite
 from ..functions.telemetry import frame_name
 from ..functions.vectors import magnitude, minus, quaternion_angle, vec
+from .sequences import keyed_quantiles
 
 EDGE = ("bag_id", "parent", "child", "is_static")
 STATIC_MOVE, STATIC_TURN = 1e-5, 0.01
@@ -42,19 +43,22 @@ def steps(transforms: DataFrame) -> DataFrame:
 
 def edge_summary(transforms: DataFrame) -> DataFrame:
     """Path, steps, periods, gaps, speed and faults of every edge."""
-    def p95(c: str) -> Column:
-        return F.percentile(c, F.lit(0.95))
-
     ends = F.struct("t", "q")
     at = F.struct("seq", "ts")
-    out = steps(transforms).groupBy(*EDGE).agg(
+    rows = steps(transforms)
+    out = rows.groupBy(*EDGE).agg(
         F.count("*").alias("samples"), F.min_by(ends, at).alias("a"), F.max_by(ends, at).alias("b"), F.coalesce(F.sum("step_m"), F.lit(0.0)).alias("path_m"),
-        F.coalesce(F.median("step_m"), F.lit(0.0)).alias("median_step_m"), p95("step_m").alias("p95_step_m"), F.coalesce(F.max("step_m"), F.lit(0.0)).alias("max_step_m"),
-        F.coalesce(F.median("step_deg"), F.lit(0.0)).alias("median_step_deg"), p95("step_deg").alias("p95_step_deg"), F.coalesce(F.max("step_deg"), F.lit(0.0)).alias("max_step_deg"),
-        F.count("step_m").alias("step_count"), p95("norm_error").alias("p95_norm_error"), F.median(F.when(F.col("dt") > 0, F.col("dt"))).alias("m"), F.max(F.when(F.col("dt") > 0, F.col("dt"))).alias("g"),
+        F.coalesce(F.max("step_m"), F.lit(0.0)).alias("max_step_m"), F.coalesce(F.max("step_deg"), F.lit(0.0)).alias("max_step_deg"),
+        F.count("step_m").alias("step_count"), F.max(F.when(F.col("dt") > 0, F.col("dt"))).alias("g"),
         F.coalesce(F.max("speed_mps"), F.lit(0.0)).alias("max_speed_mps"), F.count_if(F.col("dt") < 0).alias("reversals"),
         F.count_if(F.col("is_static") & ((F.col("step_m") > STATIC_MOVE) | (F.col("step_deg") > STATIC_TURN))).alias("static_changes"),
     )
+    p = keyed_quantiles(rows, EDGE, {"p_m": (F.col("step_m"), (0.5, 0.95)), "p_deg": (F.col("step_deg"), (0.5, 0.95)), "p_norm": (F.col("norm_error"), (0.95,)), "p_dt": (F.when(F.col("dt") > 0, F.col("dt")), (0.5,))})
+    p = p.select(
+        *EDGE, F.col("p_m")[0].alias("median_step_m"), F.col("p_m")[1].alias("p95_step_m"), F.col("p_deg")[0].alias("median_step_deg"), F.col("p_deg")[1].alias("p95_step_deg"),
+        F.col("p_norm")[0].alias("p95_norm_error"), F.col("p_dt")[0].alias("m"),
+    )
+    out = out.join(p, list(EDGE), "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("median_step_m", "median_step_deg")})
     bad = _typed(transforms).groupBy(*EDGE).agg(F.count_if(~F.col("good")).alias("invalid"))
     out = bad.join(out, list(EDGE), "left").withColumns({"samples": F.coalesce("samples", F.lit(0)), "net_m": magnitude(minus(F.col("b.t"), F.col("a.t"))), "net_deg": quaternion_angle(F.col("a.q"), F.col("b.q")), "median_period_ms": F.col("m") / 1e6, "max_gap_ms": F.col("g") / 1e6})
     return out.drop("a", "b", "m", "g")
