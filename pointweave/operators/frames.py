@@ -7,26 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequences import time_reversals
+from .sequences import BUCKET_ROWS, last_and_next, moving_sums, running_sums, time_reversals, with_previous
 
 
-def _by_frame(*more: str):
-    return Window.partitionBy("cloud_id").orderBy("frame_idx", *more)
-
-
-def point_offsets(frames: DataFrame) -> DataFrame:
+def point_offsets(frames: DataFrame, bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
     """Adds the number of points in all earlier frames."""
-    return frames.withColumn("point_offset", F.coalesce(F.sum("point_count").over(_by_frame().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = running_sums(frames, ["cloud_id"], "frame_idx", {"point_offset": F.col("point_count")}, bucket_rows)
+    return out.withColumn("point_offset", F.col("point_offset") - F.coalesce("point_count", F.lit(0)))
 
 
 def relative_time(frames: DataFrame) -> DataFrame:
-    return frames.withColumn("relative_s", F.col("ts_s") - F.first("ts_s").over(_by_frame()))
+    """Adds the time since the first frame."""
+    first = frames.groupBy("cloud_id").agg(F.min_by("ts_s", "frame_idx").alias("__first"))
+    return frames.join(first, "cloud_id").withColumn("relative_s", F.col("ts_s") - F.col("__first")).drop("__first")
 
 
-def sliding_points(frames: DataFrame, last: int = 150) -> DataFrame:
+def sliding_points(frames: DataFrame, last: int = 150, bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
     """Points shown at each frame: its own, the last so many frames', and all so far."""
-    w = _by_frame()
-    return frames.withColumns({"single": F.col("point_count"), "window": F.sum("point_count").over(w.rowsBetween(-last + 1, 0)), "all": F.sum("point_count").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    out = frames.withColumn("single", F.col("point_count"))
+    out = moving_sums(out, ["cloud_id"], "frame_idx", {"window": F.col("point_count")}, last, bucket_rows)
+    return running_sums(out, ["cloud_id"], "frame_idx", {"all": F.col("point_count")}, bucket_rows)
 
 
 def frames_in_window(points: DataFrame, frame_idx: int, last: int | None = 150) -> DataFrame:
@@ -43,16 +43,16 @@ def frame_totals(frames: DataFrame, poses: DataFrame, images: DataFrame) -> Data
     return out.join(time_reversals(frames, ["cloud_id"], "frame_idx", "ts_s"), "cloud_id", "left").fillna(0, ["poses", "images", "time_reversals"])
 
 
-def asof_nearest(frames: DataFrame, images: DataFrame, keys: Sequence[str] = ("cloud_id",)) -> DataFrame:
-    """Each frame with the image of least time difference, ties to the lower index; no cross join."""
+def asof_nearest(frames: DataFrame, images: DataFrame, keys: Sequence[str] = ("cloud_id",), width: float | None = 3600.0) -> DataFrame:
+    """Each frame with the image of least time difference, ties to the lower index; no cross join.
+
+    Times are searched in segments of ``width`` seconds, so that one long session spreads over tasks.
+    """
     keys = list(keys)
     first = images.groupBy(*keys, "ts_s").agg(F.min("idx").alias("idx"))
     empty = F.lit(None).cast(first.schema["idx"].dataType)
     both = frames.select(*keys, "ts_s", "frame_idx", empty.alias("idx")).unionByName(first.select(*keys, "ts_s", F.lit(None).cast(frames.schema["frame_idx"].dataType).alias("frame_idx"), "idx"))
-    at = F.when(F.col("idx").isNotNull(), F.struct("ts_s", "idx"))
-    w = Window.partitionBy(*keys).orderBy("ts_s")
-    # equal times: RANGE frames see the image whatever the order of the two rows
-    marked = both.withColumns({"before": F.last(at, True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "after": F.first(at, True).over(w.rangeBetween(0, Window.unboundedFollowing))})
+    marked = last_and_next(both, keys, "ts_s", F.when(F.col("idx").isNotNull(), F.struct("ts_s", "idx")), width)
     options = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("ts_s") - F.col(f"{c}.ts_s")).alias("dt"), F.col(f"{c}.idx").alias("idx"))) for c in ("before", "after")]))
     best = F.array_min(options)
     return marked.where(F.col("frame_idx").isNotNull()).select(*keys, "frame_idx", best["idx"].alias("image_idx"), (best["dt"] * 1000).alias("delta_ms"))
@@ -71,11 +71,20 @@ def companion_missing(sessions: DataFrame, present: DataFrame, required: Sequenc
     return wanted.join(present.select("cloud_id", "name"), ["cloud_id", "name"], "left_anti").groupBy("cloud_id").agg(F.array_sort(F.collect_list("name")).alias("missing"))
 
 
-def update_rate(frames: DataFrame, keep: float = 0.65) -> DataFrame:
-    """The smoothed update rate of each session: ``keep`` of the old rate and the rest of the newest one."""
-    ordered = F.array_sort(F.collect_list(F.struct("frame_idx", "ts_s")))
-    step = F.aggregate(
-        "f", F.struct(F.lit(None).cast("double").alias("t"), F.lit(0.0).alias("r")),
-        lambda a, x: F.struct(x["ts_s"].alias("t"), F.when(a["t"].isNull() | (x["ts_s"] <= a["t"]), a["r"]).when(a["r"] == 0, 1 / (x["ts_s"] - a["t"])).otherwise(keep * a["r"] + (1 - keep) / (x["ts_s"] - a["t"])).alias("r")), lambda a: a["r"],
+def update_rate(frames: DataFrame, keep: float = 0.65, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The smoothed update rate of each session: ``keep`` of the old rate and the rest of the newest one; 0 without a step in time.
+
+    Each step forward in time maps a rate r to ``keep * r + (1 - keep) / dt``.  Steps of a segment are one such map, a product of
+    decays and a weighted sum, and the maps of a session's segments compose in order; the first rate is that of the first step.
+    """
+    dt = F.col("ts_s") - F.col("__t")
+    steps = with_previous(frames.select("cloud_id", "frame_idx", "ts_s"), ["cloud_id"], "frame_idx", {"__t": "ts_s"}, bucket_rows)
+    steps = steps.where(dt > 0).select("cloud_id", "frame_idx", (1 / dt).alias("rate"), F.floor(F.col("frame_idx") / bucket_rows).alias("bucket"))
+    later = F.row_number().over(Window.partitionBy("cloud_id", "bucket").orderBy(F.desc("frame_idx"))) - 1
+    maps = steps.withColumn("w", F.pow(F.lit(keep), later)).groupBy("cloud_id", "bucket").agg(
+        F.pow(F.lit(keep), F.count("*")).alias("decay"), ((1 - keep) * F.sum(F.col("rate") * F.col("w"))).alias("add"), F.min_by("rate", "frame_idx").alias("first"),
     )
-    return frames.groupBy("cloud_id").agg(ordered.alias("f")).select("cloud_id", step.alias("rate_hz"))
+    # a row for each segment of a session
+    composed = maps.groupBy("cloud_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "decay", "add", "first"))).alias("m"))
+    rate = F.aggregate("m", F.col("m")[0]["first"], lambda r, x: x["decay"] * r + x["add"])
+    return frames.select("cloud_id").distinct().join(composed.select("cloud_id", rate.alias("rate_hz")), "cloud_id", "left").fillna(0.0, ["rate_hz"])

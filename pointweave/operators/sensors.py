@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import array_median, finite, significant
 from ..functions.telemetry import payload_signature
 from ..functions.vectors import magnitude, minus, valid_quaternion, valid_vector
-from .sequences import keyed_quantiles, longest_runs
+from .sequences import keyed_quantiles, longest_runs, with_previous
 
 KEYS = ("bag_id", "topic")
 FLAGS = ("invalid", "empty", "malformed", "saturated")
@@ -82,7 +82,7 @@ def image(rows: DataFrame) -> DataFrame:
 def odometry(rows: DataFrame) -> DataFrame:
     p = valid_vector(F.col("pose")["position"])
     r = rows.withColumns({"__p": p, "__g": p.isNotNull()})
-    r = r.withColumn("__before", F.lag("__p").over(Window.partitionBy(*KEYS, "__g").orderBy("seq")))
+    r = with_previous(r, [*KEYS, "__g"], "seq", {"__before": "__p"})
     return _features(r, {"position_step": magnitude(minus(F.col("__p"), F.col("__before")))}, F.when(F.col("__g"), _printed(F.array(*[F.col("__p")[k] for k in "xyz"]), 6)), invalid=~F.col("__g"))
 
 

@@ -9,31 +9,87 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-#: Rows of one key that a window holds together before it is cut into buckets.
+#: Width of a segment: rows of one key are cut into ranges of so many values of their order.
 BUCKET_ROWS = 1_000_000
 
 
-def with_previous(df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, str], bucket_rows: int | None = None) -> DataFrame:
+def _orders(order: str | Sequence[str]) -> list[str]:
+    return [order] if isinstance(order, str) else list(order)
+
+
+def _segmented(df: DataFrame, order: str | Sequence[str], bucket_rows: int) -> DataFrame:
+    """Adds ``__bucket``: the segment of the (first) order, an integer."""
+    return df.withColumn("__bucket", F.floor(F.col(_orders(order)[0]) / bucket_rows).cast("long"))
+
+
+def with_previous(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], columns: dict[str, str], bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
     """Adds the previous row's values: ``columns`` maps new names to old ones.
 
-    With ``bucket_rows`` the rows of a key are cut into ranges of ``order`` (an integer) of that width, so that one
-    huge key spreads over many tasks; the last row of each range is carried to the next one.
+    The rows of a key are cut into segments of ``bucket_rows`` values of ``order`` (an integer first), so that one
+    huge key spreads over many tasks; the last row of each segment is carried to the next one.  None: no segments.
     """
+    by = _orders(order)
     kept = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(columns.values())])
     if bucket_rows is None:
-        out = df.withColumn("__prev", F.lag(kept).over(Window.partitionBy(*keys).orderBy(order)))
+        out = df.withColumn("__prev", F.lag(kept).over(Window.partitionBy(*keys).orderBy(*by)))
     else:
-        bucket = F.floor(F.col(order) / bucket_rows).cast("long")
-        cut = df.withColumn("__bucket", bucket)
-        own = Window.partitionBy(*keys, "__bucket").orderBy(order)
-        last = cut.groupBy(*keys, "__bucket").agg(F.max_by(kept, order).alias("__last"))
+        cut = _segmented(df, order, bucket_rows)
+        own = Window.partitionBy(*keys, "__bucket").orderBy(*by)
+        last = cut.groupBy(*keys, "__bucket").agg(F.max_by(kept, F.struct(*by)).alias("__last"))
         carried = last.withColumn("__carry", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__bucket"))).drop("__last")
-        joined = cut.withColumn("__own", F.lag(kept).over(own)).join(carried, [*keys, "__bucket"])
-        out = joined.withColumn("__prev", F.coalesce("__own", "__carry")).drop("__bucket", "__own", "__carry")
+        out = _joined(cut.withColumn("__own", F.lag(kept).over(own)), carried, [*keys, "__bucket"]).withColumn("__prev", F.coalesce("__own", "__carry")).drop("__bucket", "__own", "__carry")
     return out.withColumns({new: F.col(f"__prev.p{i}") for i, new in enumerate(columns)}).drop("__prev")
 
 
-def intervals(df: DataFrame, keys: Sequence[str], order: str, time: str, bucket_rows: int | None = None) -> DataFrame:
+def _joined(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A left join by keys that may be null."""
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    on = None
+    for k, n in names.items():
+        same = F.col(k).eqNullSafe(F.col(n))
+        on = same if on is None else on & same
+    return rows.join(carried.withColumnsRenamed(names), on, "left").drop(*names.values())
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], columns: dict[str, Column], bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
+    """Adds sums of whole numbers over all rows up to each one, by key: a sum within each segment, and what earlier segments carry."""
+    by, zero = _orders(order), F.lit(0).cast("long")
+    values = {n: F.coalesce(c.cast("long"), zero) for n, c in columns.items()}
+    upto = (Window.unboundedPreceding, 0)
+    if bucket_rows is None:
+        w = Window.partitionBy(*keys).orderBy(*by).rowsBetween(*upto)
+        return df.withColumns({n: F.sum(v).over(w) for n, v in values.items()})
+    cut = _segmented(df.withColumns({f"__v{i}": v for i, v in enumerate(values.values())}), order, bucket_rows)
+    own = Window.partitionBy(*keys, "__bucket").orderBy(*by).rowsBetween(*upto)
+    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys, "__bucket").agg(*[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(values))])
+    carried = totals.select(*keys, "__bucket", *[F.coalesce(F.sum(f"__t{i}").over(earlier), zero).alias(f"__c{i}") for i in range(len(values))])
+    out = _joined(cut.withColumns({f"__s{i}": F.sum(f"__v{i}").over(own) for i in range(len(values))}), carried, [*keys, "__bucket"])
+    out = out.withColumns({n: F.col(f"__s{i}") + F.col(f"__c{i}") for i, n in enumerate(values)})
+    return out.drop("__bucket", *[f"__{c}{i}" for c in "vsc" for i in range(len(values))])
+
+
+def last_and_next(df: DataFrame, keys: Sequence[str], time: str, value: Column, width: float | None = 3600.0) -> DataFrame:
+    """Adds ``before`` and ``after``: the last value that is not null up to each row's time and the first one from it on, equal times both.
+
+    Rows are cut into segments of ``width`` of the time; each segment's first and last value are carried to the others.
+    """
+    keys = list(keys)
+    cut = df.withColumn("__value", value).withColumn("__bucket", F.lit(0).cast("long") if width is None else F.floor(F.col(time) / width).cast("long"))
+    own = Window.partitionBy(*keys, "__bucket").orderBy(time)
+    ends = cut.where(F.col("__value").isNotNull()).groupBy(*keys, "__bucket").agg(F.max_by("__value", time).alias("__last"), F.min_by("__value", time).alias("__first"))
+    every = _joined(cut.select(*keys, "__bucket").distinct(), ends, [*keys, "__bucket"])
+    buckets = Window.partitionBy(*keys).orderBy("__bucket")
+    carried = every.select(
+        *keys, "__bucket",
+        F.last("__last", True).over(buckets.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("__first", True).over(buckets.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+    )
+    marked = cut.withColumns({"before": F.last("__value", True).over(own.rangeBetween(Window.unboundedPreceding, 0)), "after": F.first("__value", True).over(own.rangeBetween(0, Window.unboundedFollowing))})
+    out = _joined(marked, carried, [*keys, "__bucket"])
+    return out.withColumns({"before": F.coalesce("before", "__before"), "after": F.coalesce("after", "__after")}).drop("__value", "__bucket", "__before", "__after")
+
+
+def intervals(df: DataFrame, keys: Sequence[str], order: str, time: str, bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
     """Adds ``dt``, the time since the previous row in recorded order, and its class."""
     out = with_previous(df, keys, order, {"__before": time}, bucket_rows)
     dt = F.col(time) - F.col("__before")
@@ -46,12 +102,15 @@ def time_reversals(df: DataFrame, keys: Sequence[str], order: str, time: str) ->
     return intervals(df, keys, order, time).groupBy(*keys).agg(F.count_if(F.col("dt") < 0).alias("time_reversals"))
 
 
-def longest_runs(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
-    """By key: repeats of the previous value and the longest run of repeats; rows of null or empty value are skipped."""
+def longest_runs(df: DataFrame, keys: Sequence[str], order: str, value: str, bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
+    """By key: repeats of the previous value and the longest run of repeats; rows of null or empty value are skipped.
+
+    A run that goes on over segments keeps its number, which is a running sum, and so is counted as one.
+    """
     some = df.where(F.col(value).isNotNull() & (F.col(value).cast("string") != ""))
-    w = Window.partitionBy(*keys).orderBy(order)
-    marked = some.withColumn("__new", (~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"))
-    runs = marked.withColumn("__run", F.sum("__new").over(w)).groupBy(*keys, "__run").agg((F.count("*") - 1).alias("repeats"))
+    marked = with_previous(some, keys, order, {"__old": value}, bucket_rows)
+    numbered = running_sums(marked, keys, order, {"__run": ~F.col(value).eqNullSafe(F.col("__old"))}, bucket_rows)
+    runs = numbered.groupBy(*keys, "__run").agg((F.count("*") - 1).alias("repeats"))
     return runs.groupBy(*keys).agg(F.sum("repeats").alias("repeated_samples"), F.max("repeats").alias("max_repeat_run"))
 
 
@@ -142,6 +201,10 @@ def keyed_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[
     return first.groupBy(*keys).agg(*[F.when(F.size(a) > 0, a).alias(n) for n, a in zip(names, arrays, strict=True)])
 
 
-def last_in_window(df: DataFrame, keys: Sequence[str], order: str, value: Column, rows: int) -> Column:
-    """The sum of a value over the last so many rows."""
-    return F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-rows + 1, 0))
+def moving_sums(df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, Column], rows: int, bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
+    """Adds sums of whole numbers over the last so many rows of a key: running sums less those of the row so many places before."""
+    keys = list(keys)
+    sums = running_sums(df, keys, order, {"__nth": F.lit(1), **columns}, bucket_rows)
+    earlier = sums.select(*keys, (F.col("__nth") + rows).alias("__nth"), *[F.col(n).alias(f"__e{i}") for i, n in enumerate(columns)])
+    out = _joined(sums, earlier, [*keys, "__nth"])
+    return out.withColumns({n: F.col(n) - F.coalesce(f"__e{i}", F.lit(0)) for i, n in enumerate(columns)}).drop("__nth", *[f"__e{i}" for i in range(len(columns))])

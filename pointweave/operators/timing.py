@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import telemetry as T
-from .sequences import intervals, keyed_quantiles
+from .sequences import BUCKET_ROWS, intervals, keyed_quantiles
 
 MS = 1e6
 #: Lag medians from here on, in ms, mean that two clocks have nothing to do with each other.
 SEPARATE_EPOCH_MS = 86_400_000.0
 
 
-def interval_summary(df: DataFrame, keys: Sequence[str] = ("bag_id", "topic"), order: str = "seq", time: str = "storage_ns", gap_factor: float = 3.0, bucket_rows: int | None = None) -> DataFrame:
+def interval_summary(df: DataFrame, keys: Sequence[str] = ("bag_id", "topic"), order: str = "seq", time: str = "storage_ns", gap_factor: float = 3.0, bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
     """Rate, period, jitter and gap figures of each topic, exact and without sampling.
 
     Jitter leaves out intervals beyond ``max(1.1, gap_factor)`` medians; those count as gaps.

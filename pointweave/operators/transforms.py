@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -10,7 +10,7 @@ from ..session import shared_folder
 from ..functions.numeric import finite
 from ..functions.telemetry import frame_name
 from ..functions.vectors import magnitude, minus, quaternion_angle, vec
-from .sequences import keyed_quantiles
+from .sequences import keyed_quantiles, with_previous
 
 EDGE = ("bag_id", "parent", "child", "is_static")
 STATIC_MOVE, STATIC_TURN = 1e-5, 0.01
@@ -33,8 +33,7 @@ def _typed(transforms: DataFrame) -> DataFrame:
 
 def steps(transforms: DataFrame) -> DataFrame:
     """Valid transforms with the move, turn, time and speed since the edge's previous one."""
-    w = Window.partitionBy(*EDGE).orderBy("seq", "ts")
-    s = _typed(transforms).where("good").withColumn("p", F.lag(F.struct("t", "q", "ts")).over(w))
+    s = with_previous(_typed(transforms).where("good").withColumn("now", F.struct("t", "q", "ts")), EDGE, ("seq", "ts"), {"p": "now"}).drop("now")
     move = F.when(F.col("p").isNotNull(), magnitude(minus(F.col("t"), F.col("p.t"))))
     turn = F.when(F.col("p").isNotNull(), quaternion_angle(F.col("p.q"), F.col("q")))
     dt = F.col("ts") - F.col("p.ts")

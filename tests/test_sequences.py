@@ -26,3 +26,39 @@ def test_keyed_quantiles_are_exact(spark, monkeypatch, sketch):
         assert np.allclose(got[k].p, np.quantile(x, probabilities), rtol=1e-12, atol=1e-12), k
         assert (got[k].q is None and not y) or math.isclose(got[k].q[0], np.median(y), rel_tol=1e-12)
     assert "none" not in got
+
+
+def rows_of(spark, n=400):
+    rng = random.Random(5)
+    rows, t = [], 0.0
+    for i in range(n):
+        t += rng.choice([0.0, 0.1, 0.25, -0.05, 3.0])
+        rows.append((rng.choice(["a", "b", None]), i * rng.choice([1, 1, 1]), round(t, 3), rng.randint(0, 9), rng.choice(["x", "x", "x", "y", None, ""])))
+    return spark.createDataFrame(rows, "cloud_id string, frame_idx long, ts_s double, point_count long, value string")
+
+
+def same(a, b):
+    return sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_segments_change_nothing(spark):
+    from pointweave.operators import frames as R
+
+    df = rows_of(spark)
+    for width in (1, 7, 100):
+        assert same(S.intervals(df, ["cloud_id"], "frame_idx", "ts_s", width), S.intervals(df, ["cloud_id"], "frame_idx", "ts_s", None))
+        assert same(S.longest_runs(df, ["cloud_id"], "frame_idx", "value", width), S.longest_runs(df, ["cloud_id"], "frame_idx", "value", None))
+        assert same(R.point_offsets(df, width), R.point_offsets(df, None))
+        assert same(R.sliding_points(df, 5, width), R.sliding_points(df, 5, None))
+    images = df.where("frame_idx % 3 = 0").select("cloud_id", F.col("frame_idx").alias("idx"), (F.col("ts_s") + 0.02).alias("ts_s"))
+    for width in (0.3, 50.0):
+        assert same(R.asof_nearest(df, images, width=width), R.asof_nearest(df, images, width=None))
+    keep, expected = 0.65, {}
+    for r in sorted((r for r in df.where("cloud_id is not null").collect()), key=lambda r: r.frame_idx):
+        t, rate = expected.get(r.cloud_id, (None, 0.0))
+        if t is not None and r.ts_s > t:
+            rate = 1 / (r.ts_s - t) if rate == 0 else keep * rate + (1 - keep) / (r.ts_s - t)
+        expected[r.cloud_id] = (r.ts_s, rate)
+    for width in (3, 1000):
+        got = {r.cloud_id: r.rate_hz for r in R.update_rate(df.where("cloud_id is not null"), keep, width).collect()}
+        assert all(math.isclose(got[k], v, rel_tol=1e-9) for k, (_, v) in expected.items()) and len(got) == 2
