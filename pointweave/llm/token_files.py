@@ -16,7 +16,7 @@ Defined results
     * null text: empty, so only the end id.  Null ids come first, in an order of their own (by text).
     * rows that share an id: by a digest of the text; repeated rows all stay.
     * a document longer than a frame has a frame of its own; its ids must fit in a row of Spark.
-    * strings of special tokens in a text are ordinary text.
+    * strings of special tokens in a text are ordinary text.  Ids are below 2^31.
     * empty input: a manifest without files, read back as no rows.  Extra columns are not read.
 """
 
@@ -45,14 +45,14 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .ngram_table import RunTable, Words
 from .tokens import slices
 
-SCHEMA = "doc_id long, start long, n_tokens long, tokens array<long>, ids_crc32 long"
+SCHEMA = "doc_id long, start long, n_tokens long, tokens array<int>, ids_crc32 long"
 MANIFEST = "_manifest.json"
 #: Ids in a data frame, from which on it is closed; bytes of a file, likewise.
 FRAME_IDS, FILE_BYTES = 1 << 16, 128 << 20
 #: Chunks of text whose ids a task remembers, and their longest one.
-REMEMBERED, REMEMBERED_BYTES = 600_000, 48
+REMEMBERED, REMEMBERED_BYTES = 400_000, 48
 #: Bytes of text that are encoded together, unless one text has more.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Magic numbers of the public formats: a skippable frame of ours, that of a seek table, and the seek table's footer.
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _FOOTER = struct.Struct("<IBI")
@@ -159,9 +159,9 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFr
         for b in batches:
             for part in slices(b, 1, SLICE):
                 flat, ends = encoder(tokenizer, end_id).encode(part.column(1))
-                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int64)))], names=["doc_id", "tokens"])
+                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))], names=["doc_id", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens array<int>")
 
 
 class FileWriter:
@@ -313,14 +313,14 @@ class TokenReader(DataSourceReader):
         return [OneFile(f["name"], f["start"], n) for f, n in zip(files, sizes, strict=True)] or [OneFile("", 0, 0)]
 
     def read(self, partition: OneFile) -> Iterator[pa.RecordBatch]:
-        kinds = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "tokens": pa.list_(pa.int64()), "ids_crc32": pa.int64()}
+        kinds = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "tokens": pa.list_(pa.int32()), "ids_crc32": pa.int64()}
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             made = {"doc_id": [r[0] for r in rows], "start": [partition.start + r[1] for r in rows], "n_tokens": [len(r[2]) // 4 for r in rows]}
             if "ids_crc32" in self.columns:
                 made["ids_crc32"] = [zlib.crc32(r[2]) for r in rows]
             if "tokens" in self.columns:
-                made["tokens"] = [np.frombuffer(r[2], "<u4").astype(np.int64) for r in rows]
+                made["tokens"] = [np.frombuffer(r[2], "<i4") for r in rows]
             return pa.record_batch([pa.array(made[c], kinds[c]) for c in self.columns], names=self.columns)
 
         if partition.name:
