@@ -176,41 +176,6 @@ def select_polygon(points: DataFrame, polygon: Polygon) -> DataFrame:
     return points.where(is_finite_point() & polygon.contains())
 
 
-def crossing_polygons(edges: DataFrame) -> DataFrame:
-    """Ids of polygons with edges that cross: ``polygon_id, nth, n, ax, ay, bx, by``, one row an edge."""
-    a, b = edges.alias("a"), edges.alias("b")
-    apart = (F.col("a.nth") < F.col("b.nth")) & (F.col("b.nth") - F.col("a.nth") != 1) & (F.col("b.nth") - F.col("a.nth") != F.col("a.n") - 1)
-
-    def side(o: str, p: str, q: Sequence[str]) -> Column:
-        """The side of edge o on which an end of edge p lies; 0 on its line."""
-        t = (F.col(f"{o}.bx") - F.col(f"{o}.ax")) * (F.col(f"{p}.{q[1]}") - F.col(f"{o}.ay")) - (F.col(f"{o}.by") - F.col(f"{o}.ay")) * (F.col(f"{p}.{q[0]}") - F.col(f"{o}.ax"))
-        return F.when(F.abs(t) <= 1e-10, 0).otherwise(F.signum(t))
-
-    def touches(o: str, p: str, q: Sequence[str]) -> Column:
-        """Whether an end of edge p lies on edge o."""
-        within = F.lit(True)
-        for c, end in zip("xy", q, strict=True):
-            within &= F.col(f"{p}.{end}").between(F.least(f"{o}.a{c}", f"{o}.b{c}"), F.greatest(f"{o}.a{c}", f"{o}.b{c}"))
-        return (side(o, p, q) == 0) & within
-
-    start, end = ("ax", "ay"), ("bx", "by")
-    crosses = (side("a", "b", start) * side("a", "b", end) < 0) & (side("b", "a", start) * side("b", "a", end) < 0)
-    for o, p in (("a", "b"), ("b", "a")):
-        crosses |= touches(o, p, start) | touches(o, p, end)
-    return a.join(b, (F.col("a.polygon_id") == F.col("b.polygon_id")) & apart).where(crosses).select(F.col("a.polygon_id").alias("polygon_id")).distinct()
-
-
-def assign_boxes(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
-    """Points with every box (``region_id, x0, y0, z0, x1, y1, z1``) that holds them, through grid cells of xy.
-
-    Boxes are entered in each cell that they touch and points in theirs, so the join has an equality.
-    """
-    touched = boxes.withColumn("__cx", F.explode(F.sequence(cell(F.col("x0"), size), cell(F.col("x1"), size)))).withColumn("__cy", F.explode(F.sequence(cell(F.col("y0"), size), cell(F.col("y1"), size))))
-    placed = clean_points(points).withColumns({"__cx": cell(F.col("x"), size), "__cy": cell(F.col("y"), size)})
-    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")) & F.col("z").between(F.col("z0"), F.col("z1"))
-    return placed.join(touched, ["__cx", "__cy"]).where(inside).select(*points.columns, "region_id")
-
-
 def shift_origin(points: DataFrame, origin: Sequence[float]) -> DataFrame:
     return points.withColumns({c: F.col(c) - float(o) for c, o in zip(XYZ, origin, strict=True)})
 

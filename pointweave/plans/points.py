@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..operators import fits as G
 from ..operators import points as O
+from ..operators import regions as Q
 from ..operators import sequences as S
 from .tables import POINTS, SMALL_POINTS, points, rounded, small_points, table
 
@@ -55,12 +56,23 @@ def select_polygon(spark, sf_dir):
     return O.select_polygon(points(spark, sf_dir), SHAPE).groupBy("cloud_id", "x", "y").agg(F.count("*").alias("n"))
 
 
+def _quads(spark, sf_dir):
+    """A polygon of four vertices, or two, for each supplier; some with a vertex twice or without a height range."""
+    k = F.col("s_suppkey")
+    corner = [F.pmod(k * m, F.lit(n)).cast("double") for m, n in ((7, 11), (5, 13), (3, 17), (11, 7), (13, 19), (17, 23), (19, 29), (23, 31))]
+    v = F.array(*[F.struct(corner[2 * i].alias("x"), corner[2 * i + 1].alias("y")) for i in range(4)])
+    return table(spark, sf_dir, "supplier").select(k.alias("polygon_id"), v.alias("vertices"))
+
+
 def polygon_validate(spark, sf_dir):
-    n = F.lit(4)
-    corner = [F.pmod(F.col("s_suppkey") * m, F.lit(k)).cast("double") for m, k in ((7, 11), (5, 13), (3, 17), (11, 7), (13, 19), (17, 23), (19, 29), (23, 31))]
-    flat = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("polygon_id"), F.array(*[F.struct(corner[2 * i].alias("x"), corner[2 * i + 1].alias("y")) for i in range(4)]).alias("v"))
-    edges = flat.select("polygon_id", "v", F.posexplode("v").alias("nth", "a")).withColumn("b", F.col("v")[F.pmod(F.col("nth") + 1, n)]).select("polygon_id", "nth", n.alias("n"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
-    return O.crossing_polygons(edges)
+    return Q.crossing_polygons(Q.edges_of(_quads(spark, sf_dir)))
+
+
+def polygon_faults(spark, sf_dir):
+    k, v = F.col("polygon_id"), F.col("vertices")
+    odd = F.when(k % 11 == 0, F.slice(v, 1, 2)).when(k % 7 == 0, F.concat(F.slice(v, 1, 2), F.slice(v, 2, 2))).otherwise(v)
+    edges = Q.edges_of(_quads(spark, sf_dir).withColumn("vertices", odd)).withColumns({"low": F.lit(0.0), "high": (k % 5).cast("double")})
+    return Q.polygon_faults(edges)
 
 
 def shift_origin(spark, sf_dir):
@@ -109,7 +121,17 @@ def assign_region(spark, sf_dir):
     k = F.col("s_suppkey")
     lows = [F.pmod(k * m, F.lit(40)).cast("double") for m in (3, 7, 11)]
     boxes = table(spark, sf_dir, "supplier").select(k.alias("region_id"), *[low.alias(f"{c}0") for c, low in zip("xyz", lows, strict=True)], *[(low + 6).alias(f"{c}1") for c, low in zip("xyz", lows, strict=True)])
-    return O.assign_boxes(points(spark, sf_dir), boxes, 8.0).groupBy("region_id").agg(F.count("*").alias("n"))
+    return Q.assign_boxes(points(spark, sf_dir), boxes).groupBy("region_id").agg(F.count("*").alias("n"))
+
+
+def assign_region_polygon(spark, sf_dir):
+    """Points by concave regions: an L of some size for each supplier, within a band of heights."""
+    k = F.col("s_suppkey")
+    a, c, low = (F.pmod(k * m, F.lit(40)).cast("double") for m in (3, 7, 11))
+    shape = F.array(*[F.struct((a + i * (1 + k % 3)).alias("x"), (c + j * (1 + k % 3)).alias("y")) for i, j in ((0, 0), (9, 0), (9, 4), (4, 4), (4, 9), (0, 9))])
+    regions = table(spark, sf_dir, "supplier").select(k.alias("region_id"), shape.alias("vertices"), low.alias("low"), (low + 30).alias("high"))
+    edges = Q.edges_of(regions, key="region_id").join(regions.drop("vertices"), "region_id")
+    return Q.assign_polygons(points(spark, sf_dir), edges).groupBy("region_id").agg(F.count("*").alias("n"), F.sum("ordinal").alias("ordinals"))
 
 
 def stride_sample(spark, sf_dir):
@@ -155,7 +177,7 @@ def split_kept_removed(spark, sf_dir):
     return kept.withColumn("part", F.lit("kept")).unionByName(removed.withColumn("part", F.lit("removed"))).groupBy("part", "cloud_id").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (clean_points, colour_normalise, intensity_to_gray, select_box, select_height, select_xy, select_polygon, polygon_validate, shift_origin, unit_convert, apply_transform, transform_from_params, heat_colour, cloud_stats, low_high_point, robust_bounds, height_histogram, voxel_downsample, assign_region, stride_sample, plane_fit, plane_fit_grouped, oriented_box_global, oriented_box_region, region_stats, elevation_profile, grid_volume, possible_cells, split_kept_removed)}
+QUERIES = {f.__name__: f for f in (clean_points, colour_normalise, intensity_to_gray, select_box, select_height, select_xy, select_polygon, polygon_validate, polygon_faults, assign_region_polygon, shift_origin, unit_convert, apply_transform, transform_from_params, heat_colour, cloud_stats, low_high_point, robust_bounds, height_histogram, voxel_downsample, assign_region, stride_sample, plane_fit, plane_fit_grouped, oriented_box_global, oriented_box_region, region_stats, elevation_profile, grid_volume, possible_cells, split_kept_removed)}
 
 _BAD = f"{POINTS}, f AS (SELECT * REPLACE (CASE WHEN ordinal % 97 = 0 THEN 'nan'::DOUBLE WHEN ordinal % 89 = 0 THEN 'inf'::DOUBLE ELSE z END AS z), ordinal % 97 <> 0 AND ordinal % 89 <> 0 AS ok FROM p)"
 _IN = "x BETWEEN 5 AND 30 AND y BETWEEN 5 AND 40 AND z BETWEEN 10 AND 60"
@@ -186,6 +208,17 @@ HAVING count(*) FILTER ((qy < ay) <> (qy < cy) AND qx < (qy - ay) * ((bx - ax) /
 OR bool_or(abs((qx - ax) * (cy - ay) - (qy - ay) * (bx - ax)) <= 1e-9 * greatest(1, sqrt((bx-ax)**2 + (cy-ay)**2)) AND (qx - ax) * (bx - ax) + (qy - ay) * (cy - ay) BETWEEN -1e-9 AND (bx-ax)**2 + (cy-ay)**2 + 1e-9))"""
 
 
+#: DuckDB's four corners of each supplier, the same with odd ones, and the polygons whose opposite edges meet.
+_QUADS = "k AS (SELECT s_suppkey AS id, [{'x': s_suppkey*7%11, 'y': s_suppkey*5%13}, {'x': s_suppkey*3%17, 'y': s_suppkey*11%7}, {'x': s_suppkey*13%19, 'y': s_suppkey*17%23}, {'x': s_suppkey*19%29, 'y': s_suppkey*23%31}] AS v FROM supplier)"
+_ODD_QUADS = _QUADS.replace("k AS", "k0 AS") + ", k AS (SELECT id, CASE WHEN id % 11 = 0 THEN v[1:2] WHEN id % 7 = 0 THEN list_concat(v[1:2], v[2:3]) ELSE v END AS v FROM k0)"
+_CROSS = """e AS (SELECT id, len(v) AS n, i, v[i + 1].x AS ax, v[i + 1].y AS ay, v[(i + 1) % len(v) + 1].x AS bx, v[(i + 1) % len(v) + 1].y AS by FROM k, range(4) r(i) WHERE i < len(v)),
+s AS (SELECT a.id, a.ax AS px, a.ay AS py, a.bx - a.ax AS rx, a.by - a.ay AS ry, b.ax AS qx, b.ay AS qy, b.bx - b.ax AS sx, b.by - b.ay AS sy FROM e a JOIN e b ON a.id = b.id AND b.i - a.i = 2),
+t AS (SELECT *, rx * sy - ry * sx AS d, (qx - px) * sy - (qy - py) * sx AS tn, (qx - px) * ry - (qy - py) * rx AS un, rx * rx + ry * ry AS rr, sx * sx + sy * sy AS ss, (qx - px) * rx + (qy - py) * ry AS t0, sx * rx + sy * ry AS dt FROM s),
+x AS (SELECT DISTINCT id AS polygon_id FROM t WHERE CASE
+    WHEN rr = 0 THEN tn = 0 AND (px - qx) * sx + (py - qy) * sy BETWEEN 0 AND ss
+    WHEN ss = 0 THEN un = 0 AND t0 BETWEEN 0 AND rr
+    WHEN d <> 0 THEN tn / d::DOUBLE BETWEEN 0 AND 1 AND un / d::DOUBLE BETWEEN 0 AND 1
+    ELSE un = 0 AND least(t0, t0 + dt) <= rr AND greatest(t0, t0 + dt) >= 0 END)"""
 _CELLS = f"g AS (SELECT i, j, 5 + (i + 0.5) * 2 AS x, 5 + (j + 0.5) * 2 AS y FROM range(20) a(i), range(20) b(j)), gc AS (SELECT i, j FROM g JOIN {_inside('g', 'x', 'y', 'qx, qy')} s ON qx = x AND qy = y)"
 _USED = f"u AS (SELECT cloud_id, greatest(0, least(19, floor((x - 5) / 2)::INT)) AS i, greatest(0, least(19, floor((y - 5) / 2)::INT)) AS j, z FROM p JOIN {_inside('p', 'x', 'y', 'qx, qy')} s ON qx = x AND qy = y)"
 _M = PLACED.matrix()
@@ -199,15 +232,12 @@ SELECT cloud_id, frame_id, floor(least(255, greatest(0, CASE WHEN unit THEN v *
     "select_height": f"WITH {_BAD} SELECT cloud_id, frame_id, count(*) AS n FROM f WHERE ok AND NOT z BETWEEN 20 AND 40 GROUP BY ALL",
     "select_xy": f"WITH {POINTS} SELECT cloud_id, frame_id, count(*) AS n FROM p WHERE x BETWEEN 10 AND 30 AND y BETWEEN 5 AND 25 GROUP BY ALL",
     "select_polygon": f"WITH {POINTS}, {_EDGES} SELECT cloud_id, x, y, count(*) AS n FROM p JOIN {_inside('p', 'x', 'y', 'qx, qy')} s ON qx = x AND qy = y WHERE z BETWEEN 10 AND 80 GROUP BY ALL",
-    "polygon_validate": """WITH k AS (SELECT s_suppkey AS id, [{'x': s_suppkey*7%11, 'y': s_suppkey*5%13}, {'x': s_suppkey*3%17, 'y': s_suppkey*11%7}, {'x': s_suppkey*13%19, 'y': s_suppkey*17%23}, {'x': s_suppkey*19%29, 'y': s_suppkey*23%31}] AS v FROM supplier),
-e AS (SELECT id, i, v[i + 1].x AS ax, v[i + 1].y AS ay, v[(i + 1) % 4 + 1].x AS bx, v[(i + 1) % 4 + 1].y AS by FROM k, range(4) r(i)),
-s AS (SELECT a.id, a.ax AS px, a.ay AS py, a.bx - a.ax AS rx, a.by - a.ay AS ry, b.ax AS qx, b.ay AS qy, b.bx - b.ax AS sx, b.by - b.ay AS sy FROM e a JOIN e b ON a.id = b.id AND b.i - a.i = 2),
-t AS (SELECT *, rx * sy - ry * sx AS d, (qx - px) * sy - (qy - py) * sx AS tn, (qx - px) * ry - (qy - py) * rx AS un, rx * rx + ry * ry AS rr, sx * sx + sy * sy AS ss, (qx - px) * rx + (qy - py) * ry AS t0, sx * rx + sy * ry AS dt FROM s)
-SELECT DISTINCT id AS polygon_id FROM t WHERE CASE
-    WHEN rr = 0 THEN tn = 0 AND (px - qx) * sx + (py - qy) * sy BETWEEN 0 AND ss
-    WHEN ss = 0 THEN un = 0 AND t0 BETWEEN 0 AND rr
-    WHEN d <> 0 THEN tn / d::DOUBLE BETWEEN 0 AND 1 AND un / d::DOUBLE BETWEEN 0 AND 1
-    ELSE un = 0 AND least(t0, t0 + dt) <= rr AND greatest(t0, t0 + dt) >= 0 END""",
+    "polygon_validate": f"WITH {_QUADS}, {_CROSS} SELECT polygon_id FROM x",
+    "polygon_faults": f"""WITH {_ODD_QUADS}, {_CROSS}, a AS (SELECT id, max(n) AS n, bool_or(ax = bx AND e.by = ay) AS twice, abs(sum(ax * e.by - bx * ay)) / 2 AS area FROM e GROUP BY 1)
+SELECT id AS polygon_id, CASE WHEN n < 3 THEN 'fewer than three vertices' WHEN id % 5 = 0 THEN 'empty height range' WHEN twice THEN 'adjacent vertices are equal' WHEN area = 0 THEN 'no area'
+    WHEN id IN (SELECT polygon_id FROM x) THEN 'edges cross' END AS fault FROM a""",
+    "assign_region_polygon": f"""WITH {POINTS}, r AS (SELECT s_suppkey AS region_id, s_suppkey * 3 % 40 AS a, s_suppkey * 7 % 40 AS c, s_suppkey * 11 % 40 AS d, 1 + s_suppkey % 3 AS f FROM supplier)
+SELECT region_id, count(*) AS n, sum(ordinal)::BIGINT AS ordinals FROM p JOIN r ON z BETWEEN d AND d + 30 AND x BETWEEN a AND a + 9 * f AND y BETWEEN c AND c + 9 * f AND (x <= a + 4 * f OR y <= c + 4 * f) GROUP BY 1""",
     "oriented_box_global": _box("cloud_id", "crop"),
     "oriented_box_region": _box("cloud_id, frame_id", "p"),
     "shift_origin": f"WITH {POINTS} SELECT cloud_id, round(max(x - 25), 6) AS x, round(max(y - 25), 6) AS y, round(max(z - 50), 6) AS z FROM p GROUP BY 1",
