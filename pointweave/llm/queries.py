@@ -109,6 +109,18 @@ def _escaped(column: str) -> str:
     return out
 
 
+def _crc32(text: str) -> str:
+    """DuckDB's CRC-32 of a text's UTF-8 bytes, half a byte at a time."""
+    table = list(range(16))
+    for _ in range(4):
+        table = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    halves = "list_transform(range(0, len(hex(encode({t}))), 1), lambda k: (strpos('0123456789ABCDEF', substr(hex(encode({t})), k + 2 - 2 * (k % 2), 1)) - 1)::BIGINT)".format(t=text)
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {halves}), lambda c, n: xor(list_extract({table}::BIGINT[], (xor(c, n) & 15) + 1), c >> 4)))"
+
+
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 ORACLES = {
     "op1_extendible_sharding": f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
@@ -168,6 +180,48 @@ l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b W
 w AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT w.a, l.b FROM w JOIN l ON w.b = l.a),
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM w GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)""",
+    "op11_importance_resampling": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all({_ASCII_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
+fd AS (SELECT doc_id, array_to_string(list_slice(w, i, i + n), ' ') AS f FROM d, range(0, 3) AS r(n), range(1, len(w) - n + 1) AS s(i)),
+fb AS (SELECT array_to_string(list_slice(w, i, i + n), ' ') AS f FROM b, range(0, 3) AS r(n), range(1, len(w) - n + 1) AS s(i)),
+k AS (SELECT f, ({_crc32("f")} % 10000)::INTEGER AS bucket FROM (SELECT f FROM fd UNION SELECT f FROM fb)),
+s AS (SELECT bucket, count(*) AS s FROM fd JOIN k USING (f) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM fb JOIN k USING (f) GROUP BY 1),
+a AS (SELECT (SELECT count(*) FROM fd) AS ns, (SELECT count(*) FROM fb) AS nt),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ns + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (nt + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (bucket), a),
+v AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS weight FROM fd JOIN k USING (f) JOIN g USING (bucket) GROUP BY 1),
+o AS (SELECT doc_id, len(w) >= 20 AS can, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN v USING (doc_id)),
+p AS (SELECT *, row_number() OVER (PARTITION BY can ORDER BY score DESC, doc_id) AS r, 5 * count(*) OVER (PARTITION BY can) // 100 AS drawn FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN can AND r <= drawn THEN r END AS rank FROM p""",
+    "op12_conversation_repair": f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM c, range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END) AS r(copy) WHERE kind <> 0),
+o AS (SELECT *, substr(role, 1, 1) AS i, rtrim(text, {_BLANKS}) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn FROM m),
+q AS (SELECT *, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 AS again,
+    coalesce(lag(i) OVER (PARTITION BY conv_id ORDER BY rn) || i NOT IN ('su', 'ua', 'au'), false) AS illegal FROM o),
+d AS (SELECT *, blank OR again AS gone, NOT blank AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS cut FROM q),
+n(s, r, t) AS (VALUES (0, 's', 1), (0, 'u', 4), (1, 'u', 4), (4, 'a', 5), (5, 'u', 4)),
+one AS (SELECT s, t FROM n WHERE r <> 's'),
+ins AS (SELECT s, s AS t, '' AS a, 0 AS c FROM (VALUES (0), (1), (4), (5)) AS z(s) UNION ALL SELECT s, t, 'I', 2 FROM one UNION ALL SELECT x.s, y.t, 'II', 4 FROM one x JOIN one y ON y.s = x.t),
+tr AS (SELECT ins.s, ins.t, NULL AS r, ins.a || 'D' AS a, ins.c + 3 AS c FROM ins
+    UNION ALL SELECT ins.s, n.t, n.r, ins.a || 'K', ins.c FROM ins JOIN n ON n.s = ins.t
+    UNION ALL SELECT ins.s, n.t, n.r, ins.a || 'R', ins.c + 2 FROM ins JOIN n ON n.s = ins.t AND n.r <> 's'),
+w AS (SELECT DISTINCT conv_id, 0::BIGINT AS rn, 0 AS s, {{'c': 0::BIGINT, 'a': ''}} AS v FROM conversations
+    UNION ALL SELECT w.conv_id, d.rn, tr.t, min({{'c': (w.v.c + tr.c + CASE WHEN d.cut AND right(tr.a, 1) <> 'D' THEN 1 ELSE 0 END)::BIGINT, 'a': w.v.a || tr.a}})
+    FROM w JOIN d ON d.conv_id IS NOT DISTINCT FROM w.conv_id AND d.rn = w.rn + 1
+    JOIN tr ON tr.s = w.s AND (tr.r IS NULL OR NOT d.gone AND CASE right(tr.a, 1) WHEN 'K' THEN tr.r = d.i ELSE true END) GROUP BY 1, 2, 3),
+z AS (SELECT w.conv_id, min({{'c': w.v.c + ins.c, 'a': w.v.a || ins.a}}) AS v FROM w JOIN ins ON ins.s = w.s AND ins.t IN (0, 5)
+    WHERE w.rn = (SELECT count(*) FROM d WHERE d.conv_id IS NOT DISTINCT FROM w.conv_id) GROUP BY 1),
+e AS (SELECT conv_id, j, substr(v.a, j, 1) AS e, len(replace(substr(v.a, 1, j), 'I', '')) AS rn, len(replace(substr(v.a, 1, j), 'D', '')) AS p FROM z, range(1, len(v.a) + 1) AS r(j)),
+f AS (SELECT e.*, d.role, d.text, max(CASE WHEN e.e = 'K' AND d.i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS has_s FROM e LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM e.conv_id AND d.rn = e.rn AND e.e <> 'I'),
+h AS (SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (p - has_s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j)) AS sha FROM f WHERE e <> 'D' GROUP BY 1),
+x AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (illegal) AS illegal FROM d GROUP BY 1)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    z.v.c AS cost, z.v.a AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM z LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM z.conv_id""",
 }
 
 
