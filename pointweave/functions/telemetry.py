@@ -27,8 +27,15 @@ def _plain(topic: Column) -> Column:
     return F.lower(F.regexp_replace(topic, "/+$", ""))
 
 
+#: Words that mark topics and types of control (fixed values); they stand between separators.
+CONTROL_WORDS = ("cmd_vel", "command", "setpoint", "control", "actuator", "motor")
+SEPARATED = r"[/_\s]"
+
+
 def is_control(topic: Column, kind: Column) -> Column:
-    return F.lower(F.concat_ws(" ", topic, kind)).rlike(r"(^|[/_\s])(cmd_vel|command|setpoint|control|actuator|motor)([/_\s]|$)")
+    """Whether a word of control stands by itself in a topic or its type."""
+    words = F.concat(F.lit(" "), F.lower(F.concat_ws(" ", topic, kind)), F.lit(" "))
+    return words.rlike(f"{SEPARATED}(?:{'|'.join(CONTROL_WORDS)}){SEPARATED}")
 
 
 def is_static(topic: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,16 +129,16 @@ def measure_rows(rows: DataFrame) -> DataFrame:
 def polygon_area(rows: DataFrame, id_col: str = "id") -> DataFrame:
     """``id, plane_area, rms, nx, ny, nz, error`` of polygons in space: area in the plane that fits their vertices best."""
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for key, vertices in zip(b[id_col], b["vertices"], strict=True):
-                p = np.array([[v["x"], v["y"], v["z"]] for v in vertices], float).reshape(-1, 3)
-                out.append((key, *_plane_area(p)))
-            yield pd.DataFrame(out, columns=[id_col, "plane_area", "rms", "nx", "ny", "nz", "error"])
+            # a missing vertex or coordinate is one that is not finite
+            found = [_plane_area(np.array([[(v or {}).get(c) for c in "xyz"] for v in own.as_py()], float).reshape(-1, 3)) for own in b.column(1)]
+            made = [pa.array([r[i] for r in found], pa.string() if n == "error" else pa.float64()) for i, n in enumerate(names)]
+            yield pa.record_batch([b.column(0), *made], names=[id_col, *names])
 
+    names = ["plane_area", "rms", "nx", "ny", "nz", "error"]
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.where(F.col("vertices").isNotNull()).select(id_col, "vertices").mapInPandas(solve, f"`{id_col}` {kind}, plane_area double, rms double, nx double, ny double, nz double, error string")
+    return rows.where(F.col("vertices").isNotNull()).select(id_col, "vertices").mapInArrow(solve, f"`{id_col}` {kind}, plane_area double, rms double, nx double, ny double, nz double, error string")
 
 
 def _plane_area(p: np.ndarray) -> tuple:

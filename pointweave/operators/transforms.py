@@ -94,6 +94,11 @@ def components(edges: DataFrame) -> DataFrame:
             return now
 
 
+def edge_order(edges: DataFrame) -> DataFrame:
+    """Edges by log, parent, child and whether they are static."""
+    return edges.orderBy("bag_id", "parent", "child", "is_static")
+
+
 def component_order(parts: DataFrame) -> DataFrame:
     """Components with their frames, largest first."""
     out = parts.groupBy("bag_id", "component").agg(F.array_sort(F.collect_set("frame")).alias("frames"))

@@ -69,3 +69,13 @@ def test_ingest_run_again_writes_nothing_twice(spark, tmp_path):
         frames = spark.readStream.schema("cloud_id string, frame_id long, data binary").parquet(f"{tmp_path}/in")
         L.ingest(frames, lambda b: b.where("data is not null").select("cloud_id", "frame_id", F.lit(1.0).alias("x")), good, bad, f"{tmp_path}/state{attempt}").awaitTermination()
     assert spark.read.parquet(good).count() == 6 and {r.frame_id for r in spark.read.parquet(bad).collect()} == {0, 3, 6}
+
+
+def test_areas_with_missing_vertices_and_large_ids(spark):
+    big = 2**53 + 1
+    square = [(0.0, 0.0, 1.0), (2.0, 0.0, 1.0), (2.0, 2.0, 1.0), (0.0, 2.0, 1.0)]
+    rows = [(big, square), (None, square), (1, [*square[:3], None]), (2, [*square[:3], (None, 1.0, 1.0)]), (3, square[:2]), (4, None)]
+    made = spark.createDataFrame(rows, "id long, vertices array<struct<x:double,y:double,z:double>>")
+    got = {r.id: (r.plane_area, r.error) for r in M.polygon_area(made).collect()}
+    fault = "fewer than three finite vertices"
+    assert got == {big: (4.0, None), None: (4.0, None), 1: (None, fault), 2: (None, fault), 3: (None, fault)}
