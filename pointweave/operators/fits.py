@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .neighbors import region_spacing
 from .points import XYZ, Polygon, clean_points
 from .sequences import keyed_quantiles
@@ -116,10 +117,12 @@ def region_stats(points: DataFrame, keys: Sequence[str] = ("cloud_id",)) -> Data
 def region_report(points: DataFrame, keys: Sequence[str] = ("cloud_id",)) -> DataFrame:
     """The figures of ``region_stats`` with each region's spacing, oriented box (``box_``) and plane (``plane_``, null on a line).
 
-    The spacing, which needs an ``id`` of the points, goes by the key if there is one, else by all keys together.
+    Points without an ``id`` are written once with numbers, so that each one's nearest is another one.
     """
     keys = list(keys)
     out = region_stats(points, keys)
+    if "id" not in points.columns:
+        points = written(points.withColumn("id", F.monotonically_increasing_id()))
     one = points.withColumn("__region", F.struct(*keys) if len(keys) > 1 else F.col(keys[0]))
     spacing = region_spacing(one.select("id", *XYZ, "__region"), "__region")
     spacing = spacing.select(*([F.col(f"__region.{k}").alias(k) for k in keys] if len(keys) > 1 else [F.col("__region").alias(keys[0])]), "spacing")
