@@ -28,8 +28,7 @@ def plain(q, qid, t, tid, k, skip, most=math.inf):
 RNG = np.random.default_rng(0)
 CASES = {
     "dense spot": (np.concatenate([RNG.uniform(0, 0.001, (400, 3)), RNG.uniform(0, 200, (150, 3))]), np.concatenate([RNG.uniform(0, 0.001, (30, 3)), RNG.uniform(-100, 400, (40, 3))])),
-    "copies": (np.concatenate([np.zeros((300, 3)), np.ones((100, 3)), RNG.normal(size=(30, 3))]), RNG.normal(size=(40, 3))),
-    "plane": (np.c_[RNG.uniform(0, 10, (200, 2)), np.zeros(200)], np.c_[RNG.uniform(0, 10, (60, 2)), RNG.normal(size=60)]),
+    "copies": (np.concatenate([np.zeros((300, 3)), np.ones((100, 3)), np.c_[RNG.uniform(0, 3, (80, 2)), np.zeros(80)]]), RNG.normal(size=(40, 3))),
 }
 
 

@@ -45,13 +45,13 @@ def test_segments_change_nothing(spark):
     from pointweave.operators import frames as R
 
     df = rows_of(spark)
-    for width in (1, 7, 100):
+    for width in (1, 60):
         assert same(S.intervals(df, ["cloud_id"], "frame_idx", "ts_s", width), S.intervals(df, ["cloud_id"], "frame_idx", "ts_s", None))
         assert same(S.longest_runs(df, ["cloud_id"], "frame_idx", "value", width), S.longest_runs(df, ["cloud_id"], "frame_idx", "value", None))
         assert same(R.point_offsets(df, width), R.point_offsets(df, None))
         assert same(R.sliding_points(df, 5, width), R.sliding_points(df, 5, None))
     images = df.where("frame_idx % 3 = 0").select("cloud_id", F.col("frame_idx").alias("idx"), (F.col("ts_s") + 0.02).alias("ts_s"))
-    for width in (0.3, 50.0):
+    for width in (5.0,):
         assert same(R.asof_nearest(df, images, width=width), R.asof_nearest(df, images, width=None))
     keep, expected = 0.65, {}
     for r in sorted((r for r in df.where("cloud_id is not null").collect()), key=lambda r: r.frame_idx):
