@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import array_median, finite, significant
 from ..functions.telemetry import payload_signature
 from ..functions.vectors import magnitude, minus, valid_quaternion, valid_vector
+from ..session import written
 from .sequences import keyed_quantiles, longest_runs, with_previous
 
 KEYS = ("bag_id", "topic")
@@ -105,25 +107,27 @@ def battery(rows: DataFrame) -> DataFrame:
 ROLES = {"imu": imu, "scan": scan, "pointcloud": pointcloud, "livox": livox, "image": image, "odometry": odometry, "joint_state": joint_state, "gnss": gnss, "battery": battery}
 
 
-def scalar_summary(values: DataFrame) -> DataFrame:
-    """``bag_id, topic, metric, value`` to samples, invalid, range, mean, median, p95 and MAD by metric; nulls don't count."""
-    keys = [*KEYS, "metric"]
-    v = values.where(F.col("value").isNotNull()).withColumn("good", F.when(finite(F.col("value")), F.col("value")))
+def scalar_summary(values: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Keys, ``metric, value`` to samples, invalid, range, mean, median, p95 and MAD by metric; nulls don't count."""
+    keys = [*keys, "metric"]
+    good = F.when(finite(F.col("value")), F.col("value")).alias("good")
+    v = written(values.where(F.col("value").isNotNull()).select(*keys, good))  # read five times
     first = v.groupBy(*keys).agg(F.count("good").alias("samples"), F.count_if(F.col("good").isNull()).alias("invalid"), F.min("good").alias("min"), F.max("good").alias("max"), F.avg("good").alias("mean"))
     p = keyed_quantiles(v, keys, {"p": (F.col("good"), (0.5, 0.95))}).select(*keys, F.col("p")[0].alias("median"), F.col("p")[1].alias("p95"))
+    p = written(p)  # a row for each key
     mad = keyed_quantiles(v.join(p, keys), keys, {"mad": (F.abs(F.col("good") - F.col("median")), (0.5,))}).select(*keys, F.col("mad")[0].alias("mad"))
     return first.join(p, keys, "left").join(mad, keys, "left")
 
 
-def long_metrics(features: DataFrame) -> DataFrame:
-    return features.select(*KEYS, "seq", F.explode("metrics").alias("metric", "value")).where(F.col("value").isNotNull())
+def long_metrics(features: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return features.select(*keys, "seq", F.explode("metrics").alias("metric", "value")).where(F.col("value").isNotNull())
 
 
-def counters(features: DataFrame) -> DataFrame:
+def counters(features: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Samples, faults and frozen runs of each topic."""
-    out = features.groupBy(*KEYS).agg(F.count("*").alias("samples"), *[F.count_if(f).alias(f) for f in FLAGS])
-    runs = longest_runs(features, list(KEYS), "seq", "signature")
-    return out.join(runs, list(KEYS), "left").fillna(0, ["repeated_samples", "max_repeat_run"])
+    out = features.groupBy(*keys).agg(F.count("*").alias("samples"), *[F.count_if(f).alias(f) for f in FLAGS])
+    runs = longest_runs(features, list(keys), "seq", "signature")
+    return out.join(runs, list(keys), "left").fillna(0, ["repeated_samples", "max_repeat_run"])
 
 
 def hardware_faults(diagnostics: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import telemetry as T
+from ..session import written
 from .sequences import BUCKET_ROWS, intervals, keyed_quantiles
 
 MS = 1e6
@@ -21,14 +22,14 @@ def interval_summary(df: DataFrame, keys: Sequence[str] = ("bag_id", "topic"), o
     Jitter leaves out intervals beyond ``max(1.1, gap_factor)`` medians; those count as gaps.
     """
     keys = list(keys)
-    timed = intervals(df.select(*keys, order, time), keys, order, time, bucket_rows)
+    timed = written(intervals(df.select(*keys, order, time), keys, order, time, bucket_rows).select(*keys, time, "dt"))  # read five times
     dt = F.col("dt")
     positive = F.when(dt > 0, dt)
     first = timed.groupBy(*keys).agg(
         F.count("*").alias("message_count"), F.min(time).alias("first_ns"), F.max(time).alias("last_ns"),
         F.count_if(dt == 0).alias("duplicates"), F.count_if(dt < 0).alias("reversals"), F.max(positive).alias("max_gap"),
     )
-    first = first.join(keyed_quantiles(timed, keys, {"p": (positive, (0.5, 0.95, 0.99))}), keys, "left")
+    first = written(first.join(keyed_quantiles(timed, keys, {"p": (positive, (0.5, 0.95, 0.99))}), keys, "left"))  # a row for each key
     m = F.col("median")
     edge = m * max(1.1, gap_factor)
     placed = timed.where(dt > 0).join(first.select(*keys, F.get("p", F.lit(0)).alias("median")), keys)
@@ -71,7 +72,7 @@ def header_lag(df: DataFrame, keys: Sequence[str] = ("bag_id", "topic"), order:
         F.avg("lag").alias("lag_mean_ms"), F.max(F.abs("lag")).alias("lag_max_abs_ms"),
     )
     middle = keyed_quantiles(rows, keys, {"m": (F.col("lag"), (0.5,)), "a": (F.abs("lag"), (0.95,))})
-    middle = middle.select(*keys, F.col("m")[0].alias("lag_median_ms"), F.col("a")[0].alias("lag_p95_abs_ms"))
+    middle = written(middle.select(*keys, F.col("m")[0].alias("lag_median_ms"), F.col("a")[0].alias("lag_p95_abs_ms")))  # a row for each key
     first = first.join(middle, keys, "left")
     rest = keyed_quantiles(rows.join(middle, keys), keys, {"r": (F.abs(F.col("lag") - F.col("lag_median_ms")), (0.95,))}).select(*keys, F.col("r")[0].alias("lag_p95_residual_ms"))
     relation = F.when(F.col("valid") == 0, "unknown").when(F.abs("lag_median_ms") >= SEPARATE_EPOCH_MS, "separate_epoch").otherwise("aligned")

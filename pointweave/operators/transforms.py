@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
-
 from ..functions.numeric import finite
 from ..functions.telemetry import frame_name
 from ..functions.vectors import magnitude, minus, quaternion_angle, vec
+from ..session import shared_folder, written
 from .sequences import keyed_quantiles, with_previous
 
 EDGE = ("bag_id", "parent", "child", "is_static")
@@ -44,7 +43,7 @@ def edge_summary(transforms: DataFrame) -> DataFrame:
     """Path, steps, periods, gaps, speed and faults of every edge."""
     ends = F.struct("t", "q")
     at = F.struct("seq", "ts")
-    rows = steps(transforms)
+    rows = written(steps(transforms))  # read three times
     out = rows.groupBy(*EDGE).agg(
         F.count("*").alias("samples"), F.min_by(ends, at).alias("a"), F.max_by(ends, at).alias("b"), F.coalesce(F.sum("step_m"), F.lit(0.0)).alias("path_m"),
         F.coalesce(F.max("step_m"), F.lit(0.0)).alias("max_step_m"), F.coalesce(F.max("step_deg"), F.lit(0.0)).alias("max_step_deg"),

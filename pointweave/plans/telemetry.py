@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rules as R
@@ -9,6 +12,7 @@ from ..operators import sensors as S
 from ..operators import sequences as Q
 from ..operators import timing as O
 from ..operators import transforms as G
+from ..session import written
 from . import issues as I
 from .tables import MESSAGES, messages, rounded, table
 
@@ -54,12 +58,14 @@ def scalar_summary(spark, sf_dir):
     return rounded(S.scalar_summary(messages(spark, sf_dir).select("bag_id", "topic", F.lit("value").alias("metric"), "value")), 9)
 
 
+def _all_features(spark, sf_dir):
+    """The figures of all roles in one table, written once, so that one job sums them up."""
+    return written(reduce(DataFrame.unionByName, [f(_role(spark, sf_dir, role)).withColumn("role", F.lit(role)) for role, f in S.ROLES.items()]))
+
+
 def sensor_counters(spark, sf_dir):
-    out = None
-    for role, f in S.ROLES.items():
-        own = S.counters(f(_role(spark, sf_dir, role))).groupBy().agg(*[F.sum(c).alias(c) for c in ("samples", *S.FLAGS, "repeated_samples")], F.max("max_repeat_run").alias("max_repeat_run")).withColumn("role", F.lit(role))
-        out = own if out is None else out.unionByName(own)
-    return out
+    by_topic = S.counters(_all_features(spark, sf_dir), ("role", *S.KEYS))
+    return by_topic.groupBy("role").agg(*[F.sum(c).alias(c) for c in ("samples", *S.FLAGS, "repeated_samples")], F.max("max_repeat_run").alias("max_repeat_run"))
 
 
 def _diagnostics(spark, sf_dir):
@@ -176,12 +182,9 @@ def transform_issues(spark, sf_dir):
 
 
 def sensor_issues(spark, sf_dir):
-    out = None
-    for role, f in S.ROLES.items():
-        x = f(_role(spark, sf_dir, role))
-        own = R.sensor_issues(S.counters(x).withColumn("role", F.lit(role)), S.scalar_summary(S.long_metrics(x)))
-        out = own if out is None else out.unionByName(own)
-    return R.dedupe(out)
+    keys = ("role", *S.KEYS)
+    x = _all_features(spark, sf_dir)
+    return R.dedupe(R.sensor_issues(S.counters(x, keys), S.scalar_summary(S.long_metrics(x, keys), keys)))
 
 
 def hardware_issues(spark, sf_dir):
