@@ -13,8 +13,9 @@ from .tables import SMALL_POINTS, rounded, small_points, table
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream: one file, or a folder of parts; a file source takes no path of a file, but a pattern that only this path fits."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "false").parquet(f"{sf_dir}/{name}.parquet*")
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _run(out: DataFrame, mode: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointweave.operators import frames as R
+from pointweave.plans import streams
 from pointweave.streaming import live
 
 
@@ -69,3 +70,13 @@ def test_status_with_the_update_rate(rocks, tmp_path):
             c = counts[session]
             assert (r.frames, r.poses, r.images, r.errors, r.points) == (c.frames, c.poses, c.images, c.errors, c.points)
             assert abs(r.elapsed_s - c.elapsed_s) < 1e-5 and abs(r.rate_hz - rate[session]) < 1e-9
+
+
+def test_a_stream_reads_a_file_and_a_folder_of_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 3, [i / 10 + 0.05, 0.0, 1.0]) for i in range(12)], "vec_id long, label int, embedding array<float>")
+    rows.repartition(3).write.parquet(str(tmp_path / "parts" / "embeddings.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (part,) = (tmp_path / "one").glob("*.parquet")
+    part.rename(tmp_path / "one" / "embeddings.parquet")
+    parts, one = (sorted(streams.stream_voxel_map(spark, str(tmp_path / d)).collect()) for d in ("parts", "one"))
+    assert parts == one and len(one) == 12
