@@ -131,7 +131,7 @@ def assign_region_polygon(spark, sf_dir):
     shape = F.array(*[F.struct((a + i * (1 + k % 3)).alias("x"), (c + j * (1 + k % 3)).alias("y")) for i, j in ((0, 0), (9, 0), (9, 4), (4, 4), (4, 9), (0, 9))])
     regions = table(spark, sf_dir, "supplier").select(k.alias("region_id"), shape.alias("vertices"), low.alias("low"), (low + 30).alias("high"))
     edges = Q.edges_of(regions, key="region_id").join(regions.drop("vertices"), "region_id")
-    return Q.assign_polygons(points(spark, sf_dir), edges).groupBy("region_id").agg(F.count("*").alias("n"), F.sum("ordinal").alias("ordinals"))
+    return Q.region_sums(points(spark, sf_dir), edges, {"ordinals": F.col("ordinal")})
 
 
 def stride_sample(spark, sf_dir):
