@@ -121,7 +121,7 @@ def assign_region(spark, sf_dir):
     k = F.col("s_suppkey")
     lows = [F.pmod(k * m, F.lit(40)).cast("double") for m in (3, 7, 11)]
     boxes = table(spark, sf_dir, "supplier").select(k.alias("region_id"), *[low.alias(f"{c}0") for c, low in zip("xyz", lows, strict=True)], *[(low + 6).alias(f"{c}1") for c, low in zip("xyz", lows, strict=True)])
-    return Q.assign_boxes(points(spark, sf_dir), boxes).groupBy("region_id").agg(F.count("*").alias("n"))
+    return Q.region_sums(points(spark, sf_dir), Q.box_edges(boxes))
 
 
 def assign_region_polygon(spark, sf_dir):
