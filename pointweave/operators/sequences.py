@@ -51,6 +51,21 @@ def _joined(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFra
     return rows.join(carried.withColumnsRenamed(names), on, "left").drop(*names.values())
 
 
+#: Parts over which the rows of a key are dealt when they meet the one row of their key.
+PARTS = 32
+
+
+def with_key_row(rows: DataFrame, each: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``each``, a table of one row a key; rows whose key is not in it go.
+
+    The table is written once, and is there for each of PARTS parts of the rows: small, it is sent to all tasks and the rows stay
+    where they are; large, a key with most of the rows spreads over so many tasks.
+    """
+    dealt = rows.withColumn("__part", (F.monotonically_increasing_id() % PARTS).cast("int"))
+    every = written(each).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return dealt.join(every, [*keys, "__part"]).drop("__part")
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], columns: dict[str, Column], bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
     """Adds sums of whole numbers over all rows up to each one, by key: a sum within each segment, and what earlier segments carry."""
     by, zero = _orders(order), F.lit(0).cast("long")
@@ -187,7 +202,7 @@ def keyed_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[
             asked.append(F.when(F.col(f"n{i}") > 0, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"e{i}")[2 * j].alias("low"), F.col(f"e{i}")[2 * j + 1].alias("high"), at.alias("at"))))
     known = known.select(*keys, F.array_compact(F.array(*asked)).alias("asked"))
     value = F.get(F.array(*[f"v{i}" for i in range(len(names))]), F.col("a.i"))
-    each = v.join(known, keys).select("*", F.explode("asked").alias("a")).withColumn("x", value).where(F.col("x").isNotNull())
+    each = with_key_row(v, known, keys).select("*", F.explode("asked").alias("a")).withColumn("x", value).where(F.col("x").isNotNull())
     side = F.when(F.col("x") < F.col("a.low"), -1).when(F.col("x") > F.col("a.high"), 1).otherwise(0)
     each = each.select(*keys, F.col("a.i").alias("i"), F.col("a.j").alias("j"), F.col("a.at").alias("at"), side.alias("side"), "x")
     # all below the bracket are one row with their greatest value, all above one with their least: next to it, if it is that narrow

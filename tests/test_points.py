@@ -135,3 +135,21 @@ def test_neighbours_with_a_far_point(spark):
     p = spark.createDataFrame(rows, "id long, x double, y double, z double")
     got = {r.qid: (r.tid, r.distance) for r in N.nearest(p.where("id in (0, 399, 999)"), p, skip_same_id=True).collect()}
     assert got[0] == (1, 1.0) and got[399] == (379, 1.0) and got[999][0] == 399
+
+
+def test_rows_of_one_cloud_spread_over_tasks(spark):
+    points = spark.range(2000, numPartitions=4).selectExpr("'c' AS cloud_id", "id AS ordinal", "cast(id as double) AS x", "0D AS y", "1D AS z")
+    placements = spark.createDataFrame([("c", 1.0, 0.0, 0.0, 0.0, 2.0), ("d", 0.0, 0.0, 0.0, 0.0, 1.0)], "cloud_id string, tx double, ty double, tz double, turn double, scale double")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        placed = O.place_by_table(points, placements)
+        assert placed.agg(F.count("*"), F.sum("x")).first()[:] == (2000, 2.0 * 1999 * 1000 + 2000)
+        assert placed.select(F.spark_partition_id()).distinct().count() > 1
+        met = S.with_key_row(points.unionByName(points.limit(1).withColumn("cloud_id", F.lit("none"))), placements, ["cloud_id"])
+        assert met.count() == 2000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
