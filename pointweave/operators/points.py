@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import cell, finite
 from ..functions.vectors import affine
-from .sequences import keyed_quantiles
+from .sequences import keyed_quantiles, with_key_row
 
 XYZ = ("x", "y", "z")
 #: Colour of points without one (fixed values).
@@ -227,7 +227,7 @@ def place_by_table(points: DataFrame, placements: DataFrame) -> DataFrame:
     """Each cloud under its own placement: ``cloud_id, tx, ty, tz, turn, scale``."""
     a = F.radians("turn")
     x, y, k = F.col("x"), F.col("y"), F.col("scale")
-    joined = clean_points(points).join(placements, "cloud_id")
+    joined = with_key_row(clean_points(points), placements, ["cloud_id"])
     return joined.withColumns({"x": k * (F.cos(a) * x - F.sin(a) * y) + F.col("tx"), "y": k * (F.sin(a) * x + F.cos(a) * y) + F.col("ty"), "z": k * F.col("z") + F.col("tz")}).select(*points.columns)
 
 
