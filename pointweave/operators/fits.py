@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import written
 from .neighbors import region_spacing
 from .points import XYZ, Polygon, clean_points
-from .sequences import keyed_quantiles
+from .sequences import keyed_quantiles, with_key_row
 
 _PAIRS = [(a, b) for i, a in enumerate(XYZ) for b in XYZ[i:]]
 
@@ -45,9 +45,9 @@ def plane_fit(points: DataFrame, keys: Sequence[str] = ("cloud_id",)) -> DataFra
             yield out.filter(pa.array((values[:, 1] > 1e-12) & (b.column("n").to_numpy() >= 3)))
 
     kinds = ", ".join(f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in keys)
-    planes = sums.mapInArrow(solve, f"{kinds}, n long, " + ", ".join(f"{c} double" for c in names))
+    planes = written(sums.mapInArrow(solve, f"{kinds}, n long, " + ", ".join(f"{c} double" for c in names)))
     residual = F.abs(F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z") + F.col("d"))
-    joined = good.select(*keys, *XYZ).join(planes, keys)
+    joined = with_key_row(good.select(*keys, *XYZ), planes, keys)
     rest = joined.groupBy(*keys).agg(F.sqrt(F.avg(residual * residual)).alias("rms"), F.avg(residual).alias("mean_abs"), F.max(residual).alias("max_abs"))
     return planes.join(rest, keys)
 
