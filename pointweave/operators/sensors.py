@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import array_median, finite, significant
 from ..functions.telemetry import payload_signature
 from ..functions.vectors import magnitude, minus, valid_quaternion, valid_vector
 from ..session import written
-from .sequences import keyed_quantiles, longest_runs, with_previous
+from .sequences import keyed_quantiles, longest_runs, with_key_row, with_previous
 
 KEYS = ("bag_id", "topic")
 FLAGS = ("invalid", "empty", "malformed", "saturated")
@@ -32,8 +32,7 @@ def imu(rows: DataFrame) -> DataFrame:
     a, w, q = valid_vector(F.col("linear_acceleration")), valid_vector(F.col("angular_velocity")), valid_quaternion(F.col("orientation"))
     good = a.isNotNull() & w.isNotNull()
     r = rows.withColumns({"__a": F.when(good, a), "__w": F.when(good, w), "__q": q, "__g": good})
-    order = Window.partitionBy(*KEYS, "__g").orderBy("seq")
-    r = r.withColumns({"__pa": F.lag("__a").over(order), "__pw": F.lag("__w").over(order)})
+    r = with_previous(r, [*KEYS, "__g"], "seq", {"__pa": "__a", "__pw": "__w"})
     a, w, q = F.col("__a"), F.col("__w"), F.when(F.col("__g"), F.col("__q"))
     return _features(r, {
         "acceleration": magnitude(a), "angular_velocity": magnitude(w), "orientation_norm": magnitude(q, "xyzw"), "orientation_norm_error": F.abs(magnitude(q, "xyzw") - 1),
@@ -115,7 +114,7 @@ def scalar_summary(values: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     first = v.groupBy(*keys).agg(F.count("good").alias("samples"), F.count_if(F.col("good").isNull()).alias("invalid"), F.min("good").alias("min"), F.max("good").alias("max"), F.avg("good").alias("mean"))
     p = keyed_quantiles(v, keys, {"p": (F.col("good"), (0.5, 0.95))}).select(*keys, F.col("p")[0].alias("median"), F.col("p")[1].alias("p95"))
     p = written(p)  # a row for each key
-    mad = keyed_quantiles(v.join(p, keys), keys, {"mad": (F.abs(F.col("good") - F.col("median")), (0.5,))}).select(*keys, F.col("mad")[0].alias("mad"))
+    mad = keyed_quantiles(with_key_row(v, p, keys), keys, {"mad": (F.abs(F.col("good") - F.col("median")), (0.5,))}).select(*keys, F.col("mad")[0].alias("mad"))
     return first.join(p, keys, "left").join(mad, keys, "left")
 
 
